@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 from .common import documents
 
 
@@ -14,9 +14,14 @@ def op5_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_quality": op5_quality,
+    "op6_simhash": op6_simhash,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
