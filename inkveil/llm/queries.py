@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import bpe, linededup, mixing, quality, simhash
 from .common import documents
 
 
@@ -10,6 +10,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return linededup.line_dedup(documents(spark, sf_dir))
+
+
 def op5_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
@@ -18,12 +22,19 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_bpe(spark, sf_dir):
+    return bpe.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op9_bpe": op9_bpe,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op3_line_dedup": linededup.ORACLE,
     "op5_quality": quality.ORACLE,
 }
