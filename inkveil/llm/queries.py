@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, quality, simhash
+from . import bpe, linededup, mixing, quality, simhash, spotsigs
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_spotsigs(spark, sf_dir):
+    return spotsigs.compare_with_edited(documents(spark, sf_dir))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op8_spotsigs": op8_spotsigs,
     "op9_bpe": op9_bpe,
 }
 ORACLES = {
