@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import SPACE, cut, small
 
-LEVEL_BITS = 15
+LEVEL_BITS = 10
 HASH_BITS = 60
 MAX_REPEATS = 3
 
