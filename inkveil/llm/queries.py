@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, quality, simhash, spotsigs
+from datetime import date
+
+from . import bpe, licenses, linededup, mixing, quality, simhash, spotsigs, tokencounts, urlfilter
 from .common import documents
 
 
@@ -22,6 +24,17 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark, sf_dir):
+    return tokencounts.token_counts(documents(spark, sf_dir))
+
+
+def op7_url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = pages.withColumn("fetched", urlfilter.fetched_day(pages["page_id"]))
+    events = spark.createDataFrame([(k, date.fromisoformat(d), a) for k, d, a in urlfilter.EVENTS], urlfilter.LIST_SCHEMA)
+    return urlfilter.url_filter(pages, events)
+
+
 def op8_spotsigs(spark, sf_dir):
     return spotsigs.compare_with_edited(documents(spark, sf_dir))
 
@@ -30,16 +43,24 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op10_license_scans(spark, sf_dir):
+    return licenses.license_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_url_filters": op7_url_filters,
     "op8_spotsigs": op8_spotsigs,
     "op9_bpe": op9_bpe,
+    "op10_license_scans": op10_license_scans,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
     "op5_quality": quality.ORACLE,
+    "op7_url_filters": urlfilter.ORACLE,
 }
