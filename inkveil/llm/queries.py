@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from . import bpe, licenses, linededup, mixing, quality, simhash, spotsigs, tokencounts, urlfilter
+from . import bpe, licenses, linededup, mixing, quality, simhash, spotsigs, suffixdedup, tokencounts, urlfilter
 from .common import documents
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffixdedup.digests(documents(spark, sf_dir))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_license_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
