@@ -255,30 +255,31 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     rows = _keyed(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
     found = rows.select("d1", "d2", "_id", "raw").mapInArrow(_anchored(length), f"d1 bigint, d2 bigint, _id {kind}, lo array<int>, lead array<int>, span array<int>, g array<bigint>, c array<bigint>")
-    found = cut(found)
+    # Used twice and computed twice: to keep all anchors would take half as much disk as the texts.
     each = found.select("d1", "d2", "_id", F.explode(F.arrays_zip("lo", "lead", "span", "g", "c")).alias("x")).select("d1", "d2", "_id", "x.*")
     shared = cut(each.groupBy("g").count().filter("count > 1").select("g"))
-    # Copies of a text are one row from here on.
-    places = each.join(shared, "g", "left_semi").groupBy("g", "c", "d1", "d2", "lo", "lead", "span").agg(F.count("*").alias("n"), F.min("_id").alias("_id"))
+    # Copies of a text are one row from here on. A place determines its group, which is no key here: keyed by
+    # it, the sum would have to stand on the join's partitions, and Spark couldn't split a group of many copies.
+    places = each.join(shared, "g", "left_semi").groupBy("c", "d1", "d2", "lo", "lead", "span").agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min("_id").alias("_id"))
     places = cut(places)
     first = [F.first(k).alias(k) for k in ("d1", "d2", "_id", "lo", "lead", "span")]
     classes = cut(places.groupBy("g", "c").agg(F.sum("n").alias("n"), *first))
-    mixed = cut(classes.groupBy("g").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 AND least = 1").select("g", (F.col("contexts") > CROWD).alias("crowded")))
-    asked = cut(classes.join(mixed, "g"))
+    mixed = cut(classes.groupBy("g").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 AND least = 1").select("g", "contexts", (F.col("contexts") > CROWD).alias("crowded")))
+    asked = classes.join(mixed, "g")
     # One row of each text that stands for a class, with all that is asked of it.
     by_text = asked.groupBy("d1", "d2").agg(F.first("_id").alias("_first"), F.collect_list(F.struct("lo", "lead", "span", "g", "c", "crowded")).alias("items"))
-    texts = rows.join(by_text.withColumnsRenamed({"d1": "k1", "d2": "k2"}), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("_id").eqNullSafe(F.col("_first")))
+    texts = rows.filter(F.octet_length("raw") >= length).join(by_text.withColumnsRenamed({"d1": "k1", "d2": "k2"}), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("_id").eqNullSafe(F.col("_first")))
     contexts = texts.select("raw", "items").mapInArrow(_cut_out(length), "g bigint, c bigint, lead int, span int, crowded boolean, raw binary")
-    totals = asked.agg(F.count("*"), F.max("crowded")).first()
-    if totals[1]:
+    total, crowded = mixed.agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.max("crowded")).first()
+    if crowded:
         contexts = cut(contexts)
-    bins = max(4 * shuffle_partitions(docs.sparkSession), totals[0] // BUCKET + 1)
+    bins = max(4 * shuffle_partitions(docs.sparkSession), total // BUCKET + 1)
     dealt = contexts.filter("NOT crowded").withColumn("bin", F.pmod(F.xxhash64("g"), F.lit(bins)))
     run = _bucket(length)
     hits = dealt.groupBy("bin").applyInArrow(lambda t: run(t), "g bigint, c bigint, iv array<int>")
     whole = classes.filter("n > 1").select("g", "c", F.array(F.lit(0), F.col("span")).alias("iv"))
     every = whole.union(hits)
-    if totals[1]:
+    if crowded:
         windows = contexts.filter("crowded").select("g", "c", "span", "raw").mapInArrow(_hashed(length), "g bigint, c bigint, s int, h1 bigint, h2 bigint")
         both = windows.groupBy("g", "h1", "h2").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("g", "h1", "h2")
         again = windows.join(cut(both), ["g", "h1", "h2"], "left_semi").groupBy("g", "c").agg(F.collect_set("s").alias("s"))

@@ -16,10 +16,13 @@ def brute(rows, min_words):
     runs = {}
     for s in seqs:
         c = lines[s]
+        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for _, x in c]
         for p in range(len(c)):
+            key, words = (), 0
             for q in range(p, len(c)):
-                if sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for _, x in c[p : q + 1]) >= min_words:
-                    runs.setdefault(tuple(x for _, x in c[p : q + 1]), []).append((s[:2], s, c[p][0], c[q][0]))
+                key, words = hash((key, c[q][1])), words + counts[q]
+                if words >= min_words:
+                    runs.setdefault((q - p, key), []).append((s[:2], s, c[p][0], c[q][0]))
     gone = {s: set() for s in seqs}
     for found in runs.values():
         first = min(f[0] for f in found)
