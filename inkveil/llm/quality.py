@@ -120,6 +120,15 @@ def _verdict(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return df.withColumn("kept", ok)
 
 
+def _sealed(df: DataFrame) -> DataFrame:
+    """``df`` with ``kept`` behind a generator of one row: a filter on it is not pushed down.
+
+    Pushed through the projections it would repeat every expression that it stands on, many times over.
+    """
+    others = [c for c in df.columns if c != "kept"]
+    return df.select(*others, F.inline(F.array(F.struct("kept"))))
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: its id, the counts, ``base_failed`` and ``kept``."""
     df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -131,7 +140,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The kept documents with all their columns, whatever these are named."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    return _verdict(_measured(df, "_text"), rules).filter("kept").select("_row.*")
+    return _sealed(_verdict(_measured(df, "_text"), rules).select("_row", "kept")).filter("kept").select("_row.*")
 
 
 ORACLE = f"""
