@@ -88,16 +88,15 @@ def is_near(target: Column) -> Column:
 
 
 def occurrences(text: Column, target: Column) -> Column:
-    """Starts (from 0, in code points) of the target's occurrences, left to right, none overlapping another."""
-    n, t = F.length(text), F.length(target)
-    acc = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
-
-    def step(a: Column, i: Column) -> Column:
-        hit = (i >= a["next"]) & (F.substring(text, i + 1, t) == target)
-        return F.when(hit, F.struct((i + t).alias("next"), F.concat(a["at"], F.array(i)).alias("at"))).otherwise(a)
-
-    found = F.aggregate(F.sequence(F.lit(0), n - t), acc, step)["at"]
-    return F.when((t > 0) & (n >= t), found).otherwise(F.array().cast("array<int>"))
+    """Starts (from 0, in code points) of the target's occurrences, left to right, none overlapping another.
+
+    A split at the literal target finds exactly these; each start follows from the lengths of what is between.
+    """
+    parts = F.transform(F.split(text, F.concat(F.lit("\\Q"), target, F.lit("\\E")), -1), lambda p: F.length(p))
+    step = lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + F.length(target) + n))
+    inner = F.slice(parts, F.lit(2), F.size(parts) - 2)
+    found = F.aggregate(inner, F.array(F.get(parts, F.lit(0))), step)
+    return F.when((F.length(target) > 0) & F.contains(text, target), found).otherwise(F.array().cast("array<int>"))
 
 
 def squeeze(s: Column) -> Column:
