@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import CONFIG
+from ..functions.rects import manual_rect
 from ..functions.schemas import EDIT_EVENTS, STAMPS
 
 DEFAULT_STYLE = {"mode": "black", "color": "#1a1a1a"}
@@ -166,6 +167,14 @@ def replay(events: DataFrame, images: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").applyInPandas(run, STAMPS)
 
 
+def painted(stamps: DataFrame) -> DataFrame:
+    """Stamps with the rectangle that is painted: an automatic one's own, a hand-drawn one's widened."""
+    r = manual_rect(F.struct("x", "y", "w", "h"))
+    by_hand = F.col("kind") == "manual"
+    rows = stamps.withColumn("_r", r)
+    return rows.withColumns({k: F.when(by_hand, F.col(f"_r.{k}")).otherwise(F.col(k)) for k in "xywh"}).drop("_r")
+
+
 def canvas_point(client_x: Column, client_y: Column, left: Column, top: Column, scale_x: Column, scale_y: Column, touch: Column) -> Column:
     """Pointer position in image pixels; a finger draws 40 display pixels above where it touches."""
     lift = F.when(touch, F.lit(40.0)).otherwise(F.lit(0.0))

@@ -35,6 +35,11 @@ def crop_box(best: Column, width: Column, height: Column, scale: Column | None =
     return F.when((box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), box)
 
 
+def ocr_space(crop: Column, scale: Column) -> Column:
+    """The same window in the pixels of the read page, for crops of the enlarged page itself."""
+    return F.when(crop.isNotNull(), F.struct(F.floor(crop["x0"] * scale).cast("double").alias("x0"), F.floor(crop["y0"] * scale).cast("double").alias("y0"), F.ceil(crop["x1"] * scale).cast("double").alias("x1"), F.ceil(crop["y1"] * scale).cast("double").alias("y1")))
+
+
 def refine_requests(open_: DataFrame, images: DataFrame) -> DataFrame:
     """Groups still open -> requests, one per step of the ladder that applies (the third only to weak candidates)."""
     rows = open_.join(images.select("image_id", "width", "height"), "image_id")

@@ -177,12 +177,53 @@ def rescue(rgba: np.ndarray, templates: list[dict], existing: list[dict], region
     return accepted, totals
 
 
-def template_heights(matches: DataFrame, near: DataFrame) -> DataFrame:
-    """(image_id, target_id, heights, basis, origin, sample_count) from the median height of hits, else of strong near ones."""
+def template_points(alpha: np.ndarray, most: tuple[int, int] = (165, 145)) -> tuple[list, list]:
+    """Sample points of a rendered target: opaque ones and clear ones, each thinned evenly to about ``most``."""
+    out = []
+    for hit, n in ((alpha >= 95, most[0]), (alpha <= 12, most[1])):
+        ys, xs = np.nonzero(hit)
+        step = max(1, -(-len(xs) // n))
+        out.append(list(zip(xs[::step].tolist(), ys[::step].tolist())))
+    return out[0], out[1]
+
+
+def make_template(rgba: np.ndarray, target_height: int, skew: float = 0.0) -> dict:
+    """Template of a target drawn on a clear ground: cropped to what is visible, scaled to the height, sampled."""
+    ys, xs = np.nonzero(rgba[..., 3] >= 70)
+    if not len(xs):
+        return {"w": 0, "h": 0, "samples": [], "bg_samples": [], "target_height": target_height, "skew": skew}
+    shown = rgba[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+    width = max(1, int(half_up(shown.shape[1] * target_height / shown.shape[0])))
+    fg, bg = template_points(resize(shown, width, target_height)[..., 3])
+    return {"w": width, "h": target_height, "samples": fg, "bg_samples": bg, "target_height": target_height, "skew": skew}
+
+
+def template_variants(heights: DataFrame, skews: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """(.., heights array) -> one row per height and skew."""
+    return heights.withColumn("height", F.explode("heights")).withColumn("skew", F.explode(F.array(*[F.lit(float(s)) for s in skews])))
+
+
+def touches_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """Boxes (image_id, x, y, w, h) whose centre lies in or near a text region of their image; all of an image without regions."""
+    r = regions.select(F.col("image_id").alias("_i"), F.struct("x", "y", "w", "h").alias("r"))
+    m, cx, cy = CONFIG.region_margin, F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    inside = (cx >= F.col("r.x") - m) & (cx <= F.col("r.x") + F.col("r.w") + m) & (cy >= F.col("r.y") - m) & (cy <= F.col("r.y") + F.col("r.h") + m)
+    near = boxes.join(r, (F.col("image_id") == F.col("_i")) & inside, "left_semi")
+    return near.unionByName(boxes.join(r, F.col("image_id") == F.col("_i"), "left_anti"))
+
+
+def template_heights(matches: DataFrame, near: DataFrame, scales: DataFrame | None = None) -> DataFrame:
+    """(image_id, target_id, heights, basis, origin, sample_count) from the median height of hits, else of strong near ones.
+
+    ``scales`` (image_id, scale) turns heights into those of the analysed image; without it they stay.
+    """
     tall = lambda b: (b["y1"] - b["y0"]).cast("double")
     exact = matches.select("image_id", "target_id", tall(F.col("box")).alias("h"), F.lit(0).alias("k"))
     strong = near.filter((F.length("candidate") == F.length("target")) & (F.levenshtein("target", "candidate") == 1) & (F.col("similarity") >= CONFIG.vote_similarity))
-    rows = exact.unionByName(strong.select("image_id", "target_id", tall(F.col("box")).alias("h"), F.lit(1).alias("k"))).filter("h > 0")
+    rows = exact.unionByName(strong.select("image_id", "target_id", tall(F.col("box")).alias("h"), F.lit(1).alias("k")))
+    if scales is not None:
+        rows = rows.join(scales.select("image_id", F.col("scale").alias("_s")), "image_id").withColumn("h", F.col("h") * F.col("_s"))
+    rows = rows.filter("h > 0")
     rows = rows.groupBy("image_id", "target_id", "k").agg(F.collect_list("h").alias("hs")).withColumn("basis", median_of(F.col("hs")))
     best = rows.groupBy("image_id", "target_id").agg(F.min_by(F.struct("k", "basis", F.size("hs").alias("n")), "k").alias("b"))
     centre = F.greatest(F.lit(22.0), F.least(F.lit(40.0), col_half_up(F.col("b.basis"))))

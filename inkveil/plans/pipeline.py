@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.config import CONFIG, SOURCES
 from ..functions.plan import cut
+from ..functions.numbers import analysis_scale, half_up, scaled_size, template_scale
 from ..functions.rects import add_visual_rect
 from ..functions.spatial import greedy, overlaps_divided
 from ..operators.groups import fast_recovery, group_candidates, open_groups
 from ..operators.match import exact_matches, near_candidates, normal_targets
 from ..operators.rescue import refine_requests, region_pages, region_requests, resolve
+from ..operators.templates import rescue_boxes, template_heights
 from ..operators.units import line_units
 
 KEY = ["image_id", "target_id"]
@@ -67,7 +69,31 @@ def stamps(boxes: DataFrame, images: DataFrame, style: tuple[str, str] = DEFAULT
     return rows.select(*KEY, F.col("ord_ix").alias("stamp_ix"), "rect.x", "rect.y", "rect.w", "rect.h", "source", F.lit("ocr").alias("kind"), fixed.alias("style"))
 
 
-def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None) -> dict[str, DataFrame]:
+def italic_boxes(images: DataFrame, boxes: DataFrame, matches: DataFrame, near: DataFrame, templates: DataFrame, targets: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Places that a target's templates find and no box covers yet.
+
+    Of the templates (one row per target, height and skew) those of the two heights around the median
+    height of the hits are used, or the usual two. All that is asked of an image meets its pixels once.
+    """
+    sized = images.select("image_id", "width", "height", analysis_scale(F.col("width"), F.col("height")).alias("scale"))
+    sized = sized.withColumns({"_w": scaled_size(F.col("width"), F.col("scale")), "_h": scaled_size(F.col("height"), F.col("scale"))}).withColumn("_t", template_scale(F.col("_w"), F.col("_h")))
+    known = template_heights(matches, near, sized)
+    usual = F.array(*[F.lit(h) for h in CONFIG.template_heights])
+    every = sized.join(targets.select("target_id"), how="cross") if regions is None else sized.join(regions.select("image_id").distinct(), "image_id", "left_semi").join(targets.select("target_id"), how="cross")
+    every = every.join(known.select(*KEY, "heights"), KEY, "left").withColumn("_height", F.explode(F.coalesce("heights", usual)))
+    every = every.withColumn("target_height", F.greatest(F.lit(18.0), half_up(F.col("_height") * F.col("_t"))).cast("int"))
+    asked = every.select(*KEY, "target_height").join(templates, ["target_id", "target_height"])
+    asked = asked.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("target_height", "skew", "w", "h", "samples", "bg_samples"))).alias("templates"))
+    taken = boxes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ord_ix", "x", "y", "w", "h"))).alias("existing"))
+    asked = asked.join(taken, KEY, "left")
+    if regions is not None:
+        asked = asked.join(regions.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("region_ix", "x", "y", "w", "h"))).alias("regions")), "image_id", "left")
+    else:
+        asked = asked.withColumn("regions", F.lit(None).cast("array<struct<x:double,y:double,w:double,h:double>>"))
+    return rescue_boxes(images, asked)
+
+
+def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None, templates: DataFrame | None = None) -> dict[str, DataFrame]:
     """All step tables by name; ``stamps`` is the result.
 
     Lines, near candidates' groups and recovered hits feed several later steps and are written once, to the
@@ -92,10 +118,13 @@ def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Ca
             local = exact_matches(line_units(region_pages(asked, provider(asked))), wanted)
             out |= {"region_requests": asked, "local": local}
     out["boxes"] = paint_boxes(matches, refined, accepted, local)
+    if templates is not None:
+        out["italic"] = italic_boxes(images, out["boxes"], matches, near, templates, wanted, regions)
+        out["boxes"] = with_italic(out["boxes"], out["italic"])
     out["stamps"] = stamps(out["boxes"], images)
     return out
 
 
-def redact(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None) -> DataFrame:
+def redact(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None, templates: DataFrame | None = None) -> DataFrame:
     """The covering rectangles of every image and target."""
-    return stages(images, targets, pages, provider, regions)["stamps"]
+    return stages(images, targets, pages, provider, regions, templates)["stamps"]

@@ -63,3 +63,16 @@ def page_requests(images: DataFrame) -> DataFrame:
     sized = sized.withColumn("scale", F.col("analysis_scale") * ocr_scale(F.col("_w"), F.col("_h")))
     passes = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(i).alias("pass_ix")) for n, i in PASSES])
     return sized.withColumn("p", F.explode(passes)).select("image_id", "p.pass_ix", "p.variant", F.lit(PAGE_MODE).alias("psm"), "analysis_scale", "scale")
+
+
+def pages_from_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Replies to ``page_requests`` (with request_id ``image/pass_ix``) as OCR pages; failed ones are left out.
+
+    The read page had a white border, ``ocr_border`` pixels of the analysed page wide; it is taken off here.
+    """
+    from ..functions.config import CONFIG
+
+    r = requests.withColumn("request_id", F.concat_ws("/", "image_id", F.col("pass_ix").cast("string"))).join(replies, "request_id")
+    border = F.floor(CONFIG.ocr_border * F.col("scale") / F.col("analysis_scale") + F.lit(0.5)).cast("double")
+    r = r.filter(F.col("error").isNull() & F.col("lines").isNotNull())
+    return r.select("image_id", F.col("variant").alias("pass"), "pass_ix", "scale", border.alias("off_x"), border.alias("off_y"), "text", "lines")

@@ -246,3 +246,36 @@ def test_streams(spark, tmp_path):
     images = spark.createDataFrame([("i", 100, 80)], "image_id string, width int, height int")
     intake.edit_stream(spark, log, images, out, str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_run_with_templates(spark):
+    a = canvas(400, 300, 20)
+    drawn = np.zeros((40, 120, 4), np.uint8)
+    for y in (5, 14, 24):
+        drawn[y : y + 2, 10:90] = [255, 255, 255, 255]
+    t = templates.make_template(drawn, 26)
+    assert t["h"] == 26 and 0 < len(t["samples"]) <= 165 and 0 < len(t["bg_samples"]) <= 145
+    a[150:176, 120 : 120 + t["w"], :3][raster.resize(drawn[5:26, 10:90], t["w"], 26)[..., 3] >= 95] = 150
+    images = spark.createDataFrame([("i", "p", 400, 300, bytearray(a.tobytes()))], schemas.IMAGES)
+    targets = spark.createDataFrame([("t", "abc")], schemas.TARGETS)
+    pages = spark.createDataFrame([page([spelled("zzz", 0, 0)])], schemas.OCR_PAGES)
+    rows = [("t", 26, 0.0, t["w"], t["h"], t["samples"], t["bg_samples"])]
+    s = pipeline.stages(images, targets, pages, templates=spark.createDataFrame(rows, schemas.TEMPLATES))
+    assert [(r.source, r.kind) for r in s["stamps"].collect()] == [("イタリック救出", "ocr")]
+    variants = templates.template_variants(spark.createDataFrame([("i", [29, 31])], "image_id string, heights array<int>"), (-0.1, 0.0, 0.1))
+    assert variants.count() == 6
+
+
+def test_painted_rects_regions_and_pages(spark):
+    style = ("black", None)
+    stamps = spark.createDataFrame([("i", 0, 100.0, 50.0, 40.0, 20.0, "manual", style), ("i", 1, 100.0, 50.0, 40.0, 20.0, "ocr", style)], schemas.STAMPS)
+    assert [(r.x, r.y, r.w, r.h) for r in edits.painted(stamps).orderBy("stamp_ix").collect()] == [(90, 44, 44, 32), (100, 50, 40, 20)]
+    box = "image_id string, x double, y double, w double, h double"
+    boxes = spark.createDataFrame([("i", 0.0, 0.0, 10.0, 10.0), ("i", 200.0, 0.0, 10.0, 10.0), ("j", 9.0, 9.0, 9.0, 9.0)], box)
+    regions = spark.createDataFrame([("i", 20.0, 0.0, 10.0, 10.0)], box)
+    assert sorted((r.image_id, r.x) for r in templates.touches_region(boxes, regions).collect()) == [("i", 0.0), ("j", 9.0)]
+    images = spark.createDataFrame([("i", "p", 800, 600, None)], schemas.IMAGES)
+    requests = ocr.page_requests(images)
+    replies = spark.createDataFrame([("i/0", "x", page([spelled("abc", 25, 25)])[-1], None), ("i/1", None, [], "ERROR: no")], schemas.OCR_REPLIES)
+    got = ocr.pages_from_replies(requests, replies).collect()
+    assert [(r.image_id, r.pass_ix, r.off_x, r.scale) for r in got] == [("i", 0, 25.0, 2.5)]
