@@ -16,7 +16,7 @@ def brute(word):
             n = len(c.encode())
             score = (COUNTER.byte + 1) // tokencounts.UNIT
             options.append((best[j - 1][0] + n * score, best[j - 1][1] - n))
-        for i in range(j):
+        for i in range(max(0, j - COUNTER.longest), j):
             if s[i:j] in COUNTER.pieces:
                 score = (COUNTER.pieces[s[i:j]] + 1) // tokencounts.UNIT
                 options.append((best[i][0] + score, best[i][1] - 1))
