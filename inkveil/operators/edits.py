@@ -150,7 +150,6 @@ def _plain(v) -> dict | None:
 
 def replay(events: DataFrame, images: DataFrame) -> DataFrame:
     """Edit events and image sizes -> the stamps that remain, in order."""
-    names = [c.split()[0] for c in EDIT_EVENTS.split(", ") if " " in c]
     rows = events.join(images.select("image_id", "width", "height"), "image_id")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +162,6 @@ def replay(events: DataFrame, images: DataFrame) -> DataFrame:
         out = [{"image_id": f["image_id"].iloc[0], "stamp_ix": i, **s} for i, s in enumerate(own.stamps)]
         return pd.DataFrame(out, columns=["image_id", "stamp_ix", "x", "y", "w", "h", "kind", "style"])
 
-    assert "image_id" in names
     return rows.groupBy("image_id").applyInPandas(run, STAMPS)
 
 
