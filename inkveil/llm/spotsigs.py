@@ -23,14 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, words
+from .common import cut, small, words
 from .quality import STOP_WORDS
 
 CHAIN = 2
 SAMPLE = 8
 THRESHOLD = 0.8
-#: Ranges of ids into which the documents are dealt to find each one's next.
-BLOCKS = 1024
+#: Ranges of ids, cut at quantiles, and rows of a block within a range, in which each document's next is found.
+RANGES = 1024
+ROWS_OF_BLOCK = 1000
 PUNCTUATION = ".,;:!?\"'()[]{}«»„“”’…"
 
 
@@ -81,22 +82,32 @@ def render(sigs: Column) -> Column:
     return F.concat_ws(" ", sigs.cast("array<string>"))
 
 
-def with_next(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """docs: _id, _text -> the same and _block, _ghost: to each range of ids the first row of the next is added as a ghost.
+def with_next(docs: DataFrame, ranges: int = RANGES, rows_of_block: int = ROWS_OF_BLOCK) -> DataFrame:
+    """docs: _id, _text -> the same and _block, _ghost: to each block of ids the first row of the next is added as a ghost.
 
-    ``lead`` within a range then finds every row's next; after the last row comes the first. The ranges are
-    cut at quantiles of the ids, so no task holds all rows and the texts are shuffled once.
+    ``lead`` within a block then finds every row's next; after the last row comes the first. Blocks are even
+    steps within ranges cut at quantiles of the ids, about ``rows_of_block`` rows each, so their number grows
+    with the table while the quantiles do not; the texts are shuffled once.
     """
     ids = docs.select("_id")
-    bounds = ids.agg(F.percentile_approx("_id", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] or []
-    bounds = sorted(set(bounds))
+    stats = ids.agg(F.percentile_approx("_id", [k / ranges for k in range(1, ranges)], 20 * ranges), F.min("_id"), F.max("_id"), F.count("*")).first()
+    bounds = sorted(set(stats[0] or []))
+    steps = max(1, -(-stats[3] // ((len(bounds) + 1) * rows_of_block)))
     edges = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    block = F.size(F.filter(edges, lambda b: b < F.col("_id")))
+    rank = F.size(F.filter(edges, lambda b: b < F.col("_id")))
+    low = F.coalesce(F.get(edges, rank - 1), F.lit(stats[1])).cast("double")
+    high = F.coalesce(F.get(edges, rank), F.lit(stats[2])).cast("double")
+    part = F.when(high > low, F.floor((F.col("_id").cast("double") - low) / (high - low) * steps)).otherwise(F.lit(0))
+    step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.coalesce(part, F.lit(0)))) if steps > 1 else F.lit(0)
+    block = (rank.cast("long") * steps + step).cast("long")
     firsts = ids.groupBy(block.alias("_block")).agg(F.min("_id").alias("_low"), F.max(F.col("_id").isNull()).alias("_none"))
-    firsts = firsts.select("_block", F.when(F.col("_none"), F.lit(None)).otherwise(F.col("_low")).alias("_first"))
-    # At most ``blocks`` rows from here on.
-    ring = cut(firsts.select("_first", F.coalesce(F.lag("_block").over(Window.orderBy("_block")), F.max("_block").over(Window.partitionBy())).alias("_to")))
-    ghosts = docs.join(F.broadcast(ring), F.col("_id").eqNullSafe(F.col("_first")))
+    firsts = firsts.select("_block", F.floor(F.col("_block") / steps).alias("_range"), F.when(F.col("_none"), F.lit(None)).otherwise(F.col("_low")).alias("_first"))
+    firsts = cut(firsts.withColumn("_back", F.lag("_block").over(Window.partitionBy("_range").orderBy("_block"))).withColumn("_last", F.max("_block").over(Window.partitionBy("_range"))))
+    # The last block of the range before: at most ``ranges`` rows.
+    before = firsts.groupBy("_range").agg(F.max("_last").alias("_l"))
+    before = before.select(F.col("_range").alias("_r"), F.coalesce(F.lag("_l").over(Window.orderBy("_range")), F.max("_l").over(Window.partitionBy())).alias("_prior"))
+    ring = cut(firsts.join(F.broadcast(before), F.col("_range") == F.col("_r")).select("_first", F.coalesce("_back", "_prior").alias("_to")))
+    ghosts = docs.join(small(ring), F.col("_id").eqNullSafe(F.col("_first")))
     ghosts = ghosts.groupBy("_to", "_id").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
     mine = docs.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), block.alias("_block"), F.lit(0).alias("_ghost"))
     return mine.union(ghosts.select("_id", "_text", F.col("_to").alias("_block"), F.lit(1).alias("_ghost")))
@@ -108,12 +119,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_signatures(rows, "_text", "_s", chain).select(F.col("_id").alias(id_col), F.col("_s").alias("signatures"))
 
 
-def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, rows_of_block: int = ROWS_OF_BLOCK) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and its likeness to this and to the next document.
 
     Edited: the last half (rounded down) of the code points gives way to as many first ones of the next document.
     """
-    rows = with_next(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
+    rows = with_next(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), ranges, rows_of_block)
     order = Window.partitionBy("_block").orderBy("_ghost", F.col("_id").asc_nulls_first(), "_text")
     rows = with_signatures(rows, "_text", "_s")
     rows = rows.withColumns({"_next": F.lead("_text").over(order), "_ns": F.lead("_s").over(order)}).filter("_ghost = 0")

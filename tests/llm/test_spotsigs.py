@@ -61,6 +61,7 @@ def test_nulls_ties_repeats_and_long_texts(spark):
     rows = [(5, "The cat of the house, and a dog."), (5, "The cat of the house, and a dog."), (5, "Z"), (None, "a"), (7, None), (8, ""), (-3, "é la \U0001f600 of"), (10**15, "word the " * 4000), (9, "the")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     assert result(spotsigs.compare_with_edited(docs)) == expected(rows)
+    assert result(spotsigs.compare_with_edited(docs, ranges=3, rows_of_block=1)) == expected(rows)
     one = docs.limit(1)
     assert result(spotsigs.compare_with_edited(one)) == expected([tuple(one.first())[:2]])
     assert spotsigs.compare_with_edited(docs.limit(0)).count() == 0
