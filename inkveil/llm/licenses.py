@@ -1,10 +1,10 @@
 """License scans: passages compared to license templates by Dice's coefficient over word bigrams.
 
 Text and templates are normalised alike: lower-cased, cut into runs of letters and digits. A passage is a
-run of whole lines. Its likeness to a template is 2 * shared / (bigrams of both), over bags of bigrams; a
+run of words, in a line or across lines; it begins and ends with a bigram of the template. Its likeness to a template is 2 * shared / (bigrams of both), over bags of bigrams; a
 match reaches ``threshold``. Size bounds prune: a match of threshold t has between t / (2 - t) and
-(2 - t) / t times the template's bigrams, and shares at least t / 2 of both; a line starts or ends a passage
-only if it holds a bigram of some template. What remains is compared exactly. Of overlapping matches of one
+(2 - t) / t times the template's bigrams, and shares at least t / 2 of both; a passage starts
+only where enough of the template's bigrams follow within its largest size. What remains is compared exactly. Of overlapping matches of one
 license the likest stays, then the earliest, then the shortest.
 
 Runs in Arrow batches where the text lies, without a shuffle; whole texts, never prefixes. Null or empty
@@ -15,6 +15,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -69,7 +70,7 @@ class Scanner:
         self.most = max(self.high, default=0)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, likeness, first line, last line) of the matches, likest first."""
+        """(license, likeness, first line, last line) of the runs of whole lines that match, likest first."""
         if not self.bigrams or not text:
             return []
         lines = text.split("\n")
@@ -115,6 +116,58 @@ class Scanner:
                 kept.append((name, -minus, s, e))
         return kept
 
+    def passages(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(license, likeness, first line, last line) of the runs of words that match, likest first."""
+        if not self.bigrams or not text:
+            return []
+        words: list[str] = []
+        begin = []
+        for line in text.split("\n"):
+            begin.append(len(words))
+            words += _WORD.findall(line.lower())
+        pairs, first = self.bigrams, self.first
+        hits = [i for i, w in enumerate(words[:-1]) if w in first and (w, words[i + 1]) in pairs]
+        if len(hits) < self.least:
+            return []
+        bigrams = [(words[i], words[i + 1]) for i in hits]
+        found = []
+        for t, own in enumerate(self.bags):
+            size, high = self.sizes[t], self.high[t]
+            at = [(i, b) for i, b in zip(hits, bigrams) if b in own]
+            # The shared bigrams are at least ``low`` in number; so many must lie within ``high``.
+            need = max(1, int(np.ceil(self.low[t] - 1e-9)))
+            if not size or len(at) < need:
+                continue
+            p = np.array([i for i, _ in at])
+            for i in np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] < high + 1e-9).tolist():
+                s = at[i][0]
+                left = dict(own)
+                shared = 0
+                for k in range(i, len(at)):
+                    e, b = at[k]
+                    n = e - s + 1
+                    if n > high + 1e-9:
+                        break
+                    if left[b]:
+                        left[b] -= 1
+                        shared += 1
+                    likeness = 2 * shared / (n + size)
+                    if likeness >= self.threshold:
+                        found.append((-likeness, self.names[t], s, e + 1))
+        found.sort()
+        kept: list[tuple[str, float, int, int]] = []
+        taken: dict[str, list[tuple[int, int]]] = {}
+        for minus, name, s, e in found:
+            # The kept passages of a license are apart, so only the neighbours can overlap.
+            spans = taken.setdefault(name, [])
+            k = bisect_left(spans, (s, e))
+            if not (k and spans[k - 1][1] >= s) and not (k < len(spans) and spans[k][0] <= e):
+                insort(spans, (s, e))
+                kept.append((name, -minus, s, e))
+        edges = np.array(begin)
+        line = lambda i: int(np.searchsorted(edges, i, "right")) - 1
+        return [(name, x, line(s), line(e)) for name, x, s, e in kept]
+
 
 @lru_cache(4)
 def scanner(templates: tuple[tuple[str, str], ...], threshold: float) -> Scanner:
@@ -132,7 +185,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = scanner(fixed, threshold)
         names = ("license", "likeness", "first_line", "last_line")
         for b in batches:
-            found = [[dict(zip(names, m)) for m in own.scan(t)] for t in b.column(1).to_pylist()]
+            found = [[dict(zip(names, m)) for m in own.passages(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(match))], names=[id_col, "matches"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, matches array<struct<license:string,likeness:double,first_line:int,last_line:int>>")

@@ -58,3 +58,40 @@ def test_nulls_repeats_long_and_empty(spark):
     rows = licenses.license_report(docs).collect()
     assert sorted((str(r.doc_id), r.n_matches, r.license) for r in rows) == sorted([("1", 0, None), ("None", 0, None), ("2", 1, "MIT"), ("2", 0, None), ("2", 0, None), ("3", 0, None)], key=str)
     assert licenses.license_report(docs.limit(0)).count() == 0
+
+
+def brute_passages(text, templates, threshold):
+    """The best likeness of each license over every run of words."""
+    w = re.findall(r"[^\W_]+", text.lower())
+    best = {}
+    for name, template in templates:
+        t = re.findall(r"[^\W_]+", template.lower())
+        own = Counter(zip(t, t[1:]))
+        for s in range(len(w) - 1):
+            for e in range(s + 2, min(len(w), s + 2 * len(t)) + 1):
+                bag = Counter(zip(w[s:e], w[s + 1 : e]))
+                likeness = 2 * sum((bag & own).values()) / (sum(bag.values()) + sum(own.values()))
+                if likeness >= threshold:
+                    best[name] = max(best.get(name, 0), likeness)
+    return best
+
+
+def test_notices_inside_longer_lines(spark):
+    grant = next(t for _, t in licenses.TEMPLATES if t.startswith("Permission is hereby"))
+    texts = ["All of this code is released under the MIT License.", "See also: this project is released under the MIT License. Thanks.", "some other words " * 3000 + grant + " and more of them" * 3000, "Text.\nMore text, licensed under\nCC BY 4.0. And more."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(tuple(r)[:4] for r in licenses.license_report(docs).collect())
+    assert rows == [(0, 1, "MIT", 1.0), (1, 1, "MIT", 1.0), (2, 1, "MIT", 1.0), (3, 1, "CC-BY-4.0", 1.0)]
+    assert licenses.scanner(tuple(licenses.TEMPLATES), 0.8).passages(texts[3])[0][2:] == (1, 2)
+
+
+def test_best_passage_matches_brute_force():
+    rng = random.Random(3)
+    words = "licensed under the mit license version a of this work is cc by 4 0".split()
+    templates = [t for t in licenses.TEMPLATES if len(t[1]) < 120]
+    for _ in range(25):
+        parts = [rng.choice(words) for _ in range(rng.randrange(20))]
+        parts.insert(rng.randrange(len(parts) + 1), rng.choice(templates)[1])
+        text = " ".join(parts)
+        got = licenses.scanner(tuple(templates), 0.8).passages(text)
+        assert {n: max(x[1] for x in got if x[0] == n) for n in {x[0] for x in got}} == brute_passages(text, templates, 0.8)
