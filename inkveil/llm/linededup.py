@@ -5,12 +5,12 @@ of line ids (64-bit hashes). A line is deleted if it lies in a run of consecutiv
 ``min_words`` words that also stands earlier: in a document of smaller id, or further up in the same one.
 Lines without a word are skipped when runs are compared and deleted only inside a deleted run.
 
-The suffixes of the id sequences are ranked by prefix doubling: the class of 2, 4, 8, ... lines from a line
+No suffix array is built: runs are compared by hashes of windows. The class of 2, 4, 8, ... lines from a line
 on is the hash of the classes of its two halves, computed inside each row without a shuffle. A run of at
 least ``min_words`` words stands earlier exactly if the shortest such prefix of each of its suffixes (and
-the shortest such suffix of each of its prefixes) does: these prefixes are the LCP intervals of sufficient
-depth, at most ``min_words`` lines deep, so ``log2(min_words)`` doublings rank them all. Overlapping
-intervals with an earlier copy make up the maximal repeated runs. One pre-aggregated shuffle finds each
+the shortest such suffix of each of its prefixes) does: these windows are at most ``min_words`` lines deep,
+so ``log2(min_words)`` doublings make the classes of them all. Overlapping
+windows with an earlier copy make up the maximal repeated runs. One pre-aggregated shuffle finds each
 class's first document; the join back is on cut tables, so Spark can split the class of a very common line.
 
 Null or empty text: one line, nothing deleted. A null id comes after all others. Rows that share an id are
