@@ -9,7 +9,7 @@ from .common import documents
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    return suffixdedup.digests(documents(spark, sf_dir))
+    return suffixdedup.digests(documents(spark, sf_dir), short=suffixdedup.SHORT)
 
 
 def op2_mixing(spark, sf_dir):

@@ -8,73 +8,89 @@ that continue with equally many, to a group of its own just above those that con
 emits the order: going up the sorted suffixes, each fixes the place, at the front of its group, of every
 suffix for which it is the next smaller one. There is no recursion and nothing is renamed (Baier,
 "Linear-time Suffix Sorting", CPM 2016, gives the idea; this is a design of its own).
+
+Nothing is sorted by comparison: symbols, groups and numbers of copies index lists.
 """
 
 from __future__ import annotations
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
-    """The starts of the suffixes of ``symbols`` (non-negative integers) in ascending order.
+    """The starts of the suffixes of ``symbols`` in ascending order; symbols are numbers from 0, of the text's size at most or so.
 
     A suffix that is a prefix of another comes first.
     """
     n = len(symbols)
     if n == 0:
         return []
-    buckets: dict[int, list[int]] = {}
+    buckets: list[list[int]] = [[] for _ in range(max(symbols) + 1)]
     for i, s in enumerate(symbols):
-        buckets.setdefault(s, []).append(i)
+        buckets[s].append(i)
     # A group's number is the place of its first suffix in the order; groups tile the places.
     group = [0] * n
-    members: dict[int, set[int]] = {}
-    ending: dict[int, int] = {}  # past a group's last place -> its number
+    members: list[set[int] | None] = [None] * n
+    ending = [0] * (n + 1)  # past a group's last place -> its number
     start = 0
-    for s in sorted(buckets):
-        own = buckets[s]
-        members[start] = set(own)
-        for i in own:
-            group[i] = start
-        ending[start + len(own)] = start
-        start += len(own)
-    before = [-1] * n  # previous smaller suffix
+    for own in buckets:
+        if own:
+            members[start] = set(own)
+            for i in own:
+                group[i] = start
+            ending[start + len(own)] = start
+            start += len(own)
+    unknown = -2
+    before = [unknown] * n  # previous smaller suffix
     top = n
     while top > 0:
         top = g = ending[top]
         count: dict[int, int] = {}
-        for s in sorted(members.pop(g)):
-            j = s - 1
-            while j >= 0 and group[j] >= g:
-                j = before[j]
-            before[s] = j
-            if j >= 0:
-                count[j] = count.get(j, 0) + 1
-        # By group and number of copies: the more copies, the higher the new group.
-        moved: dict[tuple[int, int], list[int]] = {}
-        for j, k in count.items():
-            moved.setdefault((group[j], -k), []).append(j)
-        for h, k in sorted(moved) if len(moved) > 1 else moved:
-            part = moved[h, k]
-            rest = members[h]
-            if len(part) == len(rest):
+        own = members[g]
+        members[g] = None
+        for s in own:
+            if before[s] != unknown:
                 continue
-            rest.difference_update(part)
-            new = h + len(rest)
-            ending[new + len(part)] = new
-            ending[new] = h
-            members[new] = set(part)
-            for i in part:
-                group[i] = new
+            # What stands in the way of a suffix, of its own group and not passed yet, is passed first.
+            path = [(s, s - 1)]
+            while path:
+                t, j = path.pop()
+                while j >= 0 and group[j] >= g and before[j] != unknown:
+                    j = before[j]
+                if j >= 0 and group[j] >= g:
+                    path.append((t, j))
+                    path.append((j, j - 1))
+                    continue
+                before[t] = j
+                if j >= 0:
+                    count[j] = count.get(j, 0) + 1
+        # The more copies, the higher the new group within the old one.
+        copies: list[list[int]] = [[] for _ in range(max(count.values(), default=0) + 1)]
+        for j, k in count.items():
+            copies[k].append(j)
+        for some in reversed(copies):
+            moved: dict[int, list[int]] = {}
+            for j in some:
+                moved.setdefault(group[j], []).append(j)
+            for h, part in moved.items():
+                rest = members[h]
+                if len(part) == len(rest):
+                    continue
+                rest.difference_update(part)
+                new = h + len(rest)
+                ending[new + len(part)] = new
+                ending[new] = h
+                members[new] = set(part)
+                for i in part:
+                    group[i] = new
     # Phase 2: the empty suffix comes first of all.
     order = [0] * n
-    free: dict[int, int] = {}
+    free = list(range(n))
     for i in range(-1, n):
         s = order[i] if i >= 0 else n
         stop = before[s] if i >= 0 else -1
         x = s - 1
         while x != stop:
-            g = group[x]
-            at = free.get(g, g)
+            at = free[group[x]]
             order[at] = x
-            free[g] = at + 1
+            free[group[x]] = at + 1
             x = before[x]
     return order
