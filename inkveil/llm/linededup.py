@@ -1,20 +1,23 @@
 """Line dedup: later copies of repeated runs of lines are deleted, the first copy stays.
 
 Main path: built-in functions only. A text is split at ``\\n``; the lines that hold a word form its sequence
-of line ids (64-bit hashes). A line is deleted if it lies in a run of consecutive lines of at least
-``min_words`` words that also stands earlier: in a document of smaller id, or further up in the same one.
-Lines without a word are skipped when runs are compared and deleted only inside a deleted run.
-
-No suffix array is built: runs are compared by hashes of windows. The class of 2, 4, 8, ... lines from a line
-on is the hash of the classes of its two halves, computed inside each row without a shuffle. A run of at
-least ``min_words`` words stands earlier exactly if the shortest such prefix of each of its suffixes (and
-the shortest such suffix of each of its prefixes) does: these windows are at most ``min_words`` lines deep,
-so ``log2(min_words)`` doublings make the classes of them all. Overlapping
-windows with an earlier copy make up the maximal repeated runs. One pre-aggregated shuffle finds each
-class's first document; the join back is on cut tables, so Spark can split the class of a very common line.
-
-Null or empty text: one line, nothing deleted. A null id comes after all others. Rows that share an id are
-told apart by a hash of their text; rows that share both keep or lose the same lines, and the first copy
+of line ids. A line is deleted if it lies in a run of consecutive lines of at least ``min_words`` words that
+also stands earlier: in a document of smaller id, or further up in the same one. Lines without a word are
+skipped when runs are compared and go with a deleted run that they lie inside of.
+
+Suffixes of the line sequences are ranked by distributed prefix doubling. A line's rank is its place among all
+lines, sorted by a 128-bit hash; a suffix's rank by 2, 4, 8, ... lines is that of the pair of its rank by half
+as many and that of the suffix as far ahead, numbered across range partitions, so no group of equal ranks is
+ever in one task. Suffixes that share their first lines with no other drop out of a round. A longest-common-prefix
+interval of depth m, the suffixes that share m lines or more, is named by the ranks of the two power-of-two
+stretches that make up the m lines (exact: equal ranks are equal lines). Every repeated run of ``min_words`` words
+is made up of the shortest such runs that begin or end at one of its lines, so intervals deeper than ``min_words``
+lines need not be told apart and ``log2(min_words)`` doublings do; overlapping runs join up to the maximal ones. All
+copies of a run but the first in its interval are deleted, from its first line to its last.
+
+Counts are pre-aggregated before each shuffle; joins back are on cut tables, so Spark can split the rows of a very
+common line. Null or empty text: one line, nothing deleted. A null id comes after all others. Rows that share an
+id are told apart by a hash of their text; rows that share both keep or lose the same lines, and the first copy
 among rows of one id is that of the smallest (text hash, line). An empty table gives an empty result. Other
 columns are ignored by ``line_dedup`` and carried by ``dedup_rows``.
 """
@@ -28,64 +31,102 @@ from pyspark.sql.window import Window
 from .common import SPACE, cut
 
 MIN_WORDS = 10
+DOC = ["_id", "_th"]
 
 
-def _class(levels: list[str], at: Column, length: Column) -> Column:
-    """Class of ``length`` lines from ``at`` on, of the doubled classes in the columns ``levels``."""
-    out = length.cast("bigint")
-    for k in reversed(range(len(levels))):
-        has = length.bitwiseAND(1 << k) != 0
-        # Lines of the longer powers of two in ``length`` come first.
-        skip = F.shiftleft(F.shiftright(length, k + 1), k + 1)
-        out = F.when(has, F.xxhash64(out, F.get(F.col(levels[k]), at + skip))).otherwise(out)
-    return out
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, p, i, ahead, back, alone, h1, h2): the lines with words, p their number among these, i among all.
 
-
-def _doubled(level: str, step: int) -> Column:
-    return F.transform(level, lambda c, i: F.xxhash64(c, F.get(F.col(level), i + step)))
-
-
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _th, cls, a, b): the shortest sufficient windows of every text, as raw line numbers a to b."""
+    ``ahead`` and ``back``: lines of the shortest run of two or more from or to this one with ``min_words`` words,
+    0 if there is none; ``alone``: whether the line has so many by itself.
+    """
     t = F.coalesce(F.col("_text"), F.lit(""))
     df = docs.select("_id", F.xxhash64(t).alias("_th"), F.split(t, "\n").alias("_l"))
-    counts = F.transform("_l", lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("w"), F.xxhash64(x).alias("h")))
-    df = df.select("_id", "_th", F.filter(counts, lambda x: x["w"] > 0).alias("_c"))
-    df = df.select("_id", "_th", F.col("_c.i").alias("_i"), F.col("_c.w").alias("_w"), F.col("_c.h").alias("c0"), F.size("_c").alias("_n"))
-    levels = ["c0"]
-    while 1 << len(levels) <= min_words:
-        df = df.withColumn(f"c{len(levels)}", _doubled(levels[-1], 1 << (len(levels) - 1)))
-        levels.append(f"c{len(levels)}")
-
-    def length(at: Column, step: int) -> Column:
-        """Lines from ``at`` on (or back) up to ``min_words`` words; 0 if there are too few."""
-        run = F.when(F.get("_w", at) >= min_words, F.lit(1))
+    counts = F.transform("_l", lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("w"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))
+    df = df.select(*DOC, F.filter(counts, lambda x: x["w"] > 0).alias("_c"))
+    df = df.select(*DOC, "_c", F.transform("_c", lambda x: F.least(x["w"], F.lit(min_words))).alias("_w"))
+
+    def lines(at: Column, step: int) -> Column:
         total = F.get("_w", at)
-        for m in range(2, min_words + 1):
-            total = total + F.get("_w", at + step * (m - 1))
-            run = run.when(total >= min_words, F.lit(m))
+        run = None
+        for m in range(2, max(2, min_words) + 1):
+            total = total + F.get("_w", at + step * (m - 1))  # null past either end
+            run = F.when(total >= min_words, F.lit(m)) if run is None else run.when(total >= min_words, F.lit(m))
         return F.coalesce(run, F.lit(0))
 
-    # The sums of up to min_words lines are short chains; nulls past either end make a window too long not exist.
-    ix = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_f", F.transform(ix, lambda i: F.struct(i.alias("at"), length(i, 1).alias("m"))))
-    df = df.withColumn("_b", F.transform(ix, lambda i: F.struct(i.alias("end"), length(i, -1).alias("m"))))
-    forward = F.transform(F.filter("_f", lambda x: x["m"] > 0), lambda x: F.struct(F.xxhash64(F.lit(0), _class(levels, x["at"], x["m"])).alias("cls"), F.get("_i", x["at"]).alias("a"), F.get("_i", x["at"] + x["m"] - 1).alias("b")))
-    backward = F.transform(F.filter("_b", lambda x: x["m"] > 1), lambda x: F.struct(F.xxhash64(F.lit(1), _class(levels, x["end"] - x["m"] + 1, x["m"])).alias("cls"), F.get("_i", x["end"] - x["m"] + 1).alias("a"), F.get("_i", x["end"]).alias("b")))
-    return df.select("_id", "_th", F.explode(F.concat(forward, backward)).alias("x")).select("_id", "_th", "x.cls", "x.a", "x.b")
+    each = F.transform("_c", lambda x, p: F.struct(p.alias("p"), x["i"].alias("i"), lines(p, 1).alias("ahead"), lines(p, -1).alias("back"), (x["w"] >= min_words).alias("alone"), x["h1"].alias("h1"), x["h2"].alias("h2")))
+    return df.select(*DOC, F.explode(each).alias("x")).select(*DOC, "x.*")
+
+
+def _ranked(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, n -> keys and their rank: how many suffixes come before, by the order of the keys."""
+    parts = cut(counts.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.sum("n").alias("_size"))
+    # A row for each partition.
+    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    return parts.select(*keys, (F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias(name))
+
+
+def _suffixes(docs: DataFrame, min_words: int) -> tuple[DataFrame, int]:
+    """The repeated lines with their suffixes' ranks r0, r1, ... by 1, 2, 4, ... lines, and how many of these there are.
+
+    A rank is null where no other suffix shares so many lines.
+    """
+    lines = _lines(docs, min_words)
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    every = docs.select(F.explode(F.split(t, "\n")).alias("x")).select(F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("second"), "x").alias("h2"))
+    known = _ranked(every.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), ["h1", "h2"], "r0")
+    known = cut(known.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}))
+    rows = lines.join(known, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).drop("h1", "h2", "_h1", "_h2")
+    k = 0
+    while 2 << k <= max(2, min_words):
+        ahead = Window.partitionBy(*DOC).orderBy("p").rangeBetween(1 << k, 1 << k)
+        rows = cut(rows.withColumn("s", F.max(f"r{k}").over(ahead)))
+        pairs = rows.filter(f"r{k} IS NOT NULL AND s IS NOT NULL").groupBy(f"r{k}", "s").agg(F.count("*").alias("n")).filter("n > 1")
+        k += 1
+        pairs = cut(_ranked(pairs, [f"r{k - 1}", "s"], f"r{k}").withColumnsRenamed({f"r{k - 1}": "_r", "s": "_s"}))
+        rows = rows.join(pairs, (F.col(f"r{k - 1}") == F.col("_r")) & (F.col("s") == F.col("_s")), "left").drop("s", "_r", "_s")
+    return rows, k + 1
+
+
+def _runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, m, x, y, a, b): the shortest sufficient runs of m repeated lines, their interval (m, x, y), as raw lines a to b."""
+    rows, levels = _suffixes(docs, min_words)
+    # The lines of a document are as many as the document has.
+    ranks = [f"r{k}" for k in range(levels)]
+    docs_ = rows.groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("p", "i", "ahead", "back", "alone", *ranks)))).alias("_s"))
+
+    def interval(at: Column, m: Column) -> Column:
+        """The run of m lines from element ``at`` on; null unless all its lines are there and repeated together."""
+        first, last = F.get("_s", at), F.get("_s", at + m - 1)
+        x = y = F.lit(None).cast("bigint")
+        for k in range(levels):
+            here = (m >= 1 << k) & (m < 2 << k)
+            x = F.when(here, first[f"r{k}"]).otherwise(x)
+            y = F.when(here, F.get("_s", at + m - (1 << k))[f"r{k}"]).otherwise(y)
+        whole = (m > 0) & (last["p"] - first["p"] == m - 1) & x.isNotNull() & y.isNotNull()
+        return F.when(whole, F.struct(m.alias("m"), x.alias("x"), y.alias("y"), first["i"].alias("a"), last["i"].alias("b")))
+
+    def all_of(e: Column, j: Column) -> Column:
+        return F.array(interval(j, F.when(e["alone"], F.lit(1)).otherwise(F.lit(0))), interval(j, e["ahead"]), interval(j - e["back"] + 1, e["back"]))
+
+    found = docs_.select(*DOC, F.explode(F.array_distinct(F.flatten(F.transform("_s", all_of)))).alias("x"))
+    return found.filter("x IS NOT NULL").select(*DOC, "x.*")
 
 
 def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_id, _th, _gone): the sorted numbers of the lines to delete, of each text that has any."""
-    windows = _windows(docs, min_words)
-    firsts = windows.groupBy("cls").agg(F.min("_id").alias("_first"), F.count("*").alias("n")).filter("n > 1")
-    firsts = cut(firsts.select(F.col("cls").alias("_k"), "_first"))
-    many = windows.join(firsts, F.col("cls") == F.col("_k"))
+    runs = cut(_runs(docs, min_words))
+    firsts = runs.groupBy("m", "x", "y").agg(F.min("_id").alias("_first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = cut(firsts.select(F.col("m").alias("_m"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_first"))
+    many = cut(runs.join(firsts, (F.col("m") == F.col("_m")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))))
     later = many.filter(F.col("_first") < F.col("_id")).union(many.filter(F.col("_first").isNotNull() & F.col("_id").isNull()))
     own = many.filter(F.col("_first").eqNullSafe(F.col("_id")))
-    own = own.withColumn("_r", F.rank().over(Window.partitionBy("cls", "_id").orderBy("_th", "a"))).filter("_r > 1").drop("_r")
-    lines = later.union(own).select("_id", "_th", F.explode(F.sequence("a", "b")).alias("i"))
-    return lines.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("i")).alias("_gone"))
+    own = own.withColumn("_r", F.rank().over(Window.partitionBy("m", "x", "y", "_id").orderBy("_th", "a"))).filter("_r > 1").drop("_r")
+    gone = later.union(own).groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("_ab"))
+    return gone.select(*DOC, F.array_sort(F.array_distinct(F.flatten(F.transform("_ab", lambda x: F.sequence(x["a"], x["b"]))))).alias("_gone"))
 
 
 def _deduped(docs: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
@@ -136,19 +177,16 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, row_number() OVER () AS r FROM documents),
-x AS (SELECT r, doc_id, i, l[i] AS line, len(regexp_extract_all(l[i], '[^{SPACE}]+')) AS w FROM d, unnest(generate_series(1, len(l)::BIGINT)) AS s(i)),
-c AS (SELECT *, row_number() OVER k AS p, sum(w) OVER k AS upto FROM x WHERE w > 0 WINDOW k AS (PARTITION BY r ORDER BY i)),
-f AS (SELECT a.r, a.doc_id, 0 AS fam, a.i AS a, b.i AS b, a.p AS pa, b.p AS pb FROM c a JOIN c b ON a.r = b.r AND b.p BETWEEN a.p AND a.p + {MIN_WORDS} - 1
-    WHERE b.upto - a.upto + a.w >= {MIN_WORDS} AND b.upto - b.w - a.upto + a.w < {MIN_WORDS}),
-g AS (SELECT a.r, a.doc_id, 1 AS fam, a.i AS a, b.i AS b, a.p AS pa, b.p AS pb FROM c a JOIN c b ON a.r = b.r AND b.p BETWEEN a.p AND a.p + {MIN_WORDS} - 1
-    WHERE b.upto - a.upto + a.w >= {MIN_WORDS} AND b.upto - a.upto < {MIN_WORDS}),
-v AS (SELECT o.r, o.doc_id, o.fam, o.a, o.b, string_agg(c.line, chr(10) ORDER BY c.p) AS content
-    FROM (SELECT * FROM f UNION ALL SELECT * FROM g) o JOIN c ON c.r = o.r AND c.p BETWEEN o.pa AND o.pb GROUP BY ALL),
-e AS (SELECT *, row_number() OVER (PARTITION BY fam, content ORDER BY doc_id NULLS LAST, a) AS k FROM v),
-gone AS (SELECT DISTINCT r, i FROM e, unnest(generate_series(a, b)) AS s(i) WHERE k > 1),
+WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r FROM t),
+x AS (SELECT r, i, l[i] AS line, len(regexp_extract_all(l[i], '[^{SPACE}]+')) AS w FROM d, unnest(generate_series(1, len(l)::BIGINT)) AS s(i)),
+c AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS p FROM x WHERE w > 0),
+same AS (SELECT a.r, a.p, a.i, a.w, b.r AS r0, a.p - b.p AS apart FROM c a JOIN c b ON a.line = b.line AND (b.r < a.r OR (b.r = a.r AND b.p < a.p))),
+isle AS (SELECT *, p - row_number() OVER (PARTITION BY r, r0, apart ORDER BY p) AS n FROM same),
+run AS (SELECT DISTINCT r, min(i) AS a, max(i) AS b FROM isle GROUP BY r, r0, apart, n HAVING sum(w) >= {MIN_WORDS}),
+gone AS (SELECT DISTINCT r, i FROM run, unnest(generate_series(a, b)) AS s(i)),
 n AS (SELECT r, count(*) AS n_removed, count(*) FILTER (fresh) AS n_runs FROM (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 1, true) AS fresh FROM gone) GROUP BY r),
 k AS (SELECT x.r, string_agg(x.line, chr(10) ORDER BY x.i) AS rest FROM x LEFT JOIN gone USING (r, i) WHERE gone.r IS NULL GROUP BY x.r)
-SELECT d.doc_id, len(d.l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(rest, '')) AS kept_sha256
-FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+SELECT o.doc_id, len(d.l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents o JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND coalesce(o.text, '') = d.text LEFT JOIN n USING (r) LEFT JOIN k USING (r)
 """

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -59,13 +60,33 @@ def test_planted_runs(spark):
     assert result(spark, rows, 10) == expected(rows, 10)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(st.sampled_from(["a", "b b", "c c c", "", " "]), max_size=9), min_size=1, max_size=5), st.sampled_from([1, 3, 4]))
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["a", "b b", "c c c", "d " * 5, "e " * 12, "", " "]), max_size=12), min_size=1, max_size=6), st.sampled_from([1, 3, 4, 10]))
 def test_random_texts(spark, texts, min_words):
     rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
     assert result(spark, rows, min_words) == expected(rows, min_words)
 
 
+def test_many_random_texts(spark):
+    rng = random.Random(4)
+    lines = ["a", "b b", "c c c", "d " * 5, "e " * 12, "f " * 10, "", " "] + [f"only {i}" for i in range(4)]
+    texts = [[rng.choice(lines) for _ in range(rng.randrange(14))] for _ in range(60)]
+    texts += [rng.choice(texts) + rng.choice(texts) for _ in range(30)]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    assert result(spark, rows, 10) == expected(rows, 10)
+
+
+def test_lines_without_words_inside_a_run_go(spark):
+    text = "\n".join(["a " * 12, "", "b " * 12])
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
+    assert sorted(tuple(r)[:4] for r in linededup.line_dedup(docs).collect()) == [(1, 3, 0, 0), (2, 3, 3, 1)]
+
+
+def test_whole_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert result(spark, rows, 10) == expected(rows, 10)
+
+
 def test_rows_keep_columns_and_empty_table(spark):
     line = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, line, "s", 9, 1, "x", 1), (2, line + "\nmore", "s", 9, 2, "y", 2), (3, line, "t", 9, 3, "z", 3), (4, None, None, None, None, None, None)], SCHEMA)
