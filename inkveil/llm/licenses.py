@@ -4,8 +4,9 @@ Text and templates are normalised alike: lower-cased, cut into runs of letters a
 run of words, in a line or across lines; it begins and ends with a bigram of the template. Its likeness to a template is 2 * shared / (bigrams of both), over bags of bigrams; a
 match reaches ``threshold``. Size bounds prune: a match of threshold t has between t / (2 - t) and
 (2 - t) / t times the template's bigrams, and shares at least t / 2 of both; a passage starts
-only where enough of the template's bigrams follow within its largest size. What remains is compared exactly. Of overlapping matches of one
-license the likest stays, then the earliest, then the shortest.
+only where enough of the template's bigrams follow within its largest size. What remains is compared exactly. Of overlapping matches
+the likest stays; of equally likely ones of one license the longest, then the earliest, and those of different
+licenses all. A text is walked once, each bigram looked up once for all templates.
 
 Runs in Arrow batches where the text lies, without a shuffle; whole texts, never prefixes. Null or empty
 text: no match. Null or repeated ids pass through; an empty table gives an empty result; other columns are
@@ -15,7 +16,6 @@ ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +27,44 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-# License notices in common use, by SPDX identifier.
+# Short licenses whole, and notices in common use, by SPDX identifier.
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
+    "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 TEMPLATES = [
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END),
+    ("BSD-2-Clause", _BSD_START + _BSD_1 + _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", _BSD_START + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END),
+    ("MIT", _MIT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY.replace("OR COPYRIGHT HOLDERS ", ""),
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license that can be found in the LICENSE file."),
@@ -42,7 +78,7 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", _MIT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
@@ -64,58 +100,12 @@ class Scanner:
         self.low = [threshold / (2 - threshold) * n for n in self.sizes]
         self.high = [(2 - threshold) / threshold * n for n in self.sizes]
         self.bigrams = set().union(*self.bags) if self.bags else set()
+        self.holders = {b: [t for t, own in enumerate(self.bags) if b in own] for b in self.bigrams}
         # Words that begin a template's bigram: a cheap test before any pair is built.
         self.first = {a for a, _ in self.bigrams}
         self.least = min((n for n in self.low), default=0)
         self.most = max(self.high, default=0)
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, likeness, first line, last line) of the runs of whole lines that match, likest first."""
-        if not self.bigrams or not text:
-            return []
-        lines = text.split("\n")
-        words: list[str] = []
-        begin = []
-        for line in lines:
-            begin.append(len(words))
-            words += _WORD.findall(line.lower())
-        begin.append(len(words))
-        pairs, first = self.bigrams, self.first
-        hits = [i for i, w in enumerate(words[:-1]) if w in first and (w, words[i + 1]) in pairs]
-        if len(hits) < self.least:
-            return []
-        at = np.array(hits)
-        edges = np.array(begin)
-        # Lines that may start (their hit begins in them) or end (it ends in them) a passage.
-        starts = np.unique(np.searchsorted(edges, at, "right") - 1).tolist()
-        ends = np.unique(np.searchsorted(edges, at + 1, "right") - 1).tolist()
-        found = []
-        k0 = 0
-        for s in starts:
-            while k0 < len(ends) and ends[k0] < s:
-                k0 += 1
-            i = int(np.searchsorted(at, begin[s]))
-            for e in ends[k0:]:
-                n = begin[e + 1] - begin[s] - 1
-                if n > self.most:
-                    break
-                j = int(np.searchsorted(at, begin[e + 1] - 1))
-                if j - i < self.threshold / 2 * (n + self.least):
-                    continue
-                bag = Counter((words[p], words[p + 1]) for p in hits[i:j])
-                for t, own in enumerate(self.bags):
-                    if not self.low[t] <= n <= self.high[t] or 2 * (j - i) < self.threshold * (n + self.sizes[t]):
-                        continue
-                    likeness = 2 * sum(min(c, own[b]) for b, c in bag.items() if b in own) / (n + self.sizes[t])
-                    if likeness >= self.threshold:
-                        found.append((-likeness, self.names[t], s, e))
-        found.sort(key=lambda x: (x[0], x[1], x[2], x[3]))
-        kept: list[tuple[str, float, int, int]] = []
-        for minus, name, s, e in found:
-            if not any(name == k[0] and s <= k[3] and k[2] <= e for k in kept):
-                kept.append((name, -minus, s, e))
-        return kept
-
     def passages(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, likeness, first line, last line) of the runs of words that match, likest first."""
         if not self.bigrams or not text:
@@ -129,11 +119,15 @@ class Scanner:
         hits = [i for i, w in enumerate(words[:-1]) if w in first and (w, words[i + 1]) in pairs]
         if len(hits) < self.least:
             return []
-        bigrams = [(words[i], words[i + 1]) for i in hits]
+        places: list[list[tuple[int, tuple[str, str]]]] = [[] for _ in self.bags]
+        for i in hits:
+            b = (words[i], words[i + 1])
+            for t in self.holders[b]:
+                places[t].append((i, b))
         found = []
         for t, own in enumerate(self.bags):
             size, high = self.sizes[t], self.high[t]
-            at = [(i, b) for i, b in zip(hits, bigrams) if b in own]
+            at = places[t]
             # The shared bigrams are at least ``low`` in number; so many must lie within ``high``.
             need = max(1, int(np.ceil(self.low[t] - 1e-9)))
             if not size or len(at) < need:
@@ -153,16 +147,20 @@ class Scanner:
                         shared += 1
                     likeness = 2 * shared / (n + size)
                     if likeness >= self.threshold:
-                        found.append((-likeness, self.names[t], s, e + 1))
+                        found.append((-likeness, s - e, s, e + 1, self.names[t]))
         found.sort()
         kept: list[tuple[str, float, int, int]] = []
-        taken: dict[str, list[tuple[int, int]]] = {}
-        for minus, name, s, e in found:
-            # The kept passages of a license are apart, so only the neighbours can overlap.
-            spans = taken.setdefault(name, [])
-            k = bisect_left(spans, (s, e))
-            if not (k and spans[k - 1][1] >= s) and not (k < len(spans) and spans[k][0] <= e):
-                insort(spans, (s, e))
+        covered = bytearray(len(words))  # by likelier matches
+        mine: dict[str, bytearray] = {}  # by matches of one license
+        marked = 0
+        for minus, _, s, e, name in found:
+            while marked < len(kept) and kept[marked][1] > -minus:
+                _, _, x, y = kept[marked]
+                covered[x : y + 1] = bytes([1]) * (y + 1 - x)
+                marked += 1
+            own = mine.setdefault(name, bytearray(len(words)))
+            if 1 not in covered[s : e + 1] and 1 not in own[s : e + 1]:
+                own[s : e + 1] = bytes([1]) * (e + 1 - s)
                 kept.append((name, -minus, s, e))
         edges = np.array(begin)
         line = lambda i: int(np.searchsorted(edges, i, "right")) - 1

@@ -1,7 +1,8 @@
 """URL filters: dated list entries as validity intervals, joined as of each capture's fetch time.
 
 A list holds (key, day, action) events. A key is a domain (``example.com``: that host and all under it) or a
-domain with a path (``example.com/ads``: that path and all under it, at ``/``); action is ``add`` or ``remove``. An entry is active from
+domain with a path (``example.com/ads``: that path and all under it, at ``/``). Hosts are compared in lower case,
+paths as they are written; action is ``add`` or ``remove``. An entry is active from
 an ``add`` to the key's next event; events of one key and day count as one, an ``add`` if any is. A capture
 is blocked if any key that it falls under is active on the day of its fetch; the longest such key is named,
 of equally long ones the first.
@@ -48,9 +49,15 @@ def keys_of(url: Column) -> Column:
     return F.when(F.length(host_of(url)) > 0, every)
 
 
+def key_of(entry: Column) -> Column:
+    """A list entry as a key: its host in lower case, its path as written, without a slash at the end."""
+    host = F.substring_index(entry, "/", 1)
+    return F.rtrim(F.concat(F.lower(host), F.substring(entry, F.length(host) + 1, F.length(entry))), F.lit("/"))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(key, since, until) of the days on which each key is active; ``until`` is exclusive, null: still active."""
-    e = events.select(F.rtrim(F.lower("key"), F.lit("/")).alias("key"), F.col("day").cast("date").alias("day"), "action")
+    e = events.select(key_of(F.col("key")).alias("key"), F.col("day").cast("date").alias("day"), "action")
     e = e.filter(F.col("key").isNotNull() & F.col("day").isNotNull() & F.col("action").isin("add", "remove"))
     e = e.groupBy("key", "day").agg(F.max(F.col("action") == "add").alias("on"))
     return e.select("key", F.col("day").alias("since"), "on", F.lead("day").over(Window.partitionBy("key").orderBy("day")).alias("until")).filter("on").drop("on")
@@ -85,6 +92,9 @@ EVENTS = [
     ("example.net/de", "2024-05-01", "add"),
     ("example.net/de", "2024-08-01", "remove"),
     ("m.casino-win.example.com", "2024-03-01", "add"),
+    ("M.Ththth.Example.net/en", "2024-02-01", "add"),
+    ("example.com/EN", "2024-01-01", "add"),
+    ("example.com/Fr/", "2024-01-01", "add"),
 ]
 
 
@@ -94,7 +104,8 @@ def fetched_day(page_id: Column) -> Column:
 
 
 ORACLE = f"""
-WITH e(key, day, action) AS (VALUES {", ".join(f"('{k}', DATE '{d}', '{a}')" for k, d, a in EVENTS)}),
+WITH given(entry, day, action) AS (VALUES {", ".join(f"('{k}', DATE '{d}', '{a}')" for k, d, a in EVENTS)}),
+e AS (SELECT rtrim(lower(split_part(entry, '/', 1)) || substr(entry, length(split_part(entry, '/', 1)) + 1), '/') AS key, day, action FROM given),
 p AS (SELECT page_id, (DATE '2024-01-01' + (page_id % 366)::INTEGER)::DATE AS fetched,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
     row_number() OVER () AS r FROM pages),

@@ -1,10 +1,12 @@
 import random
+from functools import lru_cache
 
 from inkveil.llm import tokencounts
 
 COUNTER = tokencounts.Counter(tokencounts.default_model())
 
 
+@lru_cache(None)
 def brute(word):
     """The same choice by a plain left-to-right table of (score, pieces) over one word."""
     s = tokencounts.MARK + word
@@ -41,3 +43,11 @@ def test_nulls_long_repeats_and_empty(spark):
     the = brute("the")
     assert rows == sorted([("1", 0, 0), ("None", 0, 0), ("2", 2, brute("ab" * 5000) + the), ("2", 1, the), ("2", 1, the)])
     assert tokencounts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencounts.token_counts(docs).collect()}
+    for r in docs.collect():
+        words = [w.decode() for w in (r.text or "").encode().split()]
+        assert got[r.doc_id] == (len(words), sum(map(brute, words)))
