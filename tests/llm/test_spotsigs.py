@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import xxhash
 
@@ -76,3 +77,55 @@ def test_pruning_is_exact(spark):
     df = spark.createDataFrame([(a, b) for a, b in itertools.product(sets, sets)], "a array<bigint>, b array<bigint>")
     for r in df.select("a", "b", spotsigs.alike(F.col("a"), F.col("b")).alias("x"), spotsigs.likeness(F.col("a"), F.col("b")).alias("j")).collect():
         assert r.j == likeness(r.a, r.b) and r.x == (likeness(r.a, r.b) >= 0.8)
+
+
+def classes(rows):
+    """Class and its size of each row, by comparing all pairs of sets."""
+    sets = [frozenset(brute(t)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and likeness(sets[i], sets[j]) >= 0.8:
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i][0])
+    name = {r: min((x for x in ids if x is not None), default=None) for r, ids in groups.items()}
+    return sorted(((rows[i][0], name[find(i)], len(groups[find(i)])) for i in range(len(rows))), key=str)
+
+
+def test_similar_documents_match_all_pairs(spark, sf_dir, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for base in rng.sample([t for _, t in rows if len(t) > 300], 6):  # near copies, some just beyond the threshold
+        for _ in range(25):
+            w = base.split(" ")
+            for _ in range(rng.randrange(1, max(2, len(w) // 12))):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((10_000 + len(rows), " ".join(w)))
+    rows += [(None, rows[0][1]), (77_777, None), (77_778, ""), rows[1], (None, "entirely of its own making"), (None, rows[2][1])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, node string, n int")
+    want = classes(rows)
+    assert max(x[2] for x in want) > 3
+    for large, tile in ((32, 512), (4, 3)):
+        monkeypatch.setattr(spotsigs, "LARGE", large)
+        monkeypatch.setattr(spotsigs, "TILE", tile)
+        assert sorted((tuple(r) for r in spotsigs.similar_documents(table).collect()), key=str) == want
+    assert spotsigs.similar_documents(table.limit(0)).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"k{n}", t) for n, t in enumerate(["The cat of the house, and a dog.", "Z", None, "", "é la 😀 of", "word the " * 40, "the", "a b c"])] + [(None, "a"), ("k1", "Z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    own = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] or ""))
+    number = {k: i for i, k in enumerate(sorted({r[0] for r in rows if r[0]}))}
+    want = [(r[0], *r[1:]) for r in expected([(number.get(r[0]), r[1]) for r in own])]
+    got = [(number.get(r.doc_id), *tuple(r)[1:7]) for r in spotsigs.compare_with_edited(docs, ranges=3, rows_of_block=2).collect()]
+    assert sorted(got, key=str) == want
