@@ -21,6 +21,18 @@ def sealed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the cluster's shared checkpoint folder and cuts its lineage there."""
     context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="inkveil-ckpt-"))  # tests only: a cluster names the folder
+    if context.getCheckpointDir() is None:
+        # A local session, as in tests, gets a temporary folder; a cluster must name one.
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="inkveil-ckpt-"))
     return df.checkpoint()
+
+
+#: Most rows of a table that is broadcast, whatever the session's threshold: a proven bound, counted first.
+BROADCAST_ROWS = 1000
+
+
+def few(df: DataFrame) -> bool:
+    """Whether a static table counts no more than ``BROADCAST_ROWS``."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

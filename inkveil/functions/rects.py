@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import CONFIG, NAME_CHARACTER
 from .numbers import half_up, median_or_zero, positive_box
+from .plan import sealed
 
 
 def _rect(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -43,7 +44,7 @@ def paint_box(box: Column, symbols: Column) -> Column:
 def visual_rect(box: Column, symbols: Column, source: Column, width: Column, height: Column) -> dict[str, Column]:
     """Steps to the covering rectangle as named columns, to be added in turn; the last is ``rect``.
 
-    Each step is a column of its own, so no expression is evaluated twice.
+    Later steps read earlier ones several times over, so each must be evaluated before the next.
     """
     p, c = F.col("_p"), F.col("_c")
     own = _boxed(symbols)
@@ -90,9 +91,9 @@ def visual_rect(box: Column, symbols: Column, source: Column, width: Column, hei
 def add_visual_rect(df, box: Column, symbols: Column, source: Column, width: Column, height: Column):
     """``df`` with ``rect``, the covering rectangle."""
     steps = visual_rect(box, symbols, source, width, height)
-    for name, c in steps.items():
-        df = df.withColumn(name, c)
-    return df.drop(*[k for k in steps if k.startswith("_")])
+    for names in (("_p", "_c", "_short", "_mw"), ("_s",), ("_n",), ("_e",)):
+        df = sealed(df, {k: steps[k] for k in names})
+    return df.withColumn("rect", steps["rect"]).drop(*[k for k in steps if k.startswith("_")])
 
 
 def manual_rect(box: Column) -> Column:

@@ -44,8 +44,17 @@ def ocr_language(target: Column) -> Column:
     return F.when(target.rlike(r"[぀-ヿ㐀-䶿一-鿿]"), F.lit("jpn")).otherwise(F.lit("eng"))
 
 
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """The same for up to 60 elements of ``a``: a row of the table is a number, a 0 bit where it steps up."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    full = bit(F.size(a)) - 1
+    places = F.transform(b, lambda c: F.aggregate(F.transform(a, lambda x, i: F.when(x == c, bit(i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, v: s + v))
+    row = F.aggregate(places, full, lambda v, k: ((v + v.bitwiseAND(k)).bitwiseOR(v.bitwiseAND(F.bitwise_not(k)))).bitwiseAND(full))
+    return F.size(a) - F.bit_count(row)
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table is folded at a time."""
+    """Length of the longest common subsequence of two arrays."""
 
     def row(before: Column, x: Column) -> Column:
         # acc: the new row so far; its last entry is the cell on the left.
@@ -53,7 +62,8 @@ def lcs_length(a: Column, b: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), step)
 
     table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(table, -1)).otherwise(F.lit(0))
+    some = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(some & (F.size(a) <= 60), _lcs_bits(a, b)).when(some, F.element_at(table, -1)).otherwise(F.lit(0))
 
 
 def sequence_similarity(a: Column, b: Column) -> Column:

@@ -1,7 +1,8 @@
 """Exact and near search of targets in lines of characters.
 
-Lines and targets meet on shared characters, an equality join, so only lines that can hold a target are
-searched; no product of all lines and all targets is built.
+A few targets (counted) go to where the lines lie. More of them meet the lines by an equality join of narrow rows,
+on one of the target's runs of three characters for the exact search and on shared characters for the near one,
+so only lines that can hold a target are searched; what a line carries is joined back to the lines that do.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.config import CONFIG
 from ..functions.numbers import half_up
-from ..functions.plan import sealed
+from ..functions.plan import few, sealed
 from ..functions.text import characters, is_near, least_shared, near_scores, normalize, occurrences
 
 LINE = ["image_id", "pass", "pass_ix", "line_ix"]
@@ -28,11 +29,33 @@ def box_of(units: Column) -> Column:
     return F.struct(side("x0", F.array_min).alias("x0"), side("y0", F.array_min).alias("y0"), side("x1", F.array_max).alias("x1"), side("y1", F.array_max).alias("y1"))
 
 
+#: Characters of a run by which lines and many targets meet; shorter targets meet whole.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(lines: DataFrame, targets: DataFrame) -> DataFrame:
+    """The lines (with ``text``) that hold a target, once for each: their columns, target_id, target."""
+    wanted = targets.select("target_id", "target")
+    if few(wanted):
+        return lines.join(F.broadcast(wanted), F.contains("text", "target"))
+    # Of a target's runs the one of smallest hash: targets that begin alike do not all meet at one key.
+    own = F.when(F.length("target") <= GRAM, F.col("target")).otherwise(F.array_min(F.transform(_grams(F.col("target"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    runs = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+    seen = lines.withColumn("_g", F.explode(runs)).join(wanted.withColumn("_g", own), "_g")
+    return seen.filter(F.contains("text", "target")).drop("_g")
+
+
 def exact_matches(lines: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per occurrence: image, target, pass, line, the characters and their box, in reading order."""
-    first = targets.select("target_id", "target", F.substring("target", 1, 1).alias("_c"))
-    seen = lines.withColumn("_c", F.explode(F.array_distinct(characters(F.col("text")))))
-    found = seen.join(first, "_c").filter(F.contains("text", "target"))
+    if lines.isStreaming or few(targets):
+        found = holding(lines, targets)
+    else:
+        found = holding(lines.select(*LINE, "text"), targets).join(lines.drop("text"), LINE)
     found = found.withColumn("at", F.explode(occurrences(F.col("text"), F.col("target"))))
     symbols = F.slice("units", F.col("at") + 1, F.length("target"))
     return found.select(*LINE, "target_id", "target", F.col("text").alias("line_text"), "at", symbols.alias("symbols"), box_of(symbols).alias("box"))

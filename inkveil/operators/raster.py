@@ -227,6 +227,17 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 6)) + part(b"IEND", b"")
 
 
+def grey_planes(images: DataFrame, boost: bool = False) -> DataFrame:
+    """(image_id, width, height, data): one byte of grey a pixel."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["data"] = [grey_plane(pixels(d, w, h), boost).tobytes() for d, w, h in zip(f["data"], f["width"], f["height"])]
+            yield f
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id string, width int, height int, data binary")
+
+
 def apply_kernel(images: DataFrame, variant: str) -> DataFrame:
     """Images with their pixels replaced by a variant's."""
     kernel = VARIANTS[variant]
@@ -239,13 +250,28 @@ def apply_kernel(images: DataFrame, variant: str) -> DataFrame:
     return images.mapInPandas(run, images.schema)
 
 
+def analysed(rgba: np.ndarray) -> tuple[np.ndarray, float]:
+    """The page on which regions and templates are sought, of bounded size, and its scale."""
+    height, width = rgba.shape[:2]
+    scale = min(1.0, CONFIG.analysis_width / width, float(np.sqrt(CONFIG.analysis_pixels / (width * height))))
+    if scale >= CONFIG.scale_snap:
+        return rgba, 1.0
+    return resize(rgba, max(1, int(half_up(width * scale))), max(1, int(half_up(height * scale)))), scale
+
+
+def page_regions(rgba: np.ndarray) -> list[dict]:
+    """``text_regions`` of the analysed page, in the image's own pixels."""
+    page, scale = analysed(rgba)
+    return [{**r, **{k: r[k] / scale for k in ("x", "y", "w", "h")}} for r in text_regions(page)]
+
+
 def detect_regions(images: DataFrame) -> DataFrame:
     """(image_id, region_ix, x, y, w, h, mode, density) of the text-like bands of every image."""
     schema = "image_id string, region_ix int, x double, y double, w double, h double, mode string, density double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [{"image_id": i, "region_ix": k, **r} for i, d, w, h in zip(f["image_id"], f["data"], f["width"], f["height"]) for k, r in enumerate(text_regions(pixels(d, w, h)))]
+            rows = [{"image_id": i, "region_ix": k, **r} for i, d, w, h in zip(f["image_id"], f["data"], f["width"], f["height"]) for k, r in enumerate(page_regions(pixels(d, w, h)))]
             yield pd.DataFrame(rows, columns=["image_id", "region_ix", "x", "y", "w", "h", "mode", "density"])
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, schema)

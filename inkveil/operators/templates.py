@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.config import CONFIG
 from ..functions.numbers import half_up as col_half_up
 from ..functions.numbers import median_of
-from .raster import grey_plane, half_up, pixels, resize, shared_area
+from .raster import analysed, grey_plane, half_up, pixels, resize, shared_area
 
 
 def scan_positions(start: int, end: int, step: int, offset: int = 0) -> list[int]:
@@ -62,18 +62,36 @@ def covered(box: dict, existing: list[dict]) -> bool:
     return False
 
 
-def score(plane: np.ndarray, x: int, y: int, template: dict) -> tuple[float, float, float]:
-    """(score, share of text points in the text range, share of background points dark enough)."""
+def score(plane: np.ndarray, xs: np.ndarray, y: int, template: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each x of a row of positions: (score, share of text points in the text range, share of background points dark enough)."""
     low, high = CONFIG.gray_text
     fg, bg = template["_fg"], template["_bg"]
-    # Points past the right or bottom edge read as nothing, as do those of an array past its end.
-    a = plane[y + fg[:, 1], x + fg[:, 0]] if len(fg) else np.zeros(0)
-    b = plane[y + bg[:, 1], x + bg[:, 0]] if len(bg) else np.zeros(0)
-    f = float(((a >= low) & (a <= high)).sum()) / len(a) if len(a) else 0.0
-    g = float((b <= CONFIG.gray_background).sum()) / len(b) if len(b) else 0.0
+    a = plane[y + fg[:, 1, None], xs[None, :] + fg[:, 0, None]]
+    b = plane[y + bg[:, 1, None], xs[None, :] + bg[:, 0, None]]
+    f = ((a >= low) & (a <= high)).sum(axis=0) / max(1, len(fg))
+    g = (b <= CONFIG.gray_background).sum(axis=0) / max(1, len(bg))
     return f * CONFIG.template_weights[0] + g * CONFIG.template_weights[1], f, g
 
 
+def _points(template: dict) -> dict:
+    return {**template, "_fg": np.array(template["samples"], int).reshape(-1, 2), "_bg": np.array(template["bg_samples"], int).reshape(-1, 2)}
+
+
+def score_positions(rows: DataFrame) -> DataFrame:
+    """rows: (id, width, height, data: grey bytes, x, y, samples, bg_samples) -> (id, score, fg_score, bg_score) of one position each."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                own = _points({k: [(p["x"], p["y"]) for p in getattr(r, k)] for k in ("samples", "bg_samples")})
+                s, x, y = score(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), np.array([r.x]), r.y, own)
+                out.append((r.id, float(s[0]), float(x[0]), float(y[0])))
+            yield pd.DataFrame(out, columns=["id", "score", "fg_score", "bg_score"])
+
+    return rows.mapInPandas(run, "id bigint, score double, fg_score double, bg_score double")
+
+
 def suppress(candidates: list[dict], limit: int) -> list[dict]:
     kept: list[dict] = []
     for c in sorted(candidates, key=lambda c: -c["score"]):
@@ -91,7 +109,7 @@ def search(plane: np.ndarray, template: dict, regions: list[dict] | None = None,
     regions, existing = regions or [], existing or []
     if not w or w >= width or h >= height:
         return {"candidates": [], "coarse_passed": 0, "scored": 0, "skipped": 0}
-    template = {**template, "_fg": np.array(template["samples"], int).reshape(-1, 2), "_bg": np.array(template["bg_samples"], int).reshape(-1, 2)}
+    template = _points(template)
     top, bottom = int(np.floor(height * CONFIG.search_top)), max(int(np.floor(height * CONFIG.search_top)), height - h)
     left = int(np.floor(width * CONFIG.search_left))
     right = max(left, width - w - int(np.floor(width * CONFIG.search_right)))
@@ -105,72 +123,73 @@ def search(plane: np.ndarray, template: dict, regions: list[dict] | None = None,
         xs, ys = sorted(_two(left, right)), sorted(_two(top, bottom))
     scored = skipped = 0
     seeds = []
+
+    def good(row: list[int], y: int, least: tuple[float, float]) -> list[dict]:
+        if not row:
+            return []
+        s, f, g = score(plane, np.array(row), y, template)
+        return [{"x": row[k], "y": y, "w": w, "h": h, "score": float(s[k]), "fg_score": float(f[k]), "bg_score": float(g[k])} for k in np.flatnonzero((s >= least[0]) & (g >= least[1]))]
+
     for y in ys:
         if not filled[y : y + h : max(2, CONFIG.coarse_step)].any():
             continue
-        for x in xs:
-            if not in_regions(x, y, w, h, regions):
-                continue
-            box = {"x": x, "y": y, "w": w, "h": h}
-            if covered(box, existing):
-                skipped += 1
-                continue
-            scored += 1
-            s, f, g = score(plane, x, y, template)
-            if s >= CONFIG.coarse[0] and g >= CONFIG.coarse[1]:
-                seeds.append({**box, "score": s, "fg_score": f, "bg_score": g})
+        row = [x for x in xs if in_regions(x, y, w, h, regions)]
+        free = [x for x in row if not covered({"x": x, "y": y, "w": w, "h": h}, existing)]
+        skipped += len(row) - len(free)
+        scored += len(free)
+        seeds += good(free, y, CONFIG.coarse)
     fine = []
     reach = CONFIG.refine_reach
     for seed in suppress(seeds, CONFIG.coarse_limit):
         for y in range(max(top, seed["y"] - reach), min(bottom, seed["y"] + reach) + 1, CONFIG.refine_step):
-            for x in range(max(left, seed["x"] - reach), min(right, seed["x"] + reach) + 1, CONFIG.refine_step):
-                box = {"x": x, "y": y, "w": w, "h": h}
-                if not in_regions(x, y, w, h, regions) or covered(box, existing):
-                    continue
-                s, f, g = score(plane, x, y, template)
-                if s >= CONFIG.final[0] and g >= CONFIG.final[1]:
-                    fine.append({**box, "score": s, "fg_score": f, "bg_score": g})
+            near = range(max(left, seed["x"] - reach), min(right, seed["x"] + reach) + 1, CONFIG.refine_step)
+            fine += good([x for x in near if in_regions(x, y, w, h, regions) and not covered({"x": x, "y": y, "w": w, "h": h}, existing)], y, CONFIG.final)
     return {"candidates": suppress(fine, CONFIG.final_limit), "coarse_passed": len(seeds), "scored": scored, "skipped": skipped}
 
 
+def _times(r: dict, scale: float) -> dict:
+    return {**r, **{k: r[k] * scale for k in ("x", "y", "w", "h")}}
+
+
+def _whole(r: dict, scale: float) -> dict:
+    """A box of a scaled plane in whole pixels of what was scaled."""
+    return {**r, **{k: int(half_up(r[k] / scale)) for k in ("x", "y")}, **{k: max(1, int(half_up(r[k] / scale))) for k in ("w", "h")}}
+
+
 def rescue(rgba: np.ndarray, templates: list[dict], existing: list[dict], regions: list[dict]) -> tuple[list[dict], dict]:
     """Places that a target's templates find and no box covers: around text regions first, then anywhere.
 
-    Works on a plane of bounded size; boxes go in and out in the image's own pixels.
+    Boxes go in and out in the image's own pixels. They are merged and accepted on the analysed page; the search
+    is on a plane of it that may be smaller still. Only what is found is rounded, boxes and regions are scaled as they are.
     """
-    height, width = rgba.shape[:2]
-    scale = min(1.0, CONFIG.template_width / width, np.sqrt(CONFIG.template_pixels / (width * height)))
+    page, page_scale = analysed(rgba)
+    height, width = page.shape[:2]
+    scale = min(1.0, CONFIG.template_width / width, float(np.sqrt(CONFIG.template_pixels / (width * height))))
+    small = page
     if scale >= CONFIG.scale_snap:
-        scale, small = 1.0, rgba
+        scale = 1.0
     else:
         w, h = max(1, int(half_up(width * scale))), max(1, int(half_up(height * scale)))
-        small, scale = resize(rgba, w, h), w / width
+        small, scale = resize(page, w, h), w / width
     plane = grey_plane(small, boost=True)
-
-    def scaled(r: dict) -> dict:
-        if scale == 1.0:
-            return r
-        return {**r, "x": half_up(r["x"] * scale), "y": half_up(r["y"] * scale), "w": max(1.0, float(half_up(r["w"] * scale))), "h": max(1.0, float(half_up(r["h"] * scale)))}
-
     accepted: list[dict] = []
-    taken = list(existing)
+    taken = [_times(b, page_scale) for b in existing]
+    areas = [_times(r, page_scale) for r in regions if r["w"] > 0 and r["h"] > 0]
     totals = {"scored": 0, "skipped": 0, "passes": 0}
-    for name, area in [("文字領域優先", regions), ("全画面補完", [])] if regions else [("全画面", [])]:
+    for name, area in [("文字領域優先", areas), ("全画面補完", [])] if areas else [("全画面", [])]:
         if len(accepted) >= CONFIG.rescue_limit:
             break
         totals["passes"] += 1
         merged = []
         for t in templates:
-            found = search(plane, t, [scaled(r) for r in area], [scaled(b) for b in taken])
+            found = search(plane, t, [_times(r, scale) for r in area], [_times(b, scale) for b in taken])
             totals["scored"] += found["scored"]
             totals["skipped"] += found["skipped"]
-            for c in found["candidates"]:
-                back = {k: int(half_up(c[k] / scale)) for k in ("x", "y")} | {k: max(1, int(half_up(c[k] / scale))) for k in ("w", "h")}
-                merged.append({**c, **back, "target_height": t["target_height"], "skew": t["skew"]})
+            merged += [{**(_whole(c, scale) if scale != 1.0 else c), "target_height": t["target_height"], "skew": t["skew"]} for c in found["candidates"]]
         for c in suppress(merged, CONFIG.merged_limit):
             if c["score"] < CONFIG.rescue[0] or c["fg_score"] < CONFIG.rescue[1] or c["bg_score"] < CONFIG.rescue[2] or covered(c, taken):
                 continue
-            accepted.append({**c, "pass": name})
+            accepted.append({**_whole(c, page_scale), "pass": name})
             taken.append({k: c[k] for k in ("x", "y", "w", "h")})
             if len(accepted) >= CONFIG.rescue_limit:
                 break
@@ -198,6 +217,21 @@ def make_template(rgba: np.ndarray, target_height: int, skew: float = 0.0) -> di
     return {"w": width, "h": target_height, "samples": fg, "bg_samples": bg, "target_height": target_height, "skew": skew}
 
 
+def make_templates(drawn: DataFrame) -> DataFrame:
+    """drawn: (target_id, width, height, data: RGBA on a clear ground, target_height, skew) -> the templates table."""
+    point = "array<struct<x:int,y:int>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                t = make_template(pixels(r.data, r.width, r.height), r.target_height, r.skew)
+                out.append((r.target_id, r.target_height, r.skew, t["w"], t["h"], *[[{"x": x, "y": y} for x, y in t[k]] for k in ("samples", "bg_samples")]))
+            yield pd.DataFrame(out, columns=["target_id", "target_height", "skew", "w", "h", "samples", "bg_samples"])
+
+    return drawn.mapInPandas(run, f"target_id string, target_height int, skew double, w int, h int, samples {point}, bg_samples {point}")
+
+
 def template_variants(heights: DataFrame, skews: tuple[float, ...] = (0.0,)) -> DataFrame:
     """(.., heights array) -> one row per height and skew."""
     return heights.withColumn("height", F.explode("heights")).withColumn("skew", F.explode(F.array(*[F.lit(float(s)) for s in skews])))

@@ -79,10 +79,17 @@ def italic_boxes(images: DataFrame, boxes: DataFrame, matches: DataFrame, near:
     sized = sized.withColumns({"_w": scaled_size(F.col("width"), F.col("scale")), "_h": scaled_size(F.col("height"), F.col("scale"))}).withColumn("_t", template_scale(F.col("_w"), F.col("_h")))
     known = template_heights(matches, near, sized)
     usual = F.array(*[F.lit(h) for h in CONFIG.template_heights])
-    every = sized.join(targets.select("target_id"), how="cross") if regions is None else sized.join(regions.select("image_id").distinct(), "image_id", "left_semi").join(targets.select("target_id"), how="cross")
-    every = every.join(known.select(*KEY, "heights"), KEY, "left").withColumn("_height", F.explode(F.coalesce("heights", usual)))
-    every = every.withColumn("target_height", F.greatest(F.lit(18.0), half_up(F.col("_height") * F.col("_t"))).cast("int"))
-    asked = every.select(*KEY, "target_height").join(templates, ["target_id", "target_height"])
+    if regions is not None:
+        sized = sized.join(regions.select("image_id").distinct(), "image_id", "left_semi")
+    sized = sized.select("image_id", "_t")
+    in_plane = F.greatest(F.lit(18.0), half_up(F.col("_height") * F.col("_t"))).cast("int")
+    templates = templates.join(targets.select("target_id"), "target_id", "left_semi")
+    # Images meet the templates of their own heights by equality, of a target with a known height at that one only.
+    own = sized.join(known.select(*KEY, "heights"), "image_id").withColumn("_height", F.explode("heights")).withColumn("target_height", in_plane)
+    own = own.select(*KEY, "target_height").join(templates, ["target_id", "target_height"])
+    other = sized.withColumn("_height", F.explode(usual)).withColumn("target_height", in_plane).select("image_id", "target_height").distinct()
+    other = other.join(templates, "target_height").join(known.select(*KEY), KEY, "left_anti")
+    asked = own.unionByName(other)
     asked = asked.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("target_height", "skew", "w", "h", "samples", "bg_samples"))).alias("templates"))
     taken = boxes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ord_ix", "x", "y", "w", "h"))).alias("existing"))
     asked = asked.join(taken, KEY, "left")

@@ -15,7 +15,7 @@ from ..functions.rects import add_visual_rect, manual_rect
 from ..functions.spatial import cluster, touches_exact
 from ..functions.text import near_scores, normalize, occurrences, ocr_language, output_name, shorten, squeeze
 from ..operators import edits, groups, history, match, rescue, suppress, templates, units
-from . import metrics, pipeline
+from . import metrics, pipeline, pixel_queries
 
 NORMAL = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}\p{{Hiragana}}\p{{Katakana}}\p{{Han}}]', '', 'g'))"
 TARGETS = ["the", "and", "license", "tion", "queue"]
@@ -146,9 +146,9 @@ def manual_rects(spark, sf_dir):
     return b.select("k", "ord", "r.x", "r.y", "r.w", "r.h")
 
 
-def _name_lines(spark, sf_dir):
+def _name_lines(spark, sf_dir, read=F.col):
     """Part names as read lines: words of ten-pixel characters; every seventh part's symbols are unusable."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").withColumn("p_name", read("p_name"))
     ws = F.split(F.col("p_name"), " ")
     start = lambda i: F.aggregate(F.slice(ws, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1) * 10.0
     box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(50.0).alias("y0"), b.cast("double").alias("x1"), F.lit(62.0).alias("y1"))
@@ -205,10 +205,65 @@ SELECT image_id, target, row_number() OVER (PARTITION BY image_id, target ORDER
 """
 
 
+#: Of three characters and more: one misreading of a short one is accepted only where it occurs twice.
+RUN_TARGETS = ["blue", "small", "widget", "red", "hot"]
+
+
+def _misread(name: str):
+    """Every third name is read with wrong vowels, every fifth stands twice in its line."""
+    text = F.when(F.col("p_partkey") % 3 == 0, F.translate(name, "uaeo", "nocu")).otherwise(F.col(name))
+    return F.when(F.col("p_partkey") % 5 == 0, F.concat_ws(" ", text, text)).otherwise(text)
+
+
 def _run(spark, sf_dir):
     images = _name_images(spark, sf_dir)
-    targets = spark.createDataFrame([(w, w) for w in NAME_TARGETS], schemas.TARGETS)
-    return pipeline.stages(images, targets, _name_lines(spark, sf_dir))
+    targets = spark.createDataFrame([(w, w) for w in RUN_TARGETS], schemas.TARGETS)
+    return pipeline.stages(images, targets, _name_lines(spark, sf_dir, _misread))
+
+
+RUN_UNITS = UNITS.replace(
+    "FROM part,",
+    "FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN t || ' ' || t ELSE t END AS p_name FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN translate(p_name, 'uaeo', 'nocu') ELSE p_name END AS t FROM part)),",
+)
+# Near candidates as in near_topk, 60 a line; clusters, votes and acceptance follow.
+RUN = f"""
+WITH t(target) AS (VALUES {", ".join(f"('{w}')" for w in RUN_TARGETS)}),
+u AS ({RUN_UNITS}),
+l AS (SELECT image_id, string_agg(ch, '' ORDER BY unit_ix) AS text, list(x0 ORDER BY unit_ix) AS xs, list(x1 ORDER BY unit_ix) AS xe FROM u GROUP BY image_id),
+o AS (SELECT image_id, target, xs, xe, unnest(generate_series(1, len(parts)::BIGINT - 1)) AS j, parts FROM (SELECT image_id, target, xs, xe, string_split(text, target) AS parts FROM l, t WHERE contains(text, target))),
+exact AS (SELECT image_id, target, at_, xs[at_ + 1] AS x0, xe[at_ + length(target)] AS x1 FROM (SELECT *, (list_sum(list_transform(parts[1:j], lambda q: length(q))) + (j - 1) * length(target))::BIGINT AS at_ FROM o)),
+w AS (SELECT image_id, target, text, i, n, substr(text, i + 1, n) AS c, xs[i + 1] AS l, xe[i + n] AS r FROM l, t, unnest(generate_series(0, length(text)::BIGINT - 1)) AS a(i), unnest(generate_series(greatest(1, length(target)::BIGINT - 2), length(target)::BIGINT + 2)) AS b(n) WHERE i + n <= length(text)),
+s AS (SELECT *, string_split(target, '') AS ta, string_split(c, '') AS ca FROM w),
+f AS (SELECT *, len(list_filter(ta, lambda q: list_contains(ca, q)))::BIGINT AS exact_chars FROM s WHERE len(list_filter(ta, lambda q: list_contains(ca, q))) >= greatest(2, ceil(length(target) * 0.5))),
+x AS (SELECT *, greatest(1 - levenshtein(target, c)::DOUBLE / greatest(length(target), n), {LCS_LENGTH.format(a="ta", b="ca")}::DOUBLE / greatest(length(target), n)) AS similarity FROM f),
+z AS (SELECT * FROM x WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY image_id, target, text, floor(l * 2 + 0.5), floor(r * 2 + 0.5) ORDER BY similarity DESC, exact_chars DESC, abs(n - length(target)), i, n) = 1),
+near AS (SELECT *, row_number() OVER (PARTITION BY image_id, target ORDER BY similarity DESC, exact_chars DESC, abs(n - length(target)), i, n) AS rank FROM z QUALIFY rank <= 60),
+fold AS (SELECT image_id, target, list_reduce(list_transform(b, lambda v: [v]), lambda acc, b: {GROUP_STEP.replace("'n': g.n + 1", "'n': list_concat(g.n, b[1].n)")}) AS gs
+    FROM (SELECT image_id, target, list({{'x0': l, 'y0': 25.0::DOUBLE, 'x1': r, 'y1': 31.0::DOUBLE, 'n': [rank]}} ORDER BY rank) AS b FROM near WHERE similarity < 0.999 GROUP BY ALL)),
+aged AS (SELECT image_id, target, generate_subscripts(gs, 1) AS age, unnest(gs) AS g FROM fold),
+member AS (SELECT image_id, target, age, g.x0 AS gx0, g.x1 AS gx1, unnest(g.n) AS rank FROM aged),
+m AS (SELECT member.*, c, similarity, l, r FROM member JOIN near USING (image_id, target, rank)),
+ranked AS (SELECT image_id, target, age, row_number() OVER (PARTITION BY image_id, target ORDER BY max(similarity) DESC, age) - 1 AS group_ix FROM m GROUP BY image_id, target, age),
+g AS (SELECT m.*, group_ix, length(target) = 3 AND length(c) = 3 AND levenshtein(target, c) = 1 AND similarity >= 0.66::DOUBLE AS votes FROM m JOIN ranked USING (image_id, target, age)),
+spots AS (SELECT image_id, target, c, count(DISTINCT group_ix) AS spots FROM g WHERE votes GROUP BY ALL),
+open AS (SELECT * FROM g WHERE group_ix < 8 AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.image_id = g.image_id AND e.target = g.target AND abs((gx0 + gx1) / 2 - (e.x0 + e.x1) / 2) <= greatest(24, greatest(gx1 - gx0, e.x1 - e.x0, 1) * 0.55::DOUBLE))),
+able AS (SELECT *, levenshtein(target, c) AS distance, count(*) FILTER (votes) OVER (PARTITION BY image_id, target, group_ix, c) AS same_spot FROM open WHERE length(c) = length(target) AND length(target) >= 3 AND levenshtein(target, c) <= 1),
+strong AS (SELECT able.*, count(*) OVER (PARTITION BY image_id, target, group_ix) AS strong_count FROM able LEFT JOIN spots USING (image_id, target, c)
+    WHERE CASE WHEN length(target) = 3 THEN votes AND (same_spot >= 2 OR coalesce(spots, 0) >= 2) ELSE similarity >= 0.72::DOUBLE END),
+accepted AS (SELECT * FROM strong QUALIFY row_number() OVER (PARTITION BY image_id, target, group_ix ORDER BY CASE WHEN length(target) = 3 THEN 0 ELSE distance END, similarity DESC, rank) = 1)
+"""
+FAST_RECOVERY = RUN + "SELECT image_id, target AS target_id, c AS candidate, distance::BIGINT AS distance, similarity, strong_count FROM accepted"
+DETECT_AND_COVER = (
+    RUN
+    + """,
+box AS (SELECT image_id, target, 0 AS s, at_ AS o, x0 AS x, x1 - x0 AS w, 'OCR' AS source FROM exact UNION ALL SELECT image_id, target, 1, group_ix, l, r - l, '近似候補救出' FROM accepted),
+kept AS (SELECT image_id, target, list_reduce(list_transform(b, lambda v: [v]), lambda acc, v: CASE WHEN len(list_filter(acc, lambda q: least(q.w, v[1].w) > 0 AND
+  greatest(0, least(q.x + q.w, v[1].x + v[1].w) - greatest(q.x, v[1].x)) / least(q.w, v[1].w) > 0.45::DOUBLE)) > 0 THEN acc ELSE list_append(acc, v[1]) END) AS k
+  FROM (SELECT image_id, target, list({'x': x, 'w': w, 'source': source} ORDER BY s, o) AS b FROM box GROUP BY ALL)),
+p AS (SELECT image_id, target, generate_subscripts(k, 1) - 1 AS stamp_ix, unnest(k) AS b FROM kept),
+e AS (SELECT image_id, target, stamp_ix, b.source AS source, greatest(0, floor(b.x - 2 + 0.5)) AS x0, least(400, floor(b.x + b.w + 2 + 0.5)) AS x1 FROM p)
+SELECT image_id, target AS target_id, stamp_ix::BIGINT AS stamp_ix, source, x0::DOUBLE AS x, 23.0::DOUBLE AS y, greatest(1, x1 - x0)::DOUBLE AS w, 10.0::DOUBLE AS h FROM e"""
+)
 
 
 def detect_and_cover(spark, sf_dir):
@@ -227,7 +282,7 @@ def refine_requests(spark, sf_dir):
 
 
 def fast_recovery(spark, sf_dir):
-    return _run(spark, sf_dir)["accepted"].select("image_id", "target_id", "candidate", "distance", "similarity", "strong_count")
+    return _run(spark, sf_dir)["accepted"].select("image_id", "target_id", "candidate", F.col("distance").cast("long").alias("distance"), "similarity", "strong_count")
 
 
 def mru_history(spark, sf_dir):
@@ -280,16 +335,6 @@ def median_heights(spark, sf_dir):
     return b.select("k", median_of(F.col("v")).alias("median"))
 
 
-def template_scores(spark, sf_dir):
-    """Grey values from the first and second half of an embedding as text and background samples."""
-    e = table(spark, sf_dir, "embeddings")
-    grey = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 1000) % 256)
-    e = e.select("vec_id", F.slice(grey, 1, 32).alias("fg"), F.slice(grey, 33, 32).alias("bg"))
-    share = lambda c, ok: F.size(F.filter(c, ok)) / F.size(c)
-    f, g = share("fg", lambda v: (v >= 95) & (v <= 235)), share("bg", lambda v: v <= 84)
-    return e.select("vec_id", f.alias("fg_score"), g.alias("bg_score"), (f * 0.72 + g * 0.28).alias("score"))
-
-
 def scan_grids(spark, sf_dir):
     a, b = F.col("p_size").cast("int"), (F.col("p_size") + F.col("p_partkey") % 90).cast("int")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(templates.scan_positions_column(a, b, 6, 3), ",").alias("positions"))
@@ -313,8 +358,8 @@ QUERIES = {
     "cluster_groups": cluster_groups, "vote_consensus": vote_consensus, "visual_rects": visual_rects, "manual_rects": manual_rects, "flatten_units": flatten_units,
     "near_topk": near_topk, "detect_and_cover": detect_and_cover, "stage_metrics": stage_metrics, "refine_requests": refine_requests, "fast_recovery": fast_recovery,
     "mru_history": mru_history, "preferences": preferences, "edit_replay": edit_replay, "hit_tests": hit_tests, "median_heights": median_heights,
-    "template_scores": template_scores, "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules,
-}
+    "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules,
+} | pixel_queries.QUERIES
 
 ORACLES = {
     "norm_len_by_lang": f"SELECT lang, count(*) AS docs, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest FROM (SELECT lang, length({NORMAL.format('text')}) AS n FROM documents) GROUP BY lang",
@@ -349,6 +394,8 @@ SELECT o_custkey AS image_id, ['abd', 'abe', 'xbc', 'ab', 'abcd', 'abc', 'axx'][
 SELECT k, ord, greatest(0, x - p - 6) AS x, greatest(0, y - p - 2) AS y, w + p AS w, h + 2 * (p + 2) AS h FROM (SELECT *, greatest(4, floor(least(w, h) * 0.12::DOUBLE + 0.5)) AS p FROM ({BOXES}))""",
     "flatten_units": UNITS,
     "near_topk": NEAR_TOPK,
+    "detect_and_cover": DETECT_AND_COVER,
+    "fast_recovery": FAST_RECOVERY,
     "mru_history": """
 SELECT user_id, value, max(event_id) AS last_seq, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC, value) AS position
 FROM (SELECT user_id, event_id, concat_ws('-', event_type, (event_id % 11)::VARCHAR) AS value FROM events) GROUP BY user_id, value QUALIFY position <= 5""",
@@ -356,10 +403,6 @@ FROM (SELECT user_id, event_id, concat_ws('-', event_type, (event_id % 11)::VARC
 SELECT event_id, k, '{"k":' || k || '}' AS saved FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR props IS NULL THEN -1 ELSE (props::JSON ->> 'k')::BIGINT END AS k FROM events)""",
     "hit_tests": HIT_TESTS,
     "median_heights": f"SELECT k, median(w) FILTER (ord % 4 <> 0) AS median FROM ({BOXES}) GROUP BY k",
-    "template_scores": """
-WITH g AS (SELECT vec_id, list_transform(embedding, lambda v: floor(abs(v::DOUBLE) * 1000)::BIGINT % 256) AS v FROM embeddings),
-s AS (SELECT vec_id, len(list_filter(v[1:32], lambda q: q >= 95 AND q <= 235)) / 32.0::DOUBLE AS f, len(list_filter(v[33:64], lambda q: q <= 84)) / 32.0::DOUBLE AS b FROM g)
-SELECT vec_id, f AS fg_score, b AS bg_score, f * 0.72::DOUBLE + b * 0.28::DOUBLE AS score FROM s""",
     "scan_grids": """
 SELECT p_partkey, array_to_string(list_sort(list_distinct(list_append(range(p_size + 3, p_size + p_partkey % 90 + 1, 6), p_size + p_partkey % 90))), ',') AS positions FROM part""",
     "scales": """
@@ -372,4 +415,4 @@ SELECT p_partkey, analysis, aw::BIGINT AS aw, ah::BIGINT AS ah, greatest(1.8, le
 WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, '\s+', ' ', 'g') AS s, replace(substr(text, 1, 12) || CASE WHEN turn % 2 = 0 THEN '.png' ELSE '' END, chr(10), ' ') AS f FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]') THEN 'jpn' ELSE 'eng' END AS language, CASE WHEN length(s) > 55 THEN substr(s, 1, 55) || '…' ELSE s END AS short,
   coalesce(nullif(regexp_replace(f, '\.[^.]+$', ''), ''), 'redacted') || '_redacted.png' AS file FROM c""",
-}
+} | pixel_queries.ORACLES

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.config import CONFIG
 from ..functions.schemas import OCR_PAGES, OCR_REPLIES
+from ..operators import raster
 
 #: The page passes, in order, and the segmentation mode of pages.
 PASSES = (("contrast", 0), ("color", 1))
@@ -53,6 +56,85 @@ def function_provider(recognise: Callable[[dict], dict], images: DataFrame) -> C
     return provide
 
 
+def picture(rgba: np.ndarray, variant: str, crop: dict | None, zoom: float, border: int = 0) -> np.ndarray:
+    """What a reading gets to see: a window (default: all) of the page, as a variant, enlarged, in a white border."""
+    if crop is not None:
+        x, y = int(crop["x0"]), int(crop["y0"])
+        rgba = raster.crop(rgba, x, y, int(crop["x1"]) - x, int(crop["y1"]) - y)
+    seen = raster.VARIANTS[variant](rgba)
+    if zoom != 1:
+        seen = raster.resize(seen, max(1, int(raster.half_up(seen.shape[1] * zoom))), max(1, int(raster.half_up(seen.shape[0] * zoom))))
+    return raster.white_border(seen, border) if border else seen
+
+
+def read_page(rgba: np.ndarray, variant: str) -> tuple[np.ndarray, int]:
+    """The page of one pass: the analysed page enlarged for reading, as a variant; and its border."""
+    page, _ = raster.analysed(rgba)
+    height, width = page.shape[:2]
+    low, high = CONFIG.ocr_scale
+    scale = max(low, min(high, float(np.sqrt(CONFIG.ocr_pixels / (width * height)))))
+    large = raster.resize(page, int(raster.half_up(width * scale)), int(raster.half_up(height * scale)))
+    return raster.VARIANTS[variant](large), int(raster.half_up(CONFIG.ocr_border * scale))
+
+
+EDGES = ("x0", "y0", "x1", "y1")
+PICTURE = "request_id string, width int, height int, data binary"
+
+
+def pictures(requests: DataFrame, images: DataFrame) -> DataFrame:
+    """(request_id, width, height, data): the picture of every request (image_id, request_id, variant, zoom, crop, and border if any).
+
+    The variant ``ocr`` is the window of the enlarged, contrasted page that holds the crop. Narrow requests are joined
+    to the images by id; pixels go through Arrow beside them.
+    """
+    if "border" not in requests.columns:
+        requests = requests.withColumn("border", F.lit(0))
+    rows = requests.select("image_id", "request_id", "variant", F.col("zoom").cast("double").alias("zoom"), *[F.col("crop")[k].cast("double").alias(k) for k in EDGES], "border").join(images.select("image_id", "width", "height", "data"), "image_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                rgba, variant = raster.pixels(r.data, r.width, r.height), r.variant
+                crop = {k: getattr(r, k) for k in EDGES} if pd.notna(r.x0) else None
+                if variant == "ocr":
+                    page, _ = read_page(rgba, "contrast")
+                    scale = page.shape[1] / r.width
+                    crop = crop and {k: float((np.floor if k in ("x0", "y0") else np.ceil)(v * scale)) for k, v in crop.items()}
+                    rgba, variant = page, "source"
+                seen = picture(rgba, variant, crop, r.zoom, r.border)
+                out.append((r.request_id, seen.shape[1], seen.shape[0], np.ascontiguousarray(seen).tobytes()))
+            yield pd.DataFrame(out, columns=["request_id", "width", "height", "data"])
+
+    return rows.mapInPandas(run, PICTURE)
+
+
+def page_pictures(images: DataFrame) -> DataFrame:
+    """(image_id, pass_ix, variant, width, height, data): the two pages of every image as they are read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                out = []
+                for ix, (variant, _) in enumerate(PASSES):
+                    page, border = read_page(raster.pixels(r.data, r.width, r.height), variant)
+                    seen = raster.white_border(page, border)
+                    out.append((r.image_id, ix, variant, seen.shape[1], seen.shape[0], seen.tobytes()))
+                yield pd.DataFrame(out, columns=["image_id", "pass_ix", "variant", "width", "height", "data"])
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id string, pass_ix int, variant string, width int, height int, data binary")
+
+
+def picture_provider(recognise: Callable[[dict], dict], images: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A provider whose ``recognise`` gets each request with its own picture (width, height, data) instead of the whole image."""
+
+    def provide(requests: DataFrame) -> DataFrame:
+        asked = requests.withColumn("image_id", F.col("request_id"))
+        return function_provider(recognise, pictures(requests, images).withColumnRenamed("request_id", "image_id"))(asked)
+
+    return provide
+
+
 def page_requests(images: DataFrame) -> DataFrame:
     """The two page passes of every image as requests."""
     from ..functions.numbers import analysis_scale, ocr_scale, scaled_size
@@ -70,8 +152,6 @@ def pages_from_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
     The read page had a white border, ``ocr_border`` pixels of the analysed page wide; it is taken off here.
     """
-    from ..functions.config import CONFIG
-
     r = requests.withColumn("request_id", F.concat_ws("/", "image_id", F.col("pass_ix").cast("string"))).join(replies, "request_id")
     border = F.floor(CONFIG.ocr_border * F.col("scale") / F.col("analysis_scale") + F.lit(0.5)).cast("double")
     r = r.filter(F.col("error").isNull() & F.col("lines").isNotNull())

@@ -1,7 +1,7 @@
 """Streams of OCR pages and of edits.
 
 ``detect_stream`` is stateless: each arriving page is searched by itself, so it needs no watermark.
-``edit_stream`` replays each micro-batch's images whole, from the log kept so far.
+``edit_stream`` keeps each image's own log, parted by image, and replays only the images that a batch touches.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from ..operators.match import exact_matches, normal_targets
 from ..operators.units import line_units
 
 
+#: Parts of the log of edits; a batch reads those of its images.
+LOG_BUCKETS = 256
+
+
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """A folder of OCR pages (Parquet) as a stream."""
     return spark.readStream.schema(OCR_PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -28,12 +32,18 @@ def detect_stream(pages: DataFrame, targets: DataFrame) -> DataFrame:
 def edit_stream(spark: SparkSession, events_path: str, images: DataFrame, out_path: str, checkpoint: str):
     """Starts a query that keeps ``out_path`` at the stamps of all edits seen: one Parquet folder a batch.
 
-    A batch's images are replayed from the whole log of these images, so a repeated batch gives the same stamps.
+    The log is kept in ``out_path`` by bucket of images and by batch. A batch reads the buckets of its own images and
+    only batches up to itself, so its cost follows what it touches and a repeated batch gives the same stamps.
     """
+    log_path = f"{out_path}/_log"
 
     def batch(new: DataFrame, number: int) -> None:
+        bucket = F.pmod(F.xxhash64("image_id"), F.lit(LOG_BUCKETS)).cast("int")
+        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/number={number}")
         ids = new.select("image_id").distinct()
-        log = spark.read.schema(EDIT_EVENTS).parquet(events_path).join(ids, "image_id", "left_semi")
+        touched = [r[0] for r in ids.select(bucket.alias("b")).distinct().collect()]  # at most LOG_BUCKETS numbers
+        whole = spark.read.schema(EDIT_EVENTS + ", number bigint, bucket int").parquet(log_path)
+        log = whole.filter(F.col("bucket").isin(touched) & (F.col("number") <= number)).drop("number", "bucket").join(ids, "image_id", "left_semi")
         replay(log, images).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     events = spark.readStream.schema(EDIT_EVENTS).parquet(events_path)
