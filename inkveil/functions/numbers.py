@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .config import CONFIG
+from .plan import let
 
 
 def half_up(x: Column) -> Column:
@@ -24,10 +25,13 @@ def positive_box(b: Column) -> Column:
 
 def median_of(values: Column) -> Column:
     """Median of the finite numbers of an array; null if there is none."""
-    s = F.array_sort(F.filter(values, finite))
-    n = F.size(s)
-    half = F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.get(s, half)).when(n > 0, (F.get(s, half - 1) + F.get(s, half)) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        half = F.floor(n / 2).cast("int")
+        return F.when(n % 2 == 1, F.get(s, half)).when(n > 0, (F.get(s, half - 1) + F.get(s, half)) / 2)
+
+    return let(F.sort_array(F.filter(values, finite)), middle)
 
 
 def median_or_zero(values: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import CONFIG, NAME_CHARACTER
 from .numbers import half_up, median_or_zero, positive_box
-from .plan import sealed
+from .plan import let, sealed
 
 
 def _rect(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -30,15 +30,22 @@ def short_name(chars: Column) -> Column:
 def paint_box(box: Column, symbols: Column) -> Column:
     """Union of the symbols' boxes, or the given box if there is none; a split short name is never too wide."""
     symbols = F.coalesce(symbols, F.filter(symbols, lambda s: F.lit(False)))
-    own = _boxed(symbols)
-    side = lambda k, f: f(F.transform(own, lambda s: s["bbox"][k]))
-    x0, y0, x1, y1 = side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max)
-    chars = _characters(own)
-    w, h = F.greatest(F.lit(1.0), x1 - x0), F.greatest(F.lit(1.0), y1 - y0)
-    split = F.exists(own, lambda s: s["bbox_source"] == "word-split")
-    cap = h * F.size(chars) * CONFIG.short_name_height_width
-    guarded = F.when(short_name(chars) & split & (w > cap), F.greatest(F.lit(1.0), cap)).otherwise(w)
-    return F.when(F.size(own) > 0, _rect(x0, y0, guarded, h)).otherwise(_rect(box["x"], box["y"], box["w"], box["h"]))
+    given = _rect(box["x"], box["y"], box["w"], box["h"])
+
+    def union(own: Column) -> Column:
+        side = lambda k, f: f(F.transform(own, lambda s: s["bbox"][k]))
+        around = _rect(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))
+
+        def guarded(b: Column) -> Column:
+            w, h = F.greatest(F.lit(1.0), b["w"] - b["x"]), F.greatest(F.lit(1.0), b["h"] - b["y"])
+            split = F.exists(own, lambda s: s["bbox_source"] == "word-split")
+            cap = lambda c: h * F.size(c) * CONFIG.short_name_height_width
+            too_wide = F.when(split, let(_characters(own), lambda c: short_name(c) & (w > cap(c)))).otherwise(F.lit(False))
+            return _rect(b["x"], b["y"], F.when(too_wide, F.greatest(F.lit(1.0), cap(_characters(own)))).otherwise(w), h)
+
+        return F.when(F.size(own) > 0, let(around, guarded)).otherwise(given)  # around: right and bottom edge in w and h
+
+    return let(_boxed(symbols), union)
 
 
 def visual_rect(box: Column, symbols: Column, source: Column, width: Column, height: Column) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas
-from ..functions.numbers import analysis_scale, median_of, ocr_scale, scaled_size, template_scale
+from ..functions.numbers import analysis_scale, median_of, ocr_scale, median_or_zero, scaled_size, template_scale
 from ..functions.rects import add_visual_rect, manual_rect
 from ..functions.spatial import cluster, touches_exact
 from ..functions.text import near_scores, normalize, occurrences, ocr_language, output_name, shorten, squeeze
@@ -232,7 +232,7 @@ u AS ({RUN_UNITS}),
 l AS (SELECT image_id, string_agg(ch, '' ORDER BY unit_ix) AS text, list(x0 ORDER BY unit_ix) AS xs, list(x1 ORDER BY unit_ix) AS xe FROM u GROUP BY image_id),
 o AS (SELECT image_id, target, xs, xe, unnest(generate_series(1, len(parts)::BIGINT - 1)) AS j, parts FROM (SELECT image_id, target, xs, xe, string_split(text, target) AS parts FROM l, t WHERE contains(text, target))),
 exact AS (SELECT image_id, target, at_, xs[at_ + 1] AS x0, xe[at_ + length(target)] AS x1 FROM (SELECT *, (list_sum(list_transform(parts[1:j], lambda q: length(q))) + (j - 1) * length(target))::BIGINT AS at_ FROM o)),
-w AS (SELECT image_id, target, text, i, n, substr(text, i + 1, n) AS c, xs[i + 1] AS l, xe[i + n] AS r FROM l, t, unnest(generate_series(0, length(text)::BIGINT - 1)) AS a(i), unnest(generate_series(greatest(1, length(target)::BIGINT - 2), length(target)::BIGINT + 2)) AS b(n) WHERE i + n <= length(text)),
+w AS (SELECT image_id, target, text, i, n, substr(text, i + 1, n) AS c, xs, xe, xs[i + 1] AS l, xe[i + n] AS r FROM l, t, unnest(generate_series(0, length(text)::BIGINT - 1)) AS a(i), unnest(generate_series(greatest(1, length(target)::BIGINT - 2), length(target)::BIGINT + 2)) AS b(n) WHERE i + n <= length(text)),
 s AS (SELECT *, string_split(target, '') AS ta, string_split(c, '') AS ca FROM w),
 f AS (SELECT *, len(list_filter(ta, lambda q: list_contains(ca, q)))::BIGINT AS exact_chars FROM s WHERE len(list_filter(ta, lambda q: list_contains(ca, q))) >= greatest(2, ceil(length(target) * 0.5))),
 x AS (SELECT *, greatest(1 - levenshtein(target, c)::DOUBLE / greatest(length(target), n), {LCS_LENGTH.format(a="ta", b="ca")}::DOUBLE / greatest(length(target), n)) AS similarity FROM f),
@@ -242,7 +242,7 @@ fold AS (SELECT image_id, target, list_reduce(list_transform(b, lambda v: [v]),
     FROM (SELECT image_id, target, list({{'x0': l, 'y0': 25.0::DOUBLE, 'x1': r, 'y1': 31.0::DOUBLE, 'n': [rank]}} ORDER BY rank) AS b FROM near WHERE similarity < 0.999 GROUP BY ALL)),
 aged AS (SELECT image_id, target, generate_subscripts(gs, 1) AS age, unnest(gs) AS g FROM fold),
 member AS (SELECT image_id, target, age, g.x0 AS gx0, g.x1 AS gx1, unnest(g.n) AS rank FROM aged),
-m AS (SELECT member.*, c, similarity, l, r FROM member JOIN near USING (image_id, target, rank)),
+m AS (SELECT member.*, c, similarity, l, r, i, n, xs, xe, exact_chars FROM member JOIN near USING (image_id, target, rank)),
 ranked AS (SELECT image_id, target, age, row_number() OVER (PARTITION BY image_id, target ORDER BY max(similarity) DESC, age) - 1 AS group_ix FROM m GROUP BY image_id, target, age),
 g AS (SELECT m.*, group_ix, length(target) = 3 AND length(c) = 3 AND levenshtein(target, c) = 1 AND similarity >= 0.66::DOUBLE AS votes FROM m JOIN ranked USING (image_id, target, age)),
 spots AS (SELECT image_id, target, c, count(DISTINCT group_ix) AS spots FROM g WHERE votes GROUP BY ALL),
@@ -265,6 +265,111 @@ e AS (SELECT image_id, target, stamp_ix, b.source AS source, greatest(0, floor(b
 SELECT image_id, target AS target_id, stamp_ix::BIGINT AS stamp_ix, source, x0::DOUBLE AS x, 23.0::DOUBLE AS y, greatest(1, x1 - x0)::DOUBLE AS w, 10.0::DOUBLE AS h FROM e"""
 )
 
+LADDER = "(VALUES (0, 'source', 7, false), (1, 'ocr', 7, false), (2, 'source', 8, true), (3, 'bin180', 7, false), (4, 'bin220', 7, false), (5, 'invert', 7, false)) AS v(attempt, variant, psm, weak)"
+REFINE_REQUESTS = (
+    RUN
+    + f""",
+best AS (SELECT * FROM open WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.image_id = open.image_id AND a.target = open.target AND a.group_ix = open.group_ix) QUALIFY row_number() OVER (PARTITION BY image_id, target, group_ix ORDER BY similarity DESC, rank) = 1),
+pad AS (SELECT *, greatest(30, floor((r - l) * 2 * 0.65::DOUBLE + 0.5)) / 2 AS px, xs[greatest(0, i - 2) + 1] AS a0, xe[least(len(xs), i + n + 2)] AS a1 FROM best),
+crop AS (SELECT *, greatest(0, floor(a0 - px)) AS x0, least(400, ceil(a1 + px)) AS x1 FROM pad)
+SELECT image_id || '/' || target || '/' || group_ix || '/' || attempt AS request_id, variant, psm::BIGINT AS psm, x0::DOUBLE AS x0, 10.0::DOUBLE AS y0, x1::DOUBLE AS x1, 46.0::DOUBLE AS y1 FROM crop, {LADDER} WHERE x1 > x0 AND (NOT weak OR similarity < 0.7::DOUBLE OR exact_chars <= 2)"""
+)
+_COUNTED = {
+    "matches": "exact", "near": "near", "groups": "ranked", "open": "(SELECT DISTINCT image_id, target, group_ix FROM open)", "accepted": "accepted", "boxes": "p", "stamps": "p",
+}
+STAGE_METRICS = DETECT_AND_COVER[: DETECT_AND_COVER.index("SELECT image_id, target AS target_id, stamp_ix")] + " UNION ALL ".join(
+    f"SELECT image_id, target AS target_id, '{stage}' AS stage, count(*) AS rows FROM {name} GROUP BY ALL" for stage, name in _COUNTED.items()
+)
+GROUP_SUMMARY = (
+    RUN
+    + """SELECT image_id, target AS target_id, group_ix, arg_min(c, (1 - similarity, rank)) AS candidate, max(similarity) AS similarity, count(*) AS candidate_count, 1::BIGINT AS mode_count, any_value(gx0) AS x0, any_value(gx1) AS x1 FROM g GROUP BY image_id, target, group_ix"""
+)
+
+
+def group_summary(spark, sf_dir):
+    g = groups.summary(_run(spark, sf_dir)["groups"])
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return g.select("image_id", "target_id", long("group_ix"), "best.candidate", "best.similarity", long("candidate_count"), long("mode_count"), "box.x0", "box.x1")
+
+
+def flatten_pages(spark, sf_dir):
+    """Lines of a page that was read with an offset; two symbols in turn carry the label of both, and every seventh part's second symbols stand too far left."""
+    p = table(spark, sf_dir, "part")
+    ws = F.split(F.col("p_name"), " ")
+    start = lambda i: F.aggregate(F.slice(ws, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1) * 10.0 + 5
+    box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(53.0).alias("y0"), b.cast("double").alias("x1"), F.lit(66.0).alias("y1"))
+
+    def word(w, i):
+        def symbol(c, j):
+            left = F.when((F.col("p_partkey") % 7 == 0) & (j == 1), F.lit(-6)).otherwise(F.lit(0))
+            return F.struct(F.substring(w, j - j % 2 + 1, F.lit(2)).alias("text"), box(start(i) + j * 10 + left, start(i) + j * 10 + 9).alias("bbox"))
+
+        return F.struct(w.alias("text"), box(start(i), start(i) + F.length(w) * 10 - 1).alias("bbox"), F.transform(F.split(w, ""), symbol).alias("symbols"))
+
+    lines = F.array(F.struct(F.transform(F.filter(ws, lambda w: w != ""), word).alias("words")))
+    pages = p.select(F.col("p_partkey").cast("string").alias("image_id"), F.lit("color").alias("pass"), F.lit(1).alias("pass_ix"), F.lit(2.5).alias("scale"), F.lit(5.0).alias("off_x"), F.lit(3.0).alias("off_y"), F.col("p_name").alias("text"), lines.alias("lines"))
+    u = units.line_units(pages).select("image_id", F.posexplode("units").alias("unit_ix", "u"))
+    return u.select("image_id", F.col("unit_ix").cast("long").alias("unit_ix"), "u.ch", "u.bbox_source", "u.bbox.x0", "u.bbox.y0", "u.bbox.x1", "u.bbox.y1")
+
+
+FLATTEN_PAGES = """
+WITH w AS (SELECT p_partkey, i, string_split(p_name, ' ') AS ws FROM part, unnest(generate_series(1, len(string_split(p_name, ' ')))) AS s(i)),
+v AS (SELECT p_partkey, i, ws[i] AS word, coalesce(list_sum(list_transform(ws[1:i - 1], lambda q: length(q) + 1)), 0) * 10 AS at_ FROM w),
+c AS (SELECT p_partkey, i, j, at_, word, substr(word, (j - j % 2 + 1)::BIGINT, 2) AS label, p_partkey % 7 = 0 AND length(word) > 1 AS broken FROM v, unnest(generate_series(0, length(word)::BIGINT - 1)) AS s(j)),
+n AS (SELECT *, coalesce(label <> lag(label) OVER k, true) AS fresh FROM c WINDOW k AS (PARTITION BY p_partkey, i ORDER BY j)),
+r AS (SELECT *, j - max(CASE WHEN fresh THEN j END) OVER (PARTITION BY p_partkey, i ORDER BY j ROWS UNBOUNDED PRECEDING) AS place FROM n)
+SELECT p_partkey::VARCHAR AS image_id, row_number() OVER (PARTITION BY p_partkey ORDER BY i, j) - 1 AS unit_ix,
+  CASE WHEN broken THEN substr(word, j + 1, 1) WHEN length(label) > 1 THEN substr(label, least(place, length(label) - 1)::BIGINT + 1, 1) ELSE label END AS ch, CASE WHEN broken THEN 'word-split' ELSE 'symbol' END AS bbox_source,
+  (CASE WHEN broken THEN at_ + (length(word) * 10 - 1)::DOUBLE * j / length(word) ELSE at_ + j * 10 END) / 2.5::DOUBLE AS x0, 50 / 2.5::DOUBLE AS y0,
+  (CASE WHEN broken THEN at_ + (length(word) * 10 - 1)::DOUBLE * (j + 1) / length(word) ELSE at_ + j * 10 + 9 END) / 2.5::DOUBLE AS x1, 63 / 2.5::DOUBLE AS y1 FROM r
+"""
+
+
+def pointer_points(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    d = lambda c, m: (F.col(c) % m).cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    at = edits.canvas_point(d("o_custkey", 400), d("o_orderkey", 300), F.lit(12.0), F.lit(7.0), F.lit(0.5), F.lit(0.25), F.col("o_orderkey") % 2 == 0)
+    s = edits.pointer_summary(F.array(point(d("o_custkey", 50), d("o_orderkey", 40)), point(d("o_orderkey", 33), d("o_custkey", 21))))
+    return o.select("o_orderkey", at.alias("p"), s.alias("s")).select("o_orderkey", "p.x", "p.y", "s.distance", F.col("s.x").alias("cx"), F.col("s.y").alias("cy"))
+
+
+POINTER_POINTS = """
+WITH o AS (SELECT o_orderkey, (o_custkey % 400)::DOUBLE AS px, (o_orderkey % 300)::DOUBLE AS py, o_custkey % 50 AS ax, o_orderkey % 40 AS ay, o_orderkey % 33 AS bx, o_custkey % 21 AS by_ FROM orders)
+SELECT o_orderkey, (px - 12) / 0.5::DOUBLE AS x, (py - 7 - CASE WHEN o_orderkey % 2 = 0 THEN 40 ELSE 0 END) / 0.25::DOUBLE AS y, sqrt(((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_))::DOUBLE) AS distance, (ax + bx)::DOUBLE / 2 AS cx, (ay + by_)::DOUBLE / 2 AS cy FROM o
+"""
+
+
+def edit_sequences(spark, sf_dir):
+    """A short log for each customer: a box drawn, moved, resized, another drawn or too small, one deleted, a step undone."""
+    k = F.col("c_custkey")
+    d = lambda c: c.cast("double")
+    none = F.lit(None).cast("double")
+    e = lambda seq, op, when=F.lit(True), x=none, y=none, w=none, h=none, dx=none, dy=none, handle=F.lit(None).cast("string"): F.when(when, F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), dx.alias("dx"), dy.alias("dy"), handle.alias("handle")))
+    log = F.array(
+        e(1, "add", x=d(k % 200), y=d(k % 100), w=d(10 + k % 50), h=d(8 + k % 30)),
+        e(2, "move", dx=d(k * 7 % 121 - 60), dy=d(k * 11 % 91 - 45)),
+        e(3, "resize", dx=d(k * 3 % 81 - 40), dy=d(k * 5 % 61 - 30), handle=F.get(F.array(*[F.lit(h) for h in ("nw", "ne", "sw", "se")]), (k % 4).cast("int"))),
+        e(4, "add", x=F.lit(5.0), y=F.lit(5.0), w=F.when(k % 2 == 1, F.lit(6.0)).otherwise(F.lit(3.0)), h=F.lit(20.0)),
+        e(5, "delete", k % 4 == 0),
+        e(6, "undo", k % 3 == 0),
+    )
+    rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("image_id"), F.filter(log, lambda x: x.isNotNull()).alias("log")).select("image_id", F.explode("log").alias("e"))
+    rows = rows.select("image_id", "e.seq", "e.op", F.lit(0).alias("stamp_ix"), "e.x", "e.y", "e.w", "e.h", "e.dx", "e.dy", "e.handle", F.lit(None).cast(schemas.STYLE).alias("style"))
+    images = rows.select("image_id").distinct().select("image_id", F.lit(300).alias("width"), F.lit(150).alias("height"))
+    return edits.replay(rows, images).select("image_id", F.col("stamp_ix").cast("long").alias("stamp_ix"), "x", "y", "w", "h", "kind")
+
+
+EDIT_SEQUENCES = """
+WITH a AS (SELECT c_custkey AS k, c_custkey % 200 AS x, c_custkey % 100 AS y, 10 + c_custkey % 50 AS w, 8 + c_custkey % 30 AS h, c_custkey * 3 % 81 - 40 AS dx, c_custkey * 5 % 61 - 30 AS dy FROM customer),
+m AS (SELECT k, dx, dy, w, h, greatest(0, least(300 - w, x + k * 7 % 121 - 60)) AS x, greatest(0, least(150 - h, y + k * 11 % 91 - 45)) AS y FROM a),
+s AS (SELECT *, greatest(4, CASE WHEN k % 2 = 1 THEN w + dx ELSE w - dx END) AS nw, greatest(4, CASE WHEN k % 4 >= 2 THEN h + dy ELSE h - dy END) AS nh FROM m),
+r AS (SELECT *, greatest(0, least(300 - nw, CASE WHEN k % 2 = 1 THEN x ELSE x + w - nw END)) AS nx, greatest(0, least(150 - nh, CASE WHEN k % 4 >= 2 THEN y ELSE y + h - nh END)) AS ny FROM s),
+o AS (SELECT k, 0 AS ix, nx AS x, ny AS y, nw AS w, nh AS h FROM r WHERE k % 2 = 1 OR (k % 4 = 0 AND k % 3 = 0) OR (k % 4 = 2 AND k % 3 <> 0)
+  UNION ALL SELECT k, 0, x, y, w, h FROM r WHERE k % 4 = 2 AND k % 3 = 0 UNION ALL SELECT k, 1, 5, 5, 6, 20 FROM r WHERE k % 2 = 1 AND k % 3 <> 0)
+SELECT k::VARCHAR AS image_id, ix::BIGINT AS stamp_ix, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, 'manual' AS kind FROM o
+"""
+
 
 def detect_and_cover(spark, sf_dir):
     s = _run(spark, sf_dir)["stamps"]
@@ -278,7 +383,7 @@ def stage_metrics(spark, sf_dir):
 def refine_requests(spark, sf_dir):
     s = _run(spark, sf_dir)
     left = s["open"].join(s["accepted"].select("image_id", "target_id", "group_ix"), ["image_id", "target_id", "group_ix"], "left_anti")
-    return rescue.refine_requests(left, _name_images(spark, sf_dir)).select("request_id", "variant", "psm", "crop.x0", "crop.y0", "crop.x1", "crop.y1")
+    return rescue.refine_requests(left, _name_images(spark, sf_dir)).select("request_id", "variant", F.col("psm").cast("long").alias("psm"), "crop.x0", "crop.y0", "crop.x1", "crop.y1")
 
 
 def fast_recovery(spark, sf_dir):
@@ -332,7 +437,7 @@ QUALIFY row_number() OVER (PARTITION BY k ORDER BY g.kind, d, ix DESC, o) = 1
 
 def median_heights(spark, sf_dir):
     b = _boxes(spark, sf_dir).groupBy("k").agg(F.collect_list(F.when(F.col("ord") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("w"))).alias("v"))
-    return b.select("k", median_of(F.col("v")).alias("median"))
+    return b.select("k", median_of(F.col("v")).alias("median"), median_or_zero(F.filter("v", lambda v: v > 40)).alias("high"))
 
 
 def scan_grids(spark, sf_dir):
@@ -358,7 +463,8 @@ QUERIES = {
     "cluster_groups": cluster_groups, "vote_consensus": vote_consensus, "visual_rects": visual_rects, "manual_rects": manual_rects, "flatten_units": flatten_units,
     "near_topk": near_topk, "detect_and_cover": detect_and_cover, "stage_metrics": stage_metrics, "refine_requests": refine_requests, "fast_recovery": fast_recovery,
     "mru_history": mru_history, "preferences": preferences, "edit_replay": edit_replay, "hit_tests": hit_tests, "median_heights": median_heights,
-    "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules,
+    "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules, "group_summary": group_summary,
+    "flatten_pages": flatten_pages, "pointer_points": pointer_points, "edit_sequences": edit_sequences,
 } | pixel_queries.QUERIES
 
 ORACLES = {
@@ -396,13 +502,19 @@ SELECT k, ord, greatest(0, x - p - 6) AS x, greatest(0, y - p - 2) AS y, w + p A
     "near_topk": NEAR_TOPK,
     "detect_and_cover": DETECT_AND_COVER,
     "fast_recovery": FAST_RECOVERY,
+    "refine_requests": REFINE_REQUESTS,
+    "stage_metrics": STAGE_METRICS,
+    "group_summary": GROUP_SUMMARY,
+    "flatten_pages": FLATTEN_PAGES,
+    "pointer_points": POINTER_POINTS,
+    "edit_sequences": EDIT_SEQUENCES,
     "mru_history": """
 SELECT user_id, value, max(event_id) AS last_seq, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC, value) AS position
 FROM (SELECT user_id, event_id, concat_ws('-', event_type, (event_id % 11)::VARCHAR) AS value FROM events) GROUP BY user_id, value QUALIFY position <= 5""",
     "preferences": """
 SELECT event_id, k, '{"k":' || k || '}' AS saved FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR props IS NULL THEN -1 ELSE (props::JSON ->> 'k')::BIGINT END AS k FROM events)""",
     "hit_tests": HIT_TESTS,
-    "median_heights": f"SELECT k, median(w) FILTER (ord % 4 <> 0) AS median FROM ({BOXES}) GROUP BY k",
+    "median_heights": f"SELECT k, median(w) FILTER (ord % 4 <> 0) AS median, coalesce(median(w) FILTER (ord % 4 <> 0 AND w > 40), 0) AS high FROM ({BOXES}) GROUP BY k",
     "scan_grids": """
 SELECT p_partkey, array_to_string(list_sort(list_distinct(list_append(range(p_size + 3, p_size + p_partkey % 90 + 1, 6), p_size + p_partkey % 90))), ',') AS positions FROM part""",
     "scales": """
