@@ -52,8 +52,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    h = np.array(hashes, dtype="<u8")
     for at in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(((2 * counts > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
