@@ -14,6 +14,8 @@ Nothing is sorted by comparison: symbols, groups and numbers of copies index lis
 
 from __future__ import annotations
 
+from array import array
+
 
 def suffix_array(symbols: list[int]) -> list[int]:
     """The starts of the suffixes of ``symbols`` in ascending order; symbols are numbers from 0, of the text's size at most or so.
@@ -23,74 +25,81 @@ def suffix_array(symbols: list[int]) -> list[int]:
     n = len(symbols)
     if n == 0:
         return []
-    buckets: list[list[int]] = [[] for _ in range(max(symbols) + 1)]
+    # A group's number is the place of its first suffix in the order; groups tile the places, and ``place`` lists
+    # their suffixes, in any order inside a group. ``at`` is its inverse.
+    # Typed arrays, not lists: numbers that lie apart in memory would make each step slower the longer the text.
+    size = array("i", [0]) * n
+    ending = array("i", [0]) * (n + 1)  # past a group's last place -> its number
+    counts = array("i", [0]) * (max(symbols) + 1)
+    for s in symbols:
+        counts[s] += 1
+    first, start = array("i", [0]) * len(counts), 0
+    for s, k in enumerate(counts):
+        if k:
+            first[s], size[start], ending[start + k] = start, k, start
+            start += k
+    group = array("i", [first[s] for s in symbols])
+    place, at = array("i", [0]) * n, array("i", [0]) * n
     for i, s in enumerate(symbols):
-        buckets[s].append(i)
-    # A group's number is the place of its first suffix in the order; groups tile the places.
-    group = [0] * n
-    members: list[set[int] | None] = [None] * n
-    ending = [0] * (n + 1)  # past a group's last place -> its number
-    start = 0
-    for own in buckets:
-        if own:
-            members[start] = set(own)
-            for i in own:
-                group[i] = start
-            ending[start + len(own)] = start
-            start += len(own)
+        at[i] = first[s]
+        place[first[s]] = i
+        first[s] += 1
     unknown = -2
-    before = [unknown] * n  # previous smaller suffix
+    before = array("i", [unknown]) * n  # previous smaller suffix
     top = n
     while top > 0:
-        top = g = ending[top]
+        g = ending[top]
         count: dict[int, int] = {}
-        own = members[g]
-        members[g] = None
-        for s in own:
+        for s in place[g:top]:
             if before[s] != unknown:
                 continue
             # What stands in the way of a suffix, of its own group and not passed yet, is passed first.
-            path = [(s, s - 1)]
-            while path:
-                t, j = path.pop()
+            waiting = []
+            t, j = s, s - 1
+            while True:
                 while j >= 0 and group[j] >= g and before[j] != unknown:
                     j = before[j]
                 if j >= 0 and group[j] >= g:
-                    path.append((t, j))
-                    path.append((j, j - 1))
+                    waiting.append(t)
+                    t, j = j, j - 1
                     continue
                 before[t] = j
                 if j >= 0:
                     count[j] = count.get(j, 0) + 1
+                if not waiting:
+                    break
+                t, j = waiting.pop(), t
+        top = g
         # The more copies, the higher the new group within the old one.
-        copies: list[list[int]] = [[] for _ in range(max(count.values(), default=0) + 1)]
+        copies: list[list[int]] = [[] for _ in range(max(count.values(), default=0))]
         for j, k in count.items():
-            copies[k].append(j)
-        for some in reversed(copies):
-            moved: dict[int, list[int]] = {}
+            copies[-k].append(j)
+        for some in copies:
+            moved: dict[int, int] = {}
             for j in some:
-                moved.setdefault(group[j], []).append(j)
-            for h, part in moved.items():
-                rest = members[h]
-                if len(part) == len(rest):
+                h = group[j]
+                moved[h] = k = moved.get(h, 0) + 1
+                p, q = at[j], h + size[h] - k
+                other = place[q]
+                place[p], at[other], place[q], at[j] = other, p, j, q
+            for h, k in moved.items():
+                if k == size[h]:
                     continue
-                rest.difference_update(part)
-                new = h + len(rest)
-                ending[new + len(part)] = new
-                ending[new] = h
-                members[new] = set(part)
-                for i in part:
-                    group[i] = new
+                size[h] -= k
+                new = h + size[h]
+                size[new], ending[new + k], ending[new] = k, new, h
+                for q in range(new, new + k):
+                    group[place[q]] = new
     # Phase 2: the empty suffix comes first of all.
-    order = [0] * n
-    free = list(range(n))
+    order = array("i", [0]) * n
+    free = array("i", range(n))
     for i in range(-1, n):
         s = order[i] if i >= 0 else n
         stop = before[s] if i >= 0 else -1
         x = s - 1
         while x != stop:
-            at = free[group[x]]
-            order[at] = x
-            free[group[x]] = at + 1
+            k = free[group[x]]
+            order[k] = x
+            free[group[x]] = k + 1
             x = before[x]
-    return order
+    return order.tolist()
