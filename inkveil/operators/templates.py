@@ -175,7 +175,7 @@ def rescue(rgba: np.ndarray, templates: list[dict], existing: list[dict], region
     accepted: list[dict] = []
     taken = [_times(b, page_scale) for b in existing]
     areas = [_times(r, page_scale) for r in regions if r["w"] > 0 and r["h"] > 0]
-    totals = {"scored": 0, "skipped": 0, "passes": 0}
+    totals = {"passes": 0, "scored": 0, "skipped": 0, "coarse_passed": 0}
     for name, area in [("文字領域優先", areas), ("全画面補完", [])] if areas else [("全画面", [])]:
         if len(accepted) >= CONFIG.rescue_limit:
             break
@@ -183,8 +183,8 @@ def rescue(rgba: np.ndarray, templates: list[dict], existing: list[dict], region
         merged = []
         for t in templates:
             found = search(plane, t, [_times(r, scale) for r in area], [_times(b, scale) for b in taken])
-            totals["scored"] += found["scored"]
-            totals["skipped"] += found["skipped"]
+            for k in ("scored", "skipped", "coarse_passed"):
+                totals[k] += found[k]
             merged += [{**(_whole(c, scale) if scale != 1.0 else c), "target_height": t["target_height"], "skew": t["skew"]} for c in found["candidates"]]
         for c in suppress(merged, CONFIG.merged_limit):
             if c["score"] < CONFIG.rescue[0] or c["fg_score"] < CONFIG.rescue[1] or c["bg_score"] < CONFIG.rescue[2] or covered(c, taken):
@@ -265,9 +265,13 @@ def template_heights(matches: DataFrame, near: DataFrame, scales: DataFrame | No
     return best.select("image_id", "target_id", F.array(low, high).cast("array<int>").alias("heights"), "b.basis", F.when(F.col("b.k") == 0, F.lit("exact")).otherwise(F.lit("near")).alias("origin"), F.col("b.n").alias("sample_count"))
 
 
-def rescue_boxes(images: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked: (image_id, target_id, templates, existing, regions), arrays each -> accepted boxes of every (image, target)."""
-    schema = "image_id string, target_id string, ord int, x double, y double, w double, h double, score double, fg_score double, bg_score double, pass string"
+def rescue_search(images: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked: (image_id, target_id, templates, existing, regions), arrays each -> one row of every (image, target).
+
+    ``accepted`` has the boxes found, ``rescue_limit`` at most; the others count passes over the page, positions
+    scored, positions skipped since something covers them already, and positions that passed the coarse search.
+    """
+    box = "x:double,y:double,w:double,h:double,score:double,fg_score:double,bg_score:double,pass:string"
     rows = images.select("image_id", "width", "height", "data").join(asked, "image_id")
 
     def plain(v) -> list[dict]:
@@ -281,8 +285,19 @@ def rescue_boxes(images: DataFrame, asked: DataFrame) -> DataFrame:
                 for t in templates:
                     for k in ("samples", "bg_samples"):
                         t[k] = [(p["x"], p["y"]) for p in plain(t[k])]
-                accepted, _ = rescue(pixels(r.data, r.width, r.height), templates, plain(r.existing), plain(r.regions))
-                out += [{"image_id": r.image_id, "target_id": r.target_id, "ord": k, **{n: a[n] for n in ("x", "y", "w", "h", "score", "fg_score", "bg_score", "pass")}} for k, a in enumerate(accepted)]
-            yield pd.DataFrame(out, columns=["image_id", "target_id", "ord", "x", "y", "w", "h", "score", "fg_score", "bg_score", "pass"])
+                accepted, totals = rescue(pixels(r.data, r.width, r.height), templates, plain(r.existing), plain(r.regions))
+                boxes = [{n: a[n] if n == "pass" else float(a[n]) for n in ("x", "y", "w", "h", "score", "fg_score", "bg_score", "pass")} for a in accepted]
+                out.append({"image_id": r.image_id, "target_id": r.target_id, **totals, "accepted": boxes})
+            yield pd.DataFrame(out, columns=["image_id", "target_id", "passes", "scored", "skipped", "coarse_passed", "accepted"])
+
+    return rows.mapInPandas(run, f"image_id string, target_id string, passes bigint, scored bigint, skipped bigint, coarse_passed bigint, accepted array<struct<{box}>>")
 
-    return rows.mapInPandas(run, schema)
+
+def accepted_boxes(found: DataFrame) -> DataFrame:
+    """The boxes of ``rescue_search``, one row each, in the order of acceptance."""
+    return found.select("image_id", "target_id", F.posexplode("accepted").alias("ord", "b")).select("image_id", "target_id", "ord", "b.*")
+
+
+def rescue_boxes(images: DataFrame, asked: DataFrame) -> DataFrame:
+    """The accepted boxes of every (image, target)."""
+    return accepted_boxes(rescue_search(images, asked))

@@ -20,7 +20,7 @@ from ..functions.spatial import greedy, overlaps_divided
 from ..operators.groups import fast_recovery, group_candidates, open_groups
 from ..operators.match import exact_matches, near_candidates, normal_targets
 from ..operators.rescue import refine_requests, region_pages, region_requests, resolve
-from ..operators.templates import rescue_boxes, template_heights
+from ..operators.templates import accepted_boxes, rescue_search, template_heights
 from ..operators.units import line_units
 
 KEY = ["image_id", "target_id"]
@@ -69,8 +69,8 @@ def stamps(boxes: DataFrame, images: DataFrame, style: tuple[str, str] = DEFAULT
     return rows.select(*KEY, F.col("ord_ix").alias("stamp_ix"), "rect.x", "rect.y", "rect.w", "rect.h", "source", F.lit("ocr").alias("kind"), fixed.alias("style"))
 
 
-def italic_boxes(images: DataFrame, boxes: DataFrame, matches: DataFrame, near: DataFrame, templates: DataFrame, targets: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """Places that a target's templates find and no box covers yet.
+def italic_search(images: DataFrame, boxes: DataFrame, matches: DataFrame, near: DataFrame, templates: DataFrame, targets: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Places that a target's templates find and no box covers yet, and what the search did (``rescue_search``).
 
     Of the templates (one row per target, height and skew) those of the two heights around the median
     height of the hits are used, or the usual two. All that is asked of an image meets its pixels once.
@@ -97,7 +97,7 @@ def italic_boxes(images: DataFrame, boxes: DataFrame, matches: DataFrame, near:
         asked = asked.join(regions.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("region_ix", "x", "y", "w", "h"))).alias("regions")), "image_id", "left")
     else:
         asked = asked.withColumn("regions", F.lit(None).cast("array<struct<x:double,y:double,w:double,h:double>>"))
-    return rescue_boxes(images, asked)
+    return rescue_search(images, asked)
 
 
 def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None, templates: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -126,7 +126,9 @@ def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Ca
             out |= {"region_requests": asked, "local": local}
     out["boxes"] = paint_boxes(matches, refined, accepted, local)
     if templates is not None:
-        out["italic"] = italic_boxes(images, out["boxes"], matches, near, templates, wanted, regions)
+        # Pixels are searched once, for the boxes and for the counts of a diagnosis.
+        out["italic_search"] = cut(italic_search(images, out["boxes"], matches, near, templates, wanted, regions))
+        out["italic"] = accepted_boxes(out["italic_search"])
         out["boxes"] = with_italic(out["boxes"], out["italic"])
     out["stamps"] = stamps(out["boxes"], images)
     return out

@@ -277,9 +277,18 @@ SELECT image_id || '/' || target || '/' || group_ix || '/' || attempt AS request
 _COUNTED = {
     "matches": "exact", "near": "near", "groups": "ranked", "open": "(SELECT DISTINCT image_id, target, group_ix FROM open)", "accepted": "accepted", "boxes": "p", "stamps": "p",
 }
-STAGE_METRICS = DETECT_AND_COVER[: DETECT_AND_COVER.index("SELECT image_id, target AS target_id, stamp_ix")] + " UNION ALL ".join(
+# The run up to the stamps.
+_HEAD = DETECT_AND_COVER[: DETECT_AND_COVER.index("SELECT image_id, target AS target_id, stamp_ix")]
+STAGE_METRICS = _HEAD + " UNION ALL ".join(
     f"SELECT image_id, target AS target_id, '{stage}' AS stage, count(*) AS rows FROM {name} GROUP BY ALL" for stage, name in _COUNTED.items()
 )
+_SKIPPED = "(SELECT * FROM ranked r WHERE group_ix < 8 AND NOT EXISTS (SELECT 1 FROM open q WHERE q.image_id = r.image_id AND q.target = r.target AND q.group_ix = r.group_ix))"
+_COUNTERS = {"'hits'": "exact", "'near'": "near", "'groups'": "ranked", "'groups_skipped'": _SKIPPED, "'groups_recovered'": "accepted", "'covered:' || source": "e"}
+RUN_COUNTERS = _HEAD + " UNION ALL ".join(f"SELECT image_id, target AS target_id, {name} AS counter, count(*)::BIGINT AS value FROM {rows} GROUP BY ALL" for name, rows in _COUNTERS.items())
+RUN_OVERLAY = (
+    _HEAD
+    + """SELECT image_id, target AS target_id, stamp_ix::BIGINT AS stamp_ix, x0::DOUBLE AS x, greatest(1, x1 - x0)::DOUBLE AS w, CASE source WHEN 'OCR' THEN '#22aa55' ELSE '#8e44ad' END AS color, source || ': ' || target AS label FROM e"""
+)
 GROUP_SUMMARY = (
     RUN
     + """SELECT image_id, target AS target_id, group_ix, arg_min(c, (1 - similarity, rank)) AS candidate, max(similarity) AS similarity, count(*) AS candidate_count, 1::BIGINT AS mode_count, any_value(gx0) AS x0, any_value(gx1) AS x1 FROM g GROUP BY image_id, target, group_ix"""
@@ -380,6 +389,14 @@ def stage_metrics(spark, sf_dir):
     return metrics.stage_metrics(_run(spark, sf_dir))
 
 
+def run_counters(spark, sf_dir):
+    return metrics.counters(_run(spark, sf_dir))
+
+
+def run_overlay(spark, sf_dir):
+    return metrics.overlay(_run(spark, sf_dir)).select("image_id", "target_id", F.col("stamp_ix").cast("long").alias("stamp_ix"), "x", "w", "color", "label")
+
+
 def refine_requests(spark, sf_dir):
     s = _run(spark, sf_dir)
     left = s["open"].join(s["accepted"].select("image_id", "target_id", "group_ix"), ["image_id", "target_id", "group_ix"], "left_anti")
@@ -465,6 +482,7 @@ QUERIES = {
     "mru_history": mru_history, "preferences": preferences, "edit_replay": edit_replay, "hit_tests": hit_tests, "median_heights": median_heights,
     "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules, "group_summary": group_summary,
     "flatten_pages": flatten_pages, "pointer_points": pointer_points, "edit_sequences": edit_sequences,
+    "run_counters": run_counters, "run_overlay": run_overlay,
 } | pixel_queries.QUERIES
 
 ORACLES = {
@@ -504,6 +522,8 @@ SELECT k, ord, greatest(0, x - p - 6) AS x, greatest(0, y - p - 2) AS y, w + p A
     "fast_recovery": FAST_RECOVERY,
     "refine_requests": REFINE_REQUESTS,
     "stage_metrics": STAGE_METRICS,
+    "run_counters": RUN_COUNTERS,
+    "run_overlay": RUN_OVERLAY,
     "group_summary": GROUP_SUMMARY,
     "flatten_pages": FLATTEN_PAGES,
     "pointer_points": POINTER_POINTS,

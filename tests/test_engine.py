@@ -57,6 +57,11 @@ def test_another_reading_confirms_and_errors_do_not(spark):
     s = pipeline.stages(images, targets, pages, provider)
     assert [(r.image_id, r.source) for r in s["stamps"].collect()] == [("i", "再OCR")]
     assert [r.attempt_ix for r in s["refined"].collect()] == [1]
+    counts = {(r.image_id, r.counter): r.value for r in metrics.counters(s).collect()}
+    assert counts[("i", "groups_attempted")] == counts[("j", "groups_attempted")] == counts[("i", "groups_confirmed")] == counts[("i", "covered:再OCR")] == 1
+    assert counts[("i", "readings_asked")] == 6 and ("j", "groups_confirmed") not in counts and ("i", "groups_skipped") not in counts
+    text = {(r.image_id, r.section): r.line for r in metrics.full_report(s).filter("section = 4 OR section = 2").collect()}
+    assert text[("i", 4)] == 'group 0: "コカグ" read as the target at step 1' and text[("j", 2)].endswith("open") and ("j", 4) not in text
     assert len(seen) == 12  # six steps for each weak candidate
 
 
@@ -262,6 +267,13 @@ def test_run_with_templates(spark):
     rows = [("t", 26, 0.0, t["w"], t["h"], t["samples"], t["bg_samples"])]
     s = pipeline.stages(images, targets, pages, templates=spark.createDataFrame(rows, schemas.TEMPLATES))
     assert [(r.source, r.kind) for r in s["stamps"].collect()] == [("イタリック救出", "ocr")]
+    counts = {r.counter: r.value for r in metrics.counters(s).collect()}
+    assert counts["template_accepted"] == counts["covered:イタリック救出"] == 1 and counts["template_passes"] == 1
+    assert counts["template_scored"] > counts["template_coarse_passed"] > 0 and "hits" not in counts
+    frame = metrics.overlay(s).collect()
+    assert [(f.color, f.label.split()[0]) for f in frame] == [("#f59e0b", "イタリック救出")] and 0.62 <= float(frame[0].label.split()[1]) <= 1
+    assert {r.stage: r.rows for r in metrics.stage_times(s).collect()}["stamps"] == 1
+    assert [r.section for r in metrics.full_report(s).filter("section IN (6, 7)").orderBy("section").collect()] == [6, 7]
     variants = templates.template_variants(spark.createDataFrame([("i", [29, 31])], "image_id string, heights array<int>"), (-0.1, 0.0, 0.1))
     assert variants.count() == 6
 
