@@ -14,8 +14,6 @@ Nothing is sorted by comparison: symbols, groups and numbers of copies index lis
 
 from __future__ import annotations
 
-from array import array
-
 
 def suffix_array(symbols: list[int]) -> list[int]:
     """The starts of the suffixes of ``symbols`` in ascending order; symbols are numbers from 0, of the text's size at most or so.
@@ -27,42 +25,42 @@ def suffix_array(symbols: list[int]) -> list[int]:
         return []
     # A group's number is the place of its first suffix in the order; groups tile the places, and ``place`` lists
     # their suffixes, in any order inside a group. ``at`` is its inverse.
-    # Typed arrays, not lists: numbers that lie apart in memory would make each step slower the longer the text.
-    size = array("i", [0]) * n
-    ending = array("i", [0]) * (n + 1)  # past a group's last place -> its number
-    counts = array("i", [0]) * (max(symbols) + 1)
+    size = [0] * n
+    ending = [0] * (n + 1)  # past a group's last place -> its number
+    counts = [0] * (max(symbols) + 1)
     for s in symbols:
         counts[s] += 1
-    first, start = array("i", [0]) * len(counts), 0
+    first, start = [0] * len(counts), 0
     for s, k in enumerate(counts):
         if k:
             first[s], size[start], ending[start + k] = start, k, start
             start += k
-    group = array("i", [first[s] for s in symbols])
-    place, at = array("i", [0]) * n, array("i", [0]) * n
+    group = [first[s] for s in symbols]
+    group.append(-1)  # of the place before the text, which is below all groups
+    place, at = [0] * n, [0] * n
     for i, s in enumerate(symbols):
-        at[i] = first[s]
-        place[first[s]] = i
-        first[s] += 1
+        at[i] = k = first[s]
+        place[k] = i
+        first[s] = k + 1
     unknown = -2
-    before = array("i", [unknown]) * n  # previous smaller suffix
+    before = [unknown] * n  # previous smaller suffix
     top = n
     while top > 0:
         g = ending[top]
         count: dict[int, int] = {}
-        for s in place[g:top]:
-            if before[s] != unknown:
+        waiting = []
+        for t in place[g:top]:
+            if before[t] != unknown:
                 continue
             # What stands in the way of a suffix, of its own group and not passed yet, is passed first.
-            waiting = []
-            t, j = s, s - 1
+            j = t - 1
             while True:
-                while j >= 0 and group[j] >= g and before[j] != unknown:
-                    j = before[j]
-                if j >= 0 and group[j] >= g:
-                    waiting.append(t)
-                    t, j = j, j - 1
-                    continue
+                while group[j] >= g:
+                    k = before[j]
+                    if k == unknown:
+                        waiting.append(t)
+                        t, k = j, j - 1
+                    j = k
                 before[t] = j
                 if j >= 0:
                     count[j] = count.get(j, 0) + 1
@@ -70,14 +68,20 @@ def suffix_array(symbols: list[int]) -> list[int]:
                     break
                 t, j = waiting.pop(), t
         top = g
+        if not count:
+            continue
         # The more copies, the higher the new group within the old one.
-        copies: list[list[int]] = [[] for _ in range(max(count.values(), default=0))]
-        for j, k in count.items():
-            copies[-k].append(j)
+        most = max(count.values())
+        copies: list[list[int]] = [list(count)] if most == 1 else [[] for _ in range(most)]
+        if most > 1:
+            for j, k in count.items():
+                copies[-k].append(j)
         for some in copies:
             moved: dict[int, int] = {}
             for j in some:
                 h = group[j]
+                if size[h] == 1:
+                    continue
                 moved[h] = k = moved.get(h, 0) + 1
                 p, q = at[j], h + size[h] - k
                 other = place[q]
@@ -91,15 +95,15 @@ def suffix_array(symbols: list[int]) -> list[int]:
                 for q in range(new, new + k):
                     group[place[q]] = new
     # Phase 2: the empty suffix comes first of all.
-    order = array("i", [0]) * n
-    free = array("i", range(n))
+    order = [0] * n
+    free = list(range(n))
     for i in range(-1, n):
         s = order[i] if i >= 0 else n
         stop = before[s] if i >= 0 else -1
         x = s - 1
         while x != stop:
-            k = free[group[x]]
-            order[k] = x
-            free[group[x]] = k + 1
+            h = group[x]
+            order[free[h]] = x
+            free[h] += 1
             x = before[x]
-    return order.tolist()
+    return order

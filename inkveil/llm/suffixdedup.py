@@ -94,42 +94,53 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), kind))
 
 
+def _groups(short: int):
+    """(raw) -> the group of each anchor."""
+    from xxhash import xxh3_64_intdigest as xx
+
+    inside = short - _reach(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = [xx(raw[x : x + inside]) for raw in b.column(0).to_pylist() for x in anchors(raw, short)[0].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(g))], names=["g"])
+
+    return run
+
+
 def _anchored(length: int, short: int):
+    """(k1, k2, _id, raw) -> of each text, its anchors' windows, their groups and their contexts' hashes."""
     from xxhash import xxh3_64_intdigest as xx
 
     inside = short - _reach(short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, rows = [], []
-            for i, raw in enumerate(b.column(3).to_pylist()):
-                if len(raw) < short:
-                    continue
+            rows = []
+            for raw in b.column(3).to_pylist():
                 p, lo, hi = anchors(raw, short)
                 span = hi - lo
                 lead = p - lo
                 g = _signed([xx(raw[x : x + inside]) for x in p.tolist()])
                 c = _signed([xx(raw[x : y + length], (q << 32) | (y - x)) for x, y, q in zip(lo.tolist(), hi.tolist(), lead.tolist())])
-                keep.append(i)
                 rows.append((lo, lead, span, g, c))
-            columns = [b.column(k).take(pa.array(keep, pa.int32())) for k in range(3)]
             kinds = [pa.int32()] * 3 + [pa.int64()] * 2
+            columns = [b.column(k) for k in range(3)]
             columns += [_lists([r[k].astype(np.int32) if k < 3 else r[k] for r in rows], kinds[k]) for k in range(5)]
             yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "_id", "lo", "lead", "span", "g", "c"])
 
     return run
 
 
-def _intervals(places: np.ndarray) -> np.ndarray:
-    """Ascending numbers -> first and last of each consecutive run, in turn."""
-    if not len(places):
-        return places
-    gaps = np.flatnonzero(np.diff(places) > 1)
-    return np.stack((places[np.concatenate(([0], gaps + 1))], places[np.concatenate((gaps, [len(places) - 1]))]), axis=1).ravel()
+def _intervals(owners: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ascending owners, ascending for each -> owner of each run of consecutive places, and first and last place of the runs, in turn."""
+    first = np.concatenate(([True], (owners[1:] != owners[:-1]) | (places[1:] != places[:-1] + 1)))[: len(places)]
+    last = np.concatenate((first[1:], [True]))[: len(places)]
+    return owners[first], np.stack((places[first], places[last]), axis=1)
 
 
-def repeated_starts(groups: np.ndarray, leads: np.ndarray, spans: np.ndarray, levels: np.ndarray, contexts: list[bytes], length: int, short: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each context, the starts (from its first byte) of the short and of the long windows that another context of its group holds too.
+def repeated_starts(groups: np.ndarray, leads: np.ndarray, spans: np.ndarray, levels: np.ndarray, contexts: list[bytes], length: int, short: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(context, start from its first byte), ascending, of the short and of the long windows that another context of the same group holds too.
 
     Contexts of a group are different, and aligned by their anchors (``leads`` bytes from their starts).
     """
@@ -149,7 +160,7 @@ def repeated_starts(groups: np.ndarray, leads: np.ndarray, spans: np.ndarray, le
     new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (own[order][1:] != own[order][:-1])))
     ids = np.empty(len(order), np.int64)
     ids[order] = np.cumsum(new)  # from 1: 0 parts the strings
-    none = [np.zeros(0, np.int64)] * len(contexts)
+    none = (np.zeros(0, np.int64),) * 2
     if not len(ids):
         return none, none
     # Only stretches of tokens that all occur elsewhere, long enough to hold a window's, need be sorted.
@@ -170,7 +181,7 @@ def repeated_starts(groups: np.ndarray, leads: np.ndarray, spans: np.ndarray, le
     every = np.array(suffix_array(string), np.int64)
     symbols = np.array(string, np.int64)
 
-    def found(size_of_window: int, level: int) -> list[np.ndarray]:
+    def found(size_of_window: int, level: int) -> tuple[np.ndarray, np.ndarray]:
         inner = (size_of_window - TOKEN + 1) // TOKEN
         sorted_ = every[left[every] >= inner]
         if not len(sorted_):
@@ -210,14 +221,9 @@ def repeated_starts(groups: np.ndarray, leads: np.ndarray, spans: np.ndarray, le
                 differ |= key[order][1:] != key[order][:-1]
             part = np.cumsum(np.concatenate(([0], differ)))
             hit = ok[order[np.bincount(part)[part] > 1]]
-            hits.append((ctx[hit], start[hit] - r))
-        if not hits:
-            return none
-        ctx, start = (np.concatenate(x) for x in zip(*hits))
-        order = np.lexsort((start, ctx))
-        ctx, start = ctx[order], start[order]
-        edges = np.searchsorted(ctx, np.arange(len(contexts) + 1))
-        return [np.unique(start[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            hits.append(ctx[hit] << 32 | (start[hit] - r))
+        hits = np.unique(np.concatenate(hits)) if hits else none[0]
+        return hits >> 32, hits & 0xFFFFFFFF
 
     return found(short, ONLY_SHORT), found(length, ONLY_LONG) if length > short else none
 
@@ -228,9 +234,12 @@ def _bucket(length: int, short: int):
         keep = np.sort(np.unique(np.stack((g, c), axis=1), axis=0, return_index=True)[1])  # rows repeated with their ids
         table = table.take(pa.array(keep))
         g, c, lead, span, level = (table.column(k).to_numpy() for k in ("g", "c", "lead", "span", "level"))
-        small, large = repeated_starts(g, lead.astype(np.int64), span.astype(np.int64), level, table.column("raw").to_pylist(), length, short)
-        some = [i for i, (s, t) in enumerate(zip(small, large)) if len(s) or len(t)]
-        lists = [_lists([_intervals(x[i]).astype(np.int32) for i in some], pa.int32()) for x in (small, large)]
+        runs = [_intervals(*x) for x in repeated_starts(g, lead.astype(np.int64), span.astype(np.int64), level, table.column("raw").to_pylist(), length, short)]
+        some = np.union1d(runs[0][0], runs[1][0])
+        lists = []
+        for owners, edges in runs:
+            ends = 2 * np.append(np.searchsorted(owners, some), len(owners))
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(edges.ravel(), pa.int32())))
         return pa.table([pa.array(g[some]), pa.array(c[some]), *lists], schema=pa.schema([("g", pa.int64()), ("c", pa.int64()), ("s", pa.list_(pa.int32())), ("l", pa.list_(pa.int32()))]))
 
     return run
@@ -361,15 +370,16 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     short = short or length
     rows = _keyed(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.select("k1", "k2", "_id", "raw").mapInArrow(_anchored(length, short), f"k1 bigint, k2 bigint, _id {kind}, lo array<int>, lead array<int>, span array<int>, g array<bigint>, c array<bigint>")
-    # Used twice and computed twice: to keep all anchors would take half as much disk as the texts.
+    long_enough = rows.filter(F.octet_length("raw") >= short)
+    # Anchors are found twice: to keep them all would take half as much disk as the texts. The first time only their groups are asked for.
+    shared = cut(long_enough.select("raw").mapInArrow(_groups(short), "g bigint").groupBy("g").count().filter("count > 1").select("g"))
+    found = long_enough.select("k1", "k2", "_id", "raw").mapInArrow(_anchored(length, short), f"k1 bigint, k2 bigint, _id {kind}, lo array<int>, lead array<int>, span array<int>, g array<bigint>, c array<bigint>")
     each = found.select("k1", "k2", "_id", F.explode(F.arrays_zip("lo", "lead", "span", "g", "c")).alias("x")).select("k1", "k2", "_id", "x.*")
-    shared = cut(each.groupBy("g").count().filter("count > 1").select("g"))
     # Copies of a text are one row from here on. A place determines its group, which is no key here: keyed by
     # it, the sum would have to stand on the join's partitions, and Spark couldn't split a group of many copies.
     places = each.join(shared, "g", "left_semi").groupBy("c", "k1", "k2", "lo", "lead", "span").agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min("_id").alias("_id"))
     places = cut(places.withColumn("level", F.lit(BOTH)))
-    every = cut(_repeated(places, rows.filter(F.octet_length("raw") >= short), length, short, True))
+    every = cut(_repeated(places, long_enough, length, short, True))
     return cut(places.join(every, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "s", "l")).alias("marks")))
 
 
