@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from . import bpe, licenses, linededup, mixing, quality, simhash, spotsigs, suffixdedup, tokencounts, urlfilter
+from . import bpe, exactdedup, filteraudit, licenses, linededup, mixing, quality, simhash, spotsigs, suffixdedup, tokencounts, urlfilter, whitening
 from .common import documents
 
 
@@ -51,6 +51,18 @@ def op10_license_scans(spark, sf_dir):
     return licenses.license_report(documents(spark, sf_dir))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exactdedup.exact_groups(documents(spark, sf_dir))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filteraudit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -62,10 +74,15 @@ QUERIES = {
     "op8_spotsigs": op8_spotsigs,
     "op9_bpe": op9_bpe,
     "op10_license_scans": op10_license_scans,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
     "op5_quality": quality.ORACLE,
     "op7_url_filters": urlfilter.ORACLE,
+    "op11_exact_dedup": exactdedup.ORACLE,
+    "op13_filter_audit": filteraudit.ORACLE,
 }
