@@ -73,6 +73,7 @@ class Config:
     undo_limit: int = 50
     history_limit: int = 5
     hit_radius: float = 30.0
+    tap_reach: float = 12.0
 
 
 CONFIG = Config()

@@ -15,3 +15,4 @@ OCR_REPLIES = f"request_id string, text string, lines {LINES}, error string"
 TEMPLATES = "target_id string, target_height int, skew double, w int, h int, samples array<struct<x:int,y:int>>, bg_samples array<struct<x:int,y:int>>"
 EDIT_EVENTS = f"image_id string, seq long, op string, stamp_ix int, x double, y double, w double, h double, dx double, dy double, handle string, style {STYLE}"
 STAMPS = f"image_id string, stamp_ix int, x double, y double, w double, h double, kind string, style {STYLE}"
+POINTERS = f"image_id string, seq long, kind string, pointer_id int, pointer_type string, is_primary boolean, buttons int, x double, y double, left double, top double, scale_x double, scale_y double, base_scale double, mode string, stamping boolean, style {STYLE}"

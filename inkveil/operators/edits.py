@@ -1,4 +1,4 @@
-"""Manual edits: pointer gestures to edit events, and the replay of an event log to stamps.
+"""Manual edits: hit tests, and the replay of an event log to stamps (``gestures`` makes the events).
 
 An image's edits depend on their order, so each image's log is replayed alone (``applyInPandas`` on the image
 key); images run in parallel. A log is what one person did to one image: bounded by hand.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import CONFIG
 from ..functions.rects import manual_rect
-from ..functions.schemas import EDIT_EVENTS, STAMPS
+from ..functions.schemas import STAMPS
 
 DEFAULT_STYLE = {"mode": "black", "color": "#1a1a1a"}
 
@@ -179,43 +179,6 @@ def canvas_point(client_x: Column, client_y: Column, left: Column, top: Column,
     return F.struct(((client_x - left) / scale_x).alias("x"), ((client_y - top - lift) / scale_y).alias("y"))
 
 
-def gestures(pointers: DataFrame) -> DataFrame:
-    """Pointer events (image_id, seq, pointer_id, kind, x, y, mode, style) -> edit events.
-
-    kind: down, move, up, cancel or lost. One pointer draws a box or, in mode ``stamp``, taps a place (moved
-    by less than 12); with two or more down nothing is drawn until all are lifted.
-    """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out, down, start, blocked = [], {}, None, False
-        for e in f.sort_values("seq", kind="stable").to_dict("records"):
-            base = {"image_id": e["image_id"], "seq": e["seq"], "style": _plain(e.get("style"))}
-            if e["kind"] == "down":
-                down[e["pointer_id"]] = (e["x"], e["y"])
-                if len(down) > 1:
-                    blocked, start = True, None
-                elif not blocked:
-                    start = (e["x"], e["y"])
-            elif e["kind"] == "move":
-                if e["pointer_id"] in down:
-                    down[e["pointer_id"]] = (e["x"], e["y"])
-            else:
-                down.pop(e["pointer_id"], None)
-                if e["kind"] == "up" and start is not None and not blocked:
-                    if e["mode"] == "stamp":
-                        if hypot(e["x"] - start[0], e["y"] - start[1]) < 12:
-                            out.append({**base, "op": "place", "x": e["x"], "y": e["y"]})
-                    else:
-                        trace = trace_height(1.0) if e["mode"] == "trace" else None
-                        out.append({**base, "op": "add", **drawn(*start, e["x"], e["y"], trace, float("inf"))})
-                start = None
-                blocked = blocked and bool(down)
-        names = ["image_id", "seq", "op", "stamp_ix", "x", "y", "w", "h", "dx", "dy", "handle", "style"]
-        return pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names)
-
-    return pointers.groupBy("image_id").applyInPandas(run, EDIT_EVENTS)
-
-
 def pointer_summary(pointers: Column) -> Column:
     """Distance of the first two of an array of points, and the centre of all."""
     a, b = F.get(pointers, F.lit(0)), F.get(pointers, F.lit(1))

@@ -15,7 +15,7 @@ from ..functions.rects import add_visual_rect, manual_rect
 from ..functions.spatial import cluster, touches_exact
 from ..functions.text import near_scores, normalize, occurrences, ocr_language, output_name, shorten, squeeze
 from ..operators import edits, groups, history, match, rescue, suppress, templates, units
-from . import metrics, pipeline, pixel_queries
+from . import edit_queries, metrics, pipeline, pixel_queries
 
 NORMAL = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}\p{{Hiragana}}\p{{Katakana}}\p{{Han}}]', '', 'g'))"
 TARGETS = ["the", "and", "license", "tion", "queue"]
@@ -419,21 +419,6 @@ def preferences(spark, sf_dir):
     return e.select("event_id", got["k"].alias("k"), history.write_json(F.struct(got["k"].alias("k"))).alias("saved"))
 
 
-def _edits(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    pick = lambda m: (F.col("event_id") * 7919 % m)
-    op = F.get(F.array(*[F.lit(o) for o in ("add", "add", "place", "move", "resize", "undo", "delete", "add")]), pick(8).cast("int"))
-    handle = F.get(F.array(*[F.lit(h) for h in ("nw", "ne", "sw", "se")]), pick(4).cast("int"))
-    d = lambda c: c.cast("double")
-    return e.select(F.col("user_id").cast("string").alias("image_id"), F.col("event_id").alias("seq"), op.alias("op"), pick(3).cast("int").alias("stamp_ix"), d(pick(300)).alias("x"), d(pick(170)).alias("y"), d(2 + pick(50)).alias("w"), d(2 + pick(40)).alias("h"), d(pick(61) - 30).alias("dx"), d(pick(53) - 26).alias("dy"), handle.alias("handle"), F.lit(None).cast(schemas.STYLE).alias("style"))
-
-
-def edit_replay(spark, sf_dir):
-    log = _edits(spark, sf_dir)
-    images = log.select("image_id").distinct().select("image_id", F.lit(400).alias("width"), F.lit(200).alias("height"))
-    return edits.replay(log, images).drop("style")
-
-
 def hit_tests(spark, sf_dir):
     b = _boxes(spark, sf_dir).select(F.col("k").alias("image_id"), (F.col("ord") - 1).alias("stamp_ix"), (F.col("x") * 5).alias("x"), (F.col("y") * 5).alias("y"), "w", "h")
     points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 300).cast("double").alias("x"), (F.col("o_orderkey") % 150).cast("double").alias("y"))
@@ -479,11 +464,11 @@ QUERIES = {
     "norm_len_by_lang": norm_len_by_lang, "exact_hits": exact_hits, "near_pairs": near_pairs, "spatial_distinct": spatial_distinct, "proximity_anti": proximity_anti,
     "cluster_groups": cluster_groups, "vote_consensus": vote_consensus, "visual_rects": visual_rects, "manual_rects": manual_rects, "flatten_units": flatten_units,
     "near_topk": near_topk, "detect_and_cover": detect_and_cover, "stage_metrics": stage_metrics, "refine_requests": refine_requests, "fast_recovery": fast_recovery,
-    "mru_history": mru_history, "preferences": preferences, "edit_replay": edit_replay, "hit_tests": hit_tests, "median_heights": median_heights,
+    "mru_history": mru_history, "preferences": preferences, "hit_tests": hit_tests, "median_heights": median_heights,
     "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules, "group_summary": group_summary,
     "flatten_pages": flatten_pages, "pointer_points": pointer_points, "edit_sequences": edit_sequences,
     "run_counters": run_counters, "run_overlay": run_overlay,
-} | pixel_queries.QUERIES
+} | pixel_queries.QUERIES | edit_queries.QUERIES
 
 ORACLES = {
     "norm_len_by_lang": f"SELECT lang, count(*) AS docs, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest FROM (SELECT lang, length({NORMAL.format('text')}) AS n FROM documents) GROUP BY lang",
@@ -547,4 +532,4 @@ SELECT p_partkey, analysis, aw::BIGINT AS aw, ah::BIGINT AS ah, greatest(1.8, le
 WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, '\s+', ' ', 'g') AS s, replace(substr(text, 1, 12) || CASE WHEN turn % 2 = 0 THEN '.png' ELSE '' END, chr(10), ' ') AS f FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]') THEN 'jpn' ELSE 'eng' END AS language, CASE WHEN length(s) > 55 THEN substr(s, 1, 55) || '…' ELSE s END AS short,
   coalesce(nullif(regexp_replace(f, '\.[^.]+$', ''), ''), 'redacted') || '_redacted.png' AS file FROM c""",
-} | pixel_queries.ORACLES
+} | pixel_queries.ORACLES | edit_queries.ORACLES

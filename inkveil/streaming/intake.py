@@ -1,22 +1,17 @@
 """Streams of OCR pages and of edits.
 
 ``detect_stream`` is stateless: each arriving page is searched by itself, so it needs no watermark.
-``edit_stream`` keeps each image's own log, parted by image, and replays only the images that a batch touches.
+``edit_stream`` and ``pointer_stream`` keep each image's stamps as state, so a batch costs what it touches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.schemas import EDIT_EVENTS, OCR_PAGES
-from ..operators.edits import replay
+from ..functions.schemas import EDIT_EVENTS, OCR_PAGES, POINTERS
 from ..operators.match import exact_matches, normal_targets
 from ..operators.units import line_units
-
-
-#: Parts of the log of edits; a batch reads those of its images.
-LOG_BUCKETS = 256
+from . import sessions
 
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -29,22 +24,16 @@ def detect_stream(pages: DataFrame, targets: DataFrame) -> DataFrame:
     return exact_matches(line_units(pages), normal_targets(targets))
 
 
-def edit_stream(spark: SparkSession, events_path: str, images: DataFrame, out_path: str, checkpoint: str):
-    """Starts a query that keeps ``out_path`` at the stamps of all edits seen: one Parquet folder a batch.
+def edit_stream(spark: SparkSession, events_path: str, images: DataFrame, out_path: str, checkpoint: str, files_per_trigger: int = 100):
+    """Starts a query that keeps ``out_path`` at the stamps of all edits seen (``sessions.SESSION_STAMPS``): one Parquet folder a batch.
 
-    The log is kept in ``out_path`` by bucket of images and by batch. A batch reads the buckets of its own images and
-    only batches up to itself, so its cost follows what it touches and a repeated batch gives the same stamps.
+    A batch writes the images that it touches; ``sessions.latest`` reads the newest stamps of all.
     """
-    log_path = f"{out_path}/_log"
-
-    def batch(new: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64("image_id"), F.lit(LOG_BUCKETS)).cast("int")
-        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/number={number}")
-        ids = new.select("image_id").distinct()
-        touched = [r[0] for r in ids.select(bucket.alias("b")).distinct().collect()]  # at most LOG_BUCKETS numbers
-        whole = spark.read.schema(EDIT_EVENTS + ", number bigint, bucket int").parquet(log_path)
-        log = whole.filter(F.col("bucket").isin(touched) & (F.col("number") <= number)).drop("number", "bucket").join(ids, "image_id", "left_semi")
-        replay(log, images).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-
-    events = spark.readStream.schema(EDIT_EVENTS).parquet(events_path)
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    events = spark.readStream.schema(EDIT_EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
+    return sessions.write_batches(sessions.edit_stamps(events, images), out_path, checkpoint)
+
+
+def pointer_stream(spark: SparkSession, events_path: str, images: DataFrame, out_path: str, checkpoint: str, files_per_trigger: int = 100):
+    """The same for pointer events (``schemas.POINTERS``)."""
+    events = spark.readStream.schema(POINTERS).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
+    return sessions.write_batches(sessions.session_stamps(events, images), out_path, checkpoint)
