@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -383,18 +384,25 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     return cut(places.join(every, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "s", "l")).alias("marks")))
 
 
-def _spans(n: int, marks: list[dict], which: str, size: int) -> list[tuple[int, int]]:
-    """The maximal runs of bytes of a text of ``n`` that its marked windows of ``size`` cover."""
-    found = sorted((m["lo"] + m[which][k], min(n, m["lo"] + m[which][k + 1] + size)) for m in marks for k in range(0, len(m[which]), 2))
-    merged: list[list[int]] = []
-    for a, b in found:
-        if b - a < size:  # no such window fits the text
-            continue
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged]
+def _covered(sizes: np.ndarray, marks: pa.ListArray, which: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the maximal runs of bytes that texts' marked windows of ``size`` cover, texts and runs ascending; ``sizes``: the texts' bytes."""
+    items = marks.flatten()
+    text = np.repeat(np.arange(len(sizes)), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    lists = pc.struct_field(items, which)
+    pairs = lists.value_lengths().to_numpy(zero_copy_only=False) // 2
+    low, high = lists.flatten().to_numpy().astype(np.int64).reshape(-1, 2).T
+    lo, text = (np.repeat(x, pairs) for x in (pc.struct_field(items, "lo").to_numpy(), text))
+    a, b = lo + low, np.minimum(sizes[text], lo + high + size)
+    fits = b - a >= size  # else no such window fits the text
+    a, b, text = a[fits], b[fits], text[fits]
+    order = np.lexsort((a, text))
+    a, b, text = a[order], b[order], text[order]
+    # The furthest end so far, of a text's own windows: a later text's are beyond all of an earlier one's.
+    shift = text << 32
+    furthest = np.maximum.accumulate(shift + b)
+    first = np.flatnonzero(np.concatenate(([True], shift[1:] + a[1:] > furthest[:-1]))[: len(a)])
+    last = np.append(first[1:], len(a))[: len(first)] - 1
+    return text[first], a[first], (furthest - shift)[last]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int | None = None) -> DataFrame:
@@ -414,20 +422,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, kept, ends = [], [], [[], [], [], []]
-            for raw, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                spans = _spans(len(raw), m or [], long_of, length)
-                at, rest = 0, []
-                for x, y in spans:
-                    rest.append(raw[at:x])
-                    at = y
-                sizes.append(len(raw))
-                kept.append(b"".join([*rest, raw[at:]]))
-                for own, some in ((ends[:2], spans), (ends[2:], _spans(len(raw), m or [], "s", short))):
-                    own[0].append([x for x, _ in some])
-                    own[1].append([y for _, y in some])
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in ends]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *lists, pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "starts", "ends", "short_starts", "short_ends", "kept"])
+            kept = b.column(1).to_pylist()
+            sizes = np.fromiter(map(len, kept), np.int64, len(kept))
+            lists = []
+            for which, size in ((long_of, length), ("s", short)):
+                text, start, end = _covered(sizes, b.column(2), which, size)
+                ends = pa.array(np.searchsorted(text, np.arange(len(kept) + 1)), pa.int32())
+                lists += [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (start, end)]
+                if len(lists) == 2:  # the long ones are cut out
+                    edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+                    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                        raw, at, rest = kept[text[i]], 0, []
+                        for x, y in zip(start[i:j].tolist(), end[i:j].tolist()):
+                            rest.append(raw[at:x])
+                            at = y
+                        kept[text[i]] = b"".join([*rest, raw[at:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *lists, pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "starts", "ends", "short_starts", "short_ends", "kept"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, starts array<int>, ends array<int>, short_starts array<int>, short_ends array<int>, kept binary")
 
