@@ -38,12 +38,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the cluster's shared checkpoint folder and cuts its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-#: Most rows of a table that is broadcast, whatever the session's threshold: a proven bound, counted first.
-BROADCAST_ROWS = 1000
-
-
-def few(df: DataFrame) -> bool:
-    """Whether a static table counts no more than ``BROADCAST_ROWS``."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

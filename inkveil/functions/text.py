@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .bulk import pair
 from .config import CONFIG
 
 _DROP = r"[^\p{L}\p{N}\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"
@@ -44,52 +45,17 @@ def ocr_language(target: Column) -> Column:
     return F.when(target.rlike(r"[぀-ヿ㐀-䶿一-鿿]"), F.lit("jpn")).otherwise(F.lit("eng"))
 
 
-def _lcs_bits(a: Column, b: Column) -> Column:
-    """The same for up to 60 elements of ``a``: a row of the table is a number, a 0 bit where it steps up."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
-    full = bit(F.size(a)) - 1
-    places = F.transform(b, lambda c: F.aggregate(F.transform(a, lambda x, i: F.when(x == c, bit(i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, v: s + v))
-    row = F.aggregate(places, full, lambda v, k: ((v + v.bitwiseAND(k)).bitwiseOR(v.bitwiseAND(F.bitwise_not(k)))).bitwiseAND(full))
-    return F.size(a) - F.bit_count(row)
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
-
-    def row(before: Column, x: Column) -> Column:
-        # acc: the new row so far; its last entry is the cell on the left.
-        step = lambda acc, j: F.concat(acc, F.array(F.when(x == F.get(b, j), F.get(before, j) + 1).otherwise(F.greatest(F.get(before, j + 1), F.element_at(acc, -1)))))
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), step)
-
-    table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row)
-    some = (F.size(a) > 0) & (F.size(b) > 0)
-    return F.when(some & (F.size(a) <= 60), _lcs_bits(a, b)).when(some, F.element_at(table, -1)).otherwise(F.lit(0))
-
-
-def sequence_similarity(a: Column, b: Column) -> Column:
-    ca, cb = characters(a), characters(b)
-    most = F.greatest(F.size(ca), F.size(cb))
-    return F.when((F.size(ca) > 0) & (F.size(cb) > 0), lcs_length(ca, cb) / most).otherwise(F.lit(0.0))
-
-
-def edit_similarity(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-
-
-def shared_characters(target: Column, candidate: Column) -> Column:
-    """How many characters of the target, repeats counted, occur in the candidate."""
-    cc = characters(candidate)
-    return F.size(F.filter(characters(target), lambda c: F.array_contains(cc, c)))
-
-
 def least_shared(target: Column) -> Column:
     n = F.length(target)
     return F.when(n <= 2, n).otherwise(F.greatest(F.lit(2), F.ceil(n * 0.5).cast("int")))
 
 
 def near_scores(target: Column, candidate: Column) -> dict[str, Column]:
-    edit, seq = edit_similarity(target, candidate), sequence_similarity(target, candidate)
-    return {"edit_similarity": edit, "sequence_similarity": seq, "similarity": F.greatest(edit, seq), "exact_chars": shared_characters(target, candidate)}
+    """Of two strings that aren't both empty; ``exact_chars``: how many of the target's characters, repeats counted, the candidate holds."""
+    most = F.greatest(F.length(target), F.length(candidate))
+    score = lambda p: F.struct((1 - p["distance"] / most).alias("edit"), (p["common"] / most).alias("sequence"), p["shared"].alias("shared"))
+    both = score(pair(target, candidate))
+    return {"edit_similarity": both["edit"], "sequence_similarity": both["sequence"], "similarity": F.greatest(both["edit"], both["sequence"]), "exact_chars": both["shared"]}
 
 
 def is_near(target: Column) -> Column:

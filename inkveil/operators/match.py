@@ -1,8 +1,9 @@
 """Exact and near search of targets in lines of characters.
 
-A few targets (counted) go to where the lines lie. More of them meet the lines by an equality join of narrow rows,
-on one of the target's runs of three characters for the exact search and on shared characters for the near one,
-so only lines that can hold a target are searched; what a line carries is joined back to the lines that do.
+Targets are collected up to a bound (``MOST_TARGETS`` rows, ``MOST_CHARACTERS`` in all) and go to where the lines lie: exact ones as an
+automaton that reads every line once for all of them, near ones as an index of gapped pairs that names the targets a line
+is looked at for. More of them meet the lines by an equality join of narrow rows, on one of the target's runs of three characters or
+on the same pairs. Either way only windows that can reach the threshold are scored, in bulk.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.automaton import find
+from ..functions.bulk import near_windows
 from ..functions.config import CONFIG
+from ..functions.filterindex import candidates, pair_keys, target_keys
 from ..functions.numbers import half_up
-from ..functions.plan import few, sealed
-from ..functions.text import characters, is_near, least_shared, near_scores, normalize, occurrences
+from ..functions.text import normalize, occurrences
 
+#: Most targets, and most characters of them together, that go to where the lines lie.
+MOST_TARGETS = 20_000
+MOST_CHARACTERS = 400_000
 LINE = ["image_id", "pass", "pass_ix", "line_ix"]
 
 
@@ -38,48 +44,61 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def holding(lines: DataFrame, targets: DataFrame) -> DataFrame:
-    """The lines (with ``text``) that hold a target, once for each: their columns, target_id, target."""
-    wanted = targets.select("target_id", "target")
-    if few(wanted):
-        return lines.join(F.broadcast(wanted), F.contains("text", "target"))
+def bounded(targets: DataFrame) -> list[tuple[str, str]] | None:
+    """(target_id, target) of the targets, if they keep the bound; one job."""
+    rows = targets.select("target_id", "target", F.length("target").alias("n"))
+    rows = rows.limit(MOST_TARGETS + 1).collect()
+    return [(r["target_id"], r["target"]) for r in rows] if len(rows) <= MOST_TARGETS and sum(r["n"] for r in rows) <= MOST_CHARACTERS else None
+
+
+def _numbered(spark, few: list[tuple[str, str]]) -> tuple[list[str], DataFrame]:
+    """The distinct targets, and (target_ix, target_id, target): which ids stand for each of them."""
+    texts = sorted({t for _, t in few})
+    place = {t: k for k, t in enumerate(texts)}
+    return texts, F.broadcast(spark.createDataFrame([(place[t], i, t) for i, t in few], "target_ix int, target_id string, target string"))
+
+
+def target_places(lines: DataFrame, targets: DataFrame) -> DataFrame:
+    """Lines (with ``text``) -> one row per occurrence of a target: their columns, target_id, target, at (from 0)."""
+    few = bounded(targets)
+    if few is not None:
+        texts, ids = _numbered(lines.sparkSession, few)
+        found = lines.withColumn("_f", F.explode(find(F.col("text"), texts)))
+        return found.withColumns({"target_ix": F.col("_f.target_ix"), "at": F.col("_f.at")}).drop("_f").join(ids, "target_ix").drop("target_ix")
     # Of a target's runs the one of smallest hash: targets that begin alike do not all meet at one key.
+    wanted = targets.select("target_id", "target")
     own = F.when(F.length("target") <= GRAM, F.col("target")).otherwise(F.array_min(F.transform(_grams(F.col("target"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
     runs = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
     seen = lines.withColumn("_g", F.explode(runs)).join(wanted.withColumn("_g", own), "_g")
-    return seen.filter(F.contains("text", "target")).drop("_g")
+    return seen.filter(F.contains("text", "target")).drop("_g").withColumn("at", F.explode(occurrences(F.col("text"), F.col("target"))))
 
 
 def exact_matches(lines: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per occurrence: image, target, pass, line, the characters and their box, in reading order."""
-    if lines.isStreaming or few(targets):
-        found = holding(lines, targets)
-    else:
-        found = holding(lines.select(*LINE, "text"), targets).join(lines.drop("text"), LINE)
-    found = found.withColumn("at", F.explode(occurrences(F.col("text"), F.col("target"))))
+    found = target_places(lines, targets)
     symbols = F.slice("units", F.col("at") + 1, F.length("target"))
     return found.select(*LINE, "target_id", "target", F.col("text").alias("line_text"), "at", symbols.alias("symbols"), box_of(symbols).alias("box"))
 
 
+def near_pairs(lines: DataFrame, targets: DataFrame) -> DataFrame:
+    """The lines for each target that they may hold a near match of: their columns, target_id, target."""
+    few = bounded(targets)
+    if few is not None:
+        texts, ids = _numbered(lines.sparkSession, few)
+        return lines.withColumn("target_ix", F.explode(candidates(F.col("text"), texts))).join(ids, "target_ix").drop("target_ix")
+    wanted = targets.select("target_id", "target", F.explode(target_keys(F.col("target"))).alias("_k"))
+    able = lines.select(*LINE, F.explode(pair_keys(F.col("text"), True)).alias("_k")).join(wanted, "_k").select(*LINE, "target_id", "target").distinct()
+    return lines.join(able, LINE)
+
+
 def near_candidates(lines: DataFrame, targets: DataFrame, limit: int = CONFIG.near_limit) -> DataFrame:
     """Windows of a line that resemble a target: the best of each place, ``limit`` of a page pass and target."""
-    wanted = targets.select("target_id", "target", F.explode(characters(F.col("target"))).alias("_c")).groupBy("target_id", "target", "_c").agg(F.count("*").alias("_m"))
-    seen = lines.select(*LINE, F.explode(F.array_distinct(characters(F.col("text")))).alias("_c"))
-    # A window of a line shares at most what the line shares.
-    able = seen.join(wanted, "_c").groupBy(*LINE, "target_id", "target").agg(F.sum("_m").alias("_shared")).filter(F.col("_shared") >= least_shared(F.col("target")))
-    both = lines.join(able, LINE)
-    n, t = F.size("units"), F.length("target")
-    low, high = F.greatest(F.lit(1), t - CONFIG.near_slack), F.least(n, t + CONFIG.near_slack)
-    lengths = lambda i: F.when(low <= F.least(high, n - i), F.sequence(low, F.least(high, n - i))).otherwise(F.array().cast("array<int>"))
-    windows = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(lengths(i), lambda m: F.struct(i.alias("start"), m.alias("len")))))
-    rows = both.withColumn("_w", F.explode(windows)).select("*", F.col("_w.start").alias("start_index"), F.col("_w.len").alias("len")).drop("_w")
-    rows = rows.withColumn("candidate", F.substring(F.col("text"), F.col("start_index") + 1, F.col("len")))
-    # The cheap scores first: the longest common subsequence is only as long as the shared characters allow.
-    scores = near_scores(F.col("target"), F.col("candidate"))
-    rows = sealed(rows, {"exact_chars": scores["exact_chars"]}).filter(F.col("exact_chars") >= least_shared(F.col("target")))
-    rows = sealed(rows, {k: scores[k] for k in ("edit_similarity", "sequence_similarity")}).withColumn("similarity", F.greatest("edit_similarity", "sequence_similarity")).filter(is_near(F.col("target")))
-    rows = rows.withColumn("symbols", F.slice("units", F.col("start_index") + 1, F.col("len")))
-    order = [F.desc("similarity"), F.desc("exact_chars"), F.abs(F.col("len") - t), "line_ix", "start_index", "len"]
+    rows = near_pairs(lines, targets).withColumn("_w", F.explode(near_windows(F.col("target"), F.col("text"))))
+    rows = rows.withColumns({"start_index": F.col("_w.start"), "len": F.col("_w.len"), "exact_chars": F.col("_w.shared")})
+    most = F.greatest("len", F.length("target"))
+    rows = rows.withColumns({"edit_similarity": 1 - F.col("_w.distance") / most, "sequence_similarity": F.col("_w.common") / most}).drop("_w")
+    rows = rows.withColumns({"similarity": F.greatest("edit_similarity", "sequence_similarity"), "candidate": F.substring(F.col("text"), F.col("start_index") + 1, F.col("len")), "symbols": F.slice("units", F.col("start_index") + 1, F.col("len"))})
+    order = [F.desc("similarity"), F.desc("exact_chars"), F.abs(F.col("len") - F.length("target")), "line_ix", "start_index", "len"]
     # One of each place: the boxes are rounded in the page's own scale.
     edge = lambda s, k: half_up(F.element_at("symbols", s)["bbox"][k] * F.col("scale"))
     keys = ["image_id", "pass_ix", "target_id"]

@@ -103,13 +103,13 @@ def italic_search(images: DataFrame, boxes: DataFrame, matches: DataFrame, near:
 def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None, templates: DataFrame | None = None) -> dict[str, DataFrame]:
     """All step tables by name; ``stamps`` is the result.
 
-    Lines, near candidates' groups and recovered hits feed several later steps and are written once, to the
+    Targets, lines, near candidates, their groups and recovered hits feed several later steps and are written once, to the
     shared checkpoint folder: they are small beside the pages, and plans stay small.
     """
-    wanted = normal_targets(targets)
+    wanted = cut(normal_targets(targets))
     lines = cut(line_units(pages))
     matches = cut(exact_matches(lines, wanted))
-    near = near_candidates(lines, wanted)
+    near = cut(near_candidates(lines, wanted))
     groups = cut(group_candidates(near))
     open_ = open_groups(groups, matches)
     accepted = cut(fast_recovery(open_, groups))

@@ -13,7 +13,7 @@ from ..functions import schemas
 from ..functions.numbers import analysis_scale, median_of, ocr_scale, median_or_zero, scaled_size, template_scale
 from ..functions.rects import add_visual_rect, manual_rect
 from ..functions.spatial import cluster, touches_exact
-from ..functions.text import near_scores, normalize, occurrences, ocr_language, output_name, shorten, squeeze
+from ..functions.text import near_scores, normalize, ocr_language, output_name, shorten, squeeze
 from ..operators import edits, groups, history, match, rescue, suppress, templates, units
 from . import edit_queries, metrics, pipeline, pixel_queries
 
@@ -37,9 +37,7 @@ def norm_len_by_lang(spark, sf_dir):
 def exact_hits(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
     lines = d.withColumn("text", normalize(F.col("line"))).filter(F.col("text") != "").select("doc_id", "line_ix", "text")
-    first = _targets(spark, TARGETS)
-    # A line meets only the targets that it holds; the positions are then found one by one.
-    hits = lines.join(F.broadcast(first), F.contains("text", "target")).withColumn("n", F.size(occurrences(F.col("text"), F.col("target"))))
+    hits = match.target_places(lines, _targets(spark, TARGETS)).groupBy("doc_id", "line_ix", "target").agg(F.count("*").alias("n"))
     return hits.groupBy("doc_id", "target").agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("lines"))
 
 
