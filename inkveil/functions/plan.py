@@ -38,3 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the cluster's shared checkpoint folder and cuts its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer partitions than the cluster has cores over all of them; a larger one is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)

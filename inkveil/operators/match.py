@@ -102,6 +102,7 @@ def near_candidates(lines: DataFrame, targets: DataFrame, limit: int = CONFIG.ne
     # One of each place: the boxes are rounded in the page's own scale.
     edge = lambda s, k: half_up(F.element_at("symbols", s)["bbox"][k] * F.col("scale"))
     keys = ["image_id", "pass_ix", "target_id"]
+    rows = rows.repartition(*keys)  # once for both windows: what a page holds of a target is bounded
     rows = rows.withColumns({"_l": edge(1, "x0"), "_r": edge(-1, "x1")})
     rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "text", "_l", "_r").orderBy(*order))).filter("_rn = 1")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= limit)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas
+from ..functions.plan import spread
 from ..functions.numbers import analysis_scale, median_of, ocr_scale, median_or_zero, scaled_size, template_scale
 from ..functions.rects import add_visual_rect, manual_rect
 from ..functions.spatial import cluster, touches_exact
@@ -30,12 +31,12 @@ def _targets(spark: SparkSession, words: list[str]) -> DataFrame:
 
 
 def norm_len_by_lang(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.length(normalize(F.col("text"))).alias("n"))
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", F.length(normalize(F.col("text"))).alias("n"))
     return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"), F.max("n").alias("longest"))
 
 
 def exact_hits(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
     lines = d.withColumn("text", normalize(F.col("line"))).filter(F.col("text") != "").select("doc_id", "line_ix", "text")
     hits = match.target_places(lines, _targets(spark, TARGETS)).groupBy("doc_id", "line_ix", "target").agg(F.count("*").alias("n"))
     return hits.groupBy("doc_id", "target").agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("lines"))
@@ -146,7 +147,7 @@ def manual_rects(spark, sf_dir):
 
 def _name_lines(spark, sf_dir, read=F.col):
     """Part names as read lines: words of ten-pixel characters; every seventh part's symbols are unusable."""
-    p = table(spark, sf_dir, "part").withColumn("p_name", read("p_name"))
+    p = spread(table(spark, sf_dir, "part")).withColumn("p_name", read("p_name"))
     ws = F.split(F.col("p_name"), " ")
     start = lambda i: F.aggregate(F.slice(ws, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1) * 10.0
     box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(50.0).alias("y0"), b.cast("double").alias("x1"), F.lit(62.0).alias("y1"))
