@@ -10,6 +10,7 @@ STYLE = "struct<mode:string,color:string>"
 IMAGES = "image_id string, path string, width int, height int, data binary"
 TARGETS = "target_id string, target_raw string"
 OCR_PAGES = f"image_id string, pass string, pass_ix int, scale double, off_x double, off_y double, text string, lines {LINES}"
+#: ``crop`` is in the pixels of what the variant is cut from: the enlarged page (ocr), the analysed page (analysed), the image (others).
 OCR_REQUESTS = f"image_id string, target_id string, request_id string, kind string, group_ix int, attempt_ix int, variant string, psm int, zoom int, crop {BBOX}"
 OCR_REPLIES = f"request_id string, text string, lines {LINES}, error string"
 TEMPLATES = "target_id string, target_height int, skew double, w int, h int, samples array<struct<x:int,y:int>>, bg_samples array<struct<x:int,y:int>>"

@@ -33,18 +33,6 @@ def overlaps_divided(threshold: float):
     return test
 
 
-def overlaps_multiplied(threshold: float):
-    """The same rule by multiplication, as regions and templates have it: doubles differ at ties."""
-    return lambda kept, box: intersection(kept, box) > F.least(_area(kept), _area(box)) * threshold
-
-
-def overlaps_existing(kept: Column, box: Column) -> Column:
-    """A template position against a covered box: the threshold itself overlaps; areas count 1 at least."""
-    touch = (kept["w"] > 0) & (kept["h"] > 0) & (intersection(kept, box) > 0)
-    least = F.least(F.greatest(F.lit(1.0), _area(kept)), F.greatest(F.lit(1.0), _area(box)))
-    return touch & (intersection(kept, box) / least >= CONFIG.template_overlap)
-
-
 def greedy(boxes: Column, overlaps, limit: int | None = None) -> Column:
     """In order, keeps every box that overlaps none kept before, up to ``limit``."""
     none = F.filter(boxes, lambda b: F.lit(False))

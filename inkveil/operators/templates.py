@@ -9,8 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from ..functions.config import CONFIG
 from ..functions.numbers import half_up as col_half_up
@@ -23,10 +26,14 @@ def scan_positions(start: int, end: int, step: int, offset: int = 0) -> list[int
     return sorted({v for v in [*range(start + offset, end + 1, step), end] if start <= v <= end})
 
 
-def scan_positions_column(start: Column, end: Column, step: int, offset: int = 0) -> Column:
-    """The same as an array column."""
-    grid = F.when(start + offset <= end, F.sequence(start + offset, end, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.when(end >= start, F.array_sort(F.array_distinct(F.concat(grid, F.array(end))))).otherwise(F.array().cast("array<int>"))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _scan(start: pa.Array, end: pa.Array, step: pa.Array, offset: pa.Array) -> pa.Array:
+    return pa.array([scan_positions(*r) for r in zip(*(c.to_pylist() for c in (start, end, step, offset)))], pa.list_(pa.int32()))
+
+
+def scan_grids(start: Column, end: Column, step: int, offset: int = 0) -> Column:
+    """``scan_positions`` of each row, as an array."""
+    return _scan(start, end, F.lit(step), F.lit(offset))
 
 
 def _two(start: int, end: int) -> set[int]:
@@ -48,33 +55,108 @@ def region_positions(regions: list[dict], w: int, h: int, width: int, height: in
     return sorted(xs), sorted(ys)
 
 
-def in_regions(x: int, y: int, w: int, h: int, regions: list[dict]) -> bool:
+def near_region(x, y, w, h, r) -> np.ndarray:
+    """Whether boxes have their centres in or near a region (x, y, w, h); of arrays element by element."""
     m, cx, cy = CONFIG.region_margin, x + w / 2, y + h / 2
-    return not regions or any(r["x"] - m <= cx <= r["x"] + r["w"] + m and r["y"] - m <= cy <= r["y"] + r["h"] + m for r in regions)
+    return (r["x"] - m <= cx) & (cx <= r["x"] + r["w"] + m) & (r["y"] - m <= cy) & (cy <= r["y"] + r["h"] + m)
 
 
-def covered(box: dict, existing: list[dict]) -> bool:
-    """Whether a position overlaps a covered box: the threshold itself does, areas count 1 at least."""
-    for o in existing:
-        inter = shared_area(o, box) if o["w"] > 0 and o["h"] > 0 else 0
-        if inter > 0 and inter / min(max(1, o["w"] * o["h"]), max(1, box["w"] * box["h"])) >= CONFIG.template_overlap:
-            return True
-    return False
+def overlaps_box(x, y, w, h, o) -> np.ndarray:
+    """Whether positions overlap a covered box: the threshold itself does, areas count 1 at least."""
+    ix = np.maximum(0, np.minimum(o["x"] + o["w"], x + w) - np.maximum(o["x"], x))
+    iy = np.maximum(0, np.minimum(o["y"] + o["h"], y + h) - np.maximum(o["y"], y))
+    least = np.minimum(np.maximum(1, o["w"] * o["h"]), np.maximum(1, w * h))
+    return (o["w"] > 0) & (o["h"] > 0) & (ix * iy > 0) & (ix * iy / least >= CONFIG.template_overlap)
 
 
-def score(plane: np.ndarray, xs: np.ndarray, y: int, template: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each x of a row of positions: (score, share of text points in the text range, share of background points dark enough)."""
-    low, high = CONFIG.gray_text
-    fg, bg = template["_fg"], template["_bg"]
-    a = plane[y + fg[:, 1, None], xs[None, :] + fg[:, 0, None]]
-    b = plane[y + bg[:, 1, None], xs[None, :] + bg[:, 0, None]]
-    f = ((a >= low) & (a <= high)).sum(axis=0) / max(1, len(fg))
-    g = (b <= CONFIG.gray_background).sum(axis=0) / max(1, len(bg))
-    return f * CONFIG.template_weights[0] + g * CONFIG.template_weights[1], f, g
+def _any(test, x, y, w, h, boxes: list[dict]) -> np.ndarray:
+    hit = np.zeros(np.broadcast_shapes(np.shape(x), np.shape(y)), bool)
+    for b in boxes:
+        hit |= test(x, y, w, h, b)
+    return hit
+
+
+def open_positions(xs: np.ndarray, ys: np.ndarray, w: int, h: int, regions: list[dict], existing: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a grid (y, x) of positions: those in or near a region, if there are any, and of these the ones that nothing covers."""
+    x, y = np.asarray(xs)[None, :], np.asarray(ys)[:, None]
+    asked = _any(near_region, x, y, w, h, regions) if regions else np.ones((len(ys), len(xs)), bool)
+    return asked, asked & ~_any(overlaps_box, x, y, w, h, existing)
+
+
+def _of_lists(test):
+    """A test of a box against other boxes as a column: whether any of a list of boxes passes."""
+
+    @F.arrow_udf(BooleanType())
+    def run(x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array, others: pa.Array) -> pa.Array:
+        owner = np.repeat(np.arange(len(x)), others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = others.flatten()
+        o = {k: pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in ("x", "y", "w", "h")}
+        hit = test(*(c.to_numpy(zero_copy_only=False)[owner] for c in (x, y, w, h)), o)
+        return pa.array(np.bincount(owner, hit, len(x)) > 0)
+
+    return run
+
+
+_near_any, _overlaps_any = _of_lists(near_region), _of_lists(overlaps_box)
+_SIDES = ("x", "y", "w", "h")
+
+
+def _gathered(boxes: DataFrame, name: str) -> DataFrame:
+    """(image_id, name): the boxes of each image; some dozens at most."""
+    return boxes.groupBy("image_id").agg(F.collect_list(F.struct(*_SIDES)).alias(name))
+
+
+def touches_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """Boxes (image_id, x, y, w, h) whose centre lies in or near a text region of their image; all of an image without regions."""
+    rows = boxes.join(_gathered(regions, "_r"), "image_id", "left")
+    return rows.withColumn("_hit", _near_any(*_SIDES, "_r")).filter(F.col("_r").isNull() | F.col("_hit")).select(*boxes.columns)
+
+
+def uncovered(boxes: DataFrame, existing: DataFrame) -> DataFrame:
+    """Boxes that no covered box of their image overlaps."""
+    rows = boxes.join(_gathered(existing, "_k"), "image_id", "left")
+    return rows.withColumn("_hit", _overlaps_any(*_SIDES, "_k")).filter(~F.col("_hit")).select(*boxes.columns)
 
 
-def _points(template: dict) -> dict:
-    return {**template, "_fg": np.array(template["samples"], int).reshape(-1, 2), "_bg": np.array(template["bg_samples"], int).reshape(-1, 2)}
+class Plane:
+    """A grey plane for templates: of both ranges of grey, the 64 pixels from each place on as the bits of a word.
+
+    A template's points are masks of such words, row by row, so a count of its points that lie in range is a sum of bit counts, for a whole
+    grid of positions at once. The words are made once for all templates of an image.
+    """
+
+    def __init__(self, grey: np.ndarray):
+        low, high = CONFIG.gray_text
+        self.grey, (self.height, self.width) = grey, grey.shape
+        self.text, self.ground = self._words((grey >= low) & (grey <= high)), self._words(grey <= CONFIG.gray_background)
+
+    def _words(self, hit: np.ndarray) -> np.ndarray:
+        words = np.zeros((self.height, self.width + 64), np.uint64)
+        words[:, : self.width] = hit
+        for k in (1, 2, 4, 8, 16, 32):
+            words[:, :-k] |= words[:, k:] << np.uint64(k)
+        return words[:, : self.width + 1]  # the last place: nothing beyond the edge
+
+    def count(self, words: np.ndarray, points: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """(y, x): how many of a template's points, repeats counted, hit at each position of the grid."""
+        total = np.zeros((len(ys), len(xs)), np.int64)
+        places, times = np.unique(points, axis=0, return_counts=True) if len(points) else (points, np.zeros(0, int))
+        while len(places):
+            masks: dict[tuple[int, int], int] = {}
+            for x, y in places.tolist():
+                masks[y, x // 64] = masks.get((y, x // 64), 0) | 1 << x % 64
+            for (y, k), mask in masks.items():
+                total += np.bitwise_count(words[(ys + y)[:, None], np.minimum(xs + 64 * k, self.width)[None, :]] & np.uint64(mask))
+            times = times - 1
+            places, times = places[times > 0], times[times > 0]
+        return total
+
+    def score(self, xs: np.ndarray, ys: np.ndarray, template: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(y, x) of a grid: (score, share of text points in the text range, share of background points dark enough)."""
+        fg, bg = (np.array(template[k], int).reshape(-1, 2) for k in ("samples", "bg_samples"))
+        f = self.count(self.text, fg, xs, ys) / max(1, len(fg))
+        g = self.count(self.ground, bg, xs, ys) / max(1, len(bg))
+        return f * CONFIG.template_weights[0] + g * CONFIG.template_weights[1], f, g
 
 
 def score_positions(rows: DataFrame) -> DataFrame:
@@ -84,9 +166,9 @@ def score_positions(rows: DataFrame) -> DataFrame:
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
-                own = _points({k: [(p["x"], p["y"]) for p in getattr(r, k)] for k in ("samples", "bg_samples")})
-                s, x, y = score(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), np.array([r.x]), r.y, own)
-                out.append((r.id, float(s[0]), float(x[0]), float(y[0])))
+                own = {k: [(p["x"], p["y"]) for p in getattr(r, k)] for k in ("samples", "bg_samples")}
+                s, x, y = Plane(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)).score(np.array([r.x]), np.array([r.y]), own)
+                out.append((r.id, float(s[0, 0]), float(x[0, 0]), float(y[0, 0])))
             yield pd.DataFrame(out, columns=["id", "score", "fg_score", "bg_score"])
 
     return rows.mapInPandas(run, "id bigint, score double, fg_score double, bg_score double")
@@ -102,48 +184,40 @@ def suppress(candidates: list[dict], limit: int) -> list[dict]:
     return kept
 
 
-def search(plane: np.ndarray, template: dict, regions: list[dict] | None = None, existing: list[dict] | None = None) -> dict:
+def search(plane: Plane, template: dict, regions: list[dict] | None = None, existing: list[dict] | None = None) -> dict:
     """Positions of one template on one plane: a coarse grid, its best seeds, then their surroundings."""
-    height, width = plane.shape
+    height, width = plane.height, plane.width
     w, h = template["w"], template["h"]
     regions, existing = regions or [], existing or []
     if not w or w >= width or h >= height:
         return {"candidates": [], "coarse_passed": 0, "scored": 0, "skipped": 0}
-    template = _points(template)
     top, bottom = int(np.floor(height * CONFIG.search_top)), max(int(np.floor(height * CONFIG.search_top)), height - h)
     left = int(np.floor(width * CONFIG.search_left))
     right = max(left, width - w - int(np.floor(width * CONFIG.search_right)))
     low, high = CONFIG.gray_text
-    probe = plane[top : min(height - 1, bottom + h) + 1, left : right + 1 : 5]
+    probe = plane.grey[top : min(height - 1, bottom + h) + 1, left : right + 1 : 5]
     filled = np.zeros(height + h + 1, bool)
     filled[top : top + len(probe)] = ((probe >= low) & (probe <= high)).sum(axis=1) >= 4
-    if regions:
-        xs, ys = region_positions(regions, w, h, width, height)
-    else:
-        xs, ys = sorted(_two(left, right)), sorted(_two(top, bottom))
-    scored = skipped = 0
-    seeds = []
-
-    def good(row: list[int], y: int, least: tuple[float, float]) -> list[dict]:
-        if not row:
-            return []
-        s, f, g = score(plane, np.array(row), y, template)
-        return [{"x": row[k], "y": y, "w": w, "h": h, "score": float(s[k]), "fg_score": float(f[k]), "bg_score": float(g[k])} for k in np.flatnonzero((s >= least[0]) & (g >= least[1]))]
-
-    for y in ys:
-        if not filled[y : y + h : max(2, CONFIG.coarse_step)].any():
-            continue
-        row = [x for x in xs if in_regions(x, y, w, h, regions)]
-        free = [x for x in row if not covered({"x": x, "y": y, "w": w, "h": h}, existing)]
-        skipped += len(row) - len(free)
-        scored += len(free)
-        seeds += good(free, y, CONFIG.coarse)
+    xs, ys = region_positions(regions, w, h, width, height) if regions else (sorted(_two(left, right)), sorted(_two(top, bottom)))
+    ys = [y for y in ys if filled[y : y + h : max(2, CONFIG.coarse_step)].any()]
+
+    def good(xs: list[int], ys: list[int], least: tuple[float, float]) -> tuple[list[dict], int, int]:
+        """The positions that score enough, by rows; how many were scored, and skipped since they are covered."""
+        if not xs or not ys:
+            return [], 0, 0
+        xs, ys = np.array(xs), np.array(ys)
+        asked, free = open_positions(xs, ys, w, h, regions, existing)
+        s, f, g = plane.score(xs, ys, template) if free.any() else (np.zeros(free.shape),) * 3
+        hits = np.argwhere(free & (s >= least[0]) & (g >= least[1])).tolist()
+        found = [{"x": int(xs[i]), "y": int(ys[k]), "w": w, "h": h, "score": float(s[k, i]), "fg_score": float(f[k, i]), "bg_score": float(g[k, i])} for k, i in hits]
+        return found, int(free.sum()), int(asked.sum() - free.sum())
+
+    seeds, scored, skipped = good(xs, ys, CONFIG.coarse)
     fine = []
     reach = CONFIG.refine_reach
     for seed in suppress(seeds, CONFIG.coarse_limit):
-        for y in range(max(top, seed["y"] - reach), min(bottom, seed["y"] + reach) + 1, CONFIG.refine_step):
-            near = range(max(left, seed["x"] - reach), min(right, seed["x"] + reach) + 1, CONFIG.refine_step)
-            fine += good([x for x in near if in_regions(x, y, w, h, regions) and not covered({"x": x, "y": y, "w": w, "h": h}, existing)], y, CONFIG.final)
+        around = [list(range(max(least, seed[k] - reach), min(most, seed[k] + reach) + 1, CONFIG.refine_step)) for k, least, most in (("x", left, right), ("y", top, bottom))]
+        fine += good(*around, CONFIG.final)[0]
     return {"candidates": suppress(fine, CONFIG.final_limit), "coarse_passed": len(seeds), "scored": scored, "skipped": skipped}
 
 
@@ -156,22 +230,28 @@ def _whole(r: dict, scale: float) -> dict:
     return {**r, **{k: int(half_up(r[k] / scale)) for k in ("x", "y")}, **{k: max(1, int(half_up(r[k] / scale))) for k in ("w", "h")}}
 
 
-def rescue(rgba: np.ndarray, templates: list[dict], existing: list[dict], regions: list[dict]) -> tuple[list[dict], dict]:
+class SearchPage:
+    """The analysed page of an image and the plane, maybe smaller still, on which its templates are sought."""
+
+    def __init__(self, rgba: np.ndarray):
+        page, self.page_scale = analysed(rgba)
+        height, width = page.shape[:2]
+        self.scale = min(1.0, CONFIG.template_width / width, float(np.sqrt(CONFIG.template_pixels / (width * height))))
+        if self.scale >= CONFIG.scale_snap:
+            self.scale = 1.0
+        else:
+            w, h = max(1, int(half_up(width * self.scale))), max(1, int(half_up(height * self.scale)))
+            page, self.scale = resize(page, w, h), w / width
+        self.plane = Plane(grey_plane(page, boost=True))
+
+
+def rescue(page: SearchPage, templates: list[dict], existing: list[dict], regions: list[dict]) -> tuple[list[dict], dict]:
     """Places that a target's templates find and no box covers: around text regions first, then anywhere.
 
     Boxes go in and out in the image's own pixels. They are merged and accepted on the analysed page; the search
     is on a plane of it that may be smaller still. Only what is found is rounded, boxes and regions are scaled as they are.
     """
-    page, page_scale = analysed(rgba)
-    height, width = page.shape[:2]
-    scale = min(1.0, CONFIG.template_width / width, float(np.sqrt(CONFIG.template_pixels / (width * height))))
-    small = page
-    if scale >= CONFIG.scale_snap:
-        scale = 1.0
-    else:
-        w, h = max(1, int(half_up(width * scale))), max(1, int(half_up(height * scale)))
-        small, scale = resize(page, w, h), w / width
-    plane = grey_plane(small, boost=True)
+    plane, scale, page_scale = page.plane, page.scale, page.page_scale
     accepted: list[dict] = []
     taken = [_times(b, page_scale) for b in existing]
     areas = [_times(r, page_scale) for r in regions if r["w"] > 0 and r["h"] > 0]
@@ -187,7 +267,7 @@ def rescue(rgba: np.ndarray, templates: list[dict], existing: list[dict], region
                 totals[k] += found[k]
             merged += [{**(_whole(c, scale) if scale != 1.0 else c), "target_height": t["target_height"], "skew": t["skew"]} for c in found["candidates"]]
         for c in suppress(merged, CONFIG.merged_limit):
-            if c["score"] < CONFIG.rescue[0] or c["fg_score"] < CONFIG.rescue[1] or c["bg_score"] < CONFIG.rescue[2] or covered(c, taken):
+            if c["score"] < CONFIG.rescue[0] or c["fg_score"] < CONFIG.rescue[1] or c["bg_score"] < CONFIG.rescue[2] or _any(overlaps_box, c["x"], c["y"], c["w"], c["h"], taken).any():
                 continue
             accepted.append({**_whole(c, page_scale), "pass": name})
             taken.append({k: c[k] for k in ("x", "y", "w", "h")})
@@ -237,15 +317,6 @@ def template_variants(heights: DataFrame, skews: tuple[float, ...] = (0.0,)) ->
     return heights.withColumn("height", F.explode("heights")).withColumn("skew", F.explode(F.array(*[F.lit(float(s)) for s in skews])))
 
 
-def touches_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
-    """Boxes (image_id, x, y, w, h) whose centre lies in or near a text region of their image; all of an image without regions."""
-    r = regions.select(F.col("image_id").alias("_i"), F.struct("x", "y", "w", "h").alias("r"))
-    m, cx, cy = CONFIG.region_margin, F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
-    inside = (cx >= F.col("r.x") - m) & (cx <= F.col("r.x") + F.col("r.w") + m) & (cy >= F.col("r.y") - m) & (cy <= F.col("r.y") + F.col("r.h") + m)
-    near = boxes.join(r, (F.col("image_id") == F.col("_i")) & inside, "left_semi")
-    return near.unionByName(boxes.join(r, F.col("image_id") == F.col("_i"), "left_anti"))
-
-
 def template_heights(matches: DataFrame, near: DataFrame, scales: DataFrame | None = None) -> DataFrame:
     """(image_id, target_id, heights, basis, origin, sample_count) from the median height of hits, else of strong near ones.
 
@@ -270,25 +341,28 @@ def rescue_search(images: DataFrame, asked: DataFrame) -> DataFrame:
 
     ``accepted`` has the boxes found, ``rescue_limit`` at most; the others count passes over the page, positions
     scored, positions skipped since something covers them already, and positions that passed the coarse search.
+    All that is asked of an image meets its pixels once: one page and one plane serve all its targets.
     """
     box = "x:double,y:double,w:double,h:double,score:double,fg_score:double,bg_score:double,pass:string"
-    rows = images.select("image_id", "width", "height", "data").join(asked, "image_id")
+    gathered = asked.groupBy("image_id").agg(F.collect_list(F.struct("target_id", "templates", "existing", "regions")).alias("asked"))
+    rows = images.select("image_id", "width", "height", "data").join(gathered, "image_id")
 
     def plain(v) -> list[dict]:
         return [x.asDict(True) if hasattr(x, "asDict") else dict(x) for x in (v if v is not None else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             for r in f.itertuples(index=False):
-                templates = plain(r.templates)
-                for t in templates:
-                    for k in ("samples", "bg_samples"):
-                        t[k] = [(p["x"], p["y"]) for p in plain(t[k])]
-                accepted, totals = rescue(pixels(r.data, r.width, r.height), templates, plain(r.existing), plain(r.regions))
-                boxes = [{n: a[n] if n == "pass" else float(a[n]) for n in ("x", "y", "w", "h", "score", "fg_score", "bg_score", "pass")} for a in accepted]
-                out.append({"image_id": r.image_id, "target_id": r.target_id, **totals, "accepted": boxes})
-            yield pd.DataFrame(out, columns=["image_id", "target_id", "passes", "scored", "skipped", "coarse_passed", "accepted"])
+                out, page = [], SearchPage(pixels(r.data, r.width, r.height))
+                for q in plain(r.asked):
+                    templates = plain(q["templates"])
+                    for t in templates:
+                        for k in ("samples", "bg_samples"):
+                            t[k] = [(p["x"], p["y"]) for p in plain(t[k])]
+                    accepted, totals = rescue(page, templates, plain(q["existing"]), plain(q["regions"]))
+                    boxes = [{n: a[n] if n == "pass" else float(a[n]) for n in ("x", "y", "w", "h", "score", "fg_score", "bg_score", "pass")} for a in accepted]
+                    out.append({"image_id": r.image_id, "target_id": q["target_id"], **totals, "accepted": boxes})
+                yield pd.DataFrame(out, columns=["image_id", "target_id", "passes", "scored", "skipped", "coarse_passed", "accepted"])
 
     return rows.mapInPandas(run, f"image_id string, target_id string, passes bigint, scored bigint, skipped bigint, coarse_passed bigint, accepted array<struct<{box}>>")
 

@@ -19,7 +19,7 @@ from ..functions.rects import add_visual_rect
 from ..functions.spatial import greedy, overlaps_divided
 from ..operators.groups import fast_recovery, group_candidates, open_groups
 from ..operators.match import exact_matches, near_candidates, normal_targets
-from ..operators.rescue import refine_requests, region_pages, region_requests, resolve
+from ..operators.rescue import refine_requests, region_pages, region_requests, resolve_in_rounds
 from ..operators.templates import accepted_boxes, rescue_search, template_heights
 from ..operators.units import line_units
 
@@ -117,11 +117,10 @@ def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Ca
     out = {"targets": wanted, "lines": lines, "matches": matches, "near": near, "groups": groups, "open": open_, "accepted": accepted}
     refined = local = None
     if provider is not None:
-        requests = refine_requests(left, images)
-        refined = resolve(requests, provider(requests), wanted, groups)
+        refined, requests = resolve_in_rounds(refine_requests(left, images), provider, wanted, groups)
         out |= {"requests": requests, "refined": refined}
         if regions is not None:
-            asked = region_requests(regions)
+            asked = region_requests(regions, images)
             local = exact_matches(line_units(region_pages(asked, provider(asked))), wanted)
             out |= {"region_requests": asked, "local": local}
     out["boxes"] = paint_boxes(matches, refined, accepted, local)

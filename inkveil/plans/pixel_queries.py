@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schemas
-from ..functions.spatial import overlaps_existing
 from ..operators import raster, templates
 from ..sources import ocr
 
@@ -225,8 +224,7 @@ SELECT b.image_id, ord FROM b LEFT JOIN r USING (image_id) WHERE r.image_id IS N
 def free_positions(spark, sf_dir):
     """Template positions that no covered box of their image overlaps."""
     b = _boxes(spark, sf_dir)
-    taken = b.filter("flag = 'R'").select(F.col("image_id").alias("_i"), F.struct("x", "y", "w", "h").alias("_k"))
-    return b.filter("flag <> 'R'").join(taken, (F.col("image_id") == F.col("_i")) & overlaps_existing(F.col("_k"), F.struct("x", "y", "w", "h")), "left_anti").select("image_id", "ord")
+    return templates.uncovered(b.filter("flag <> 'R'"), b.filter("flag = 'R'")).select("image_id", "ord")
 
 
 FREE_POSITIONS = f"""

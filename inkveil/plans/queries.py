@@ -270,8 +270,8 @@ REFINE_REQUESTS = (
     + f""",
 best AS (SELECT * FROM open WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.image_id = open.image_id AND a.target = open.target AND a.group_ix = open.group_ix) QUALIFY row_number() OVER (PARTITION BY image_id, target, group_ix ORDER BY similarity DESC, rank) = 1),
 pad AS (SELECT *, greatest(30, floor((r - l) * 2 * 0.65::DOUBLE + 0.5)) / 2 AS px, xs[greatest(0, i - 2) + 1] AS a0, xe[least(len(xs), i + n + 2)] AS a1 FROM best),
-crop AS (SELECT *, greatest(0, floor(a0 - px)) AS x0, least(400, ceil(a1 + px)) AS x1 FROM pad)
-SELECT image_id || '/' || target || '/' || group_ix || '/' || attempt AS request_id, variant, psm::BIGINT AS psm, x0::DOUBLE AS x0, 10.0::DOUBLE AS y0, x1::DOUBLE AS x1, 46.0::DOUBLE AS y1 FROM crop, {LADDER} WHERE x1 > x0 AND (NOT weak OR similarity < 0.7::DOUBLE OR exact_chars <= 2)"""
+crop AS (SELECT *, variant = 'ocr' AS page, greatest(0, floor(CASE WHEN variant = 'ocr' THEN 2 * (a0 - px) ELSE a0 - px END)) AS x0, least(CASE WHEN variant = 'ocr' THEN 1000 ELSE 400 END, ceil(CASE WHEN variant = 'ocr' THEN 2 * (a1 + px) ELSE a1 + px END)) AS x1 FROM pad, {LADDER})
+SELECT image_id || '/' || target || '/' || group_ix || '/' || attempt AS request_id, variant, psm::BIGINT AS psm, x0::DOUBLE AS x0, CASE WHEN page THEN 20 ELSE 10 END::DOUBLE AS y0, x1::DOUBLE AS x1, CASE WHEN page THEN 92 ELSE 46 END::DOUBLE AS y1 FROM crop WHERE x1 > x0 AND (NOT weak OR similarity < 0.7::DOUBLE OR exact_chars <= 2)"""
 )
 _COUNTED = {
     "matches": "exact", "near": "near", "groups": "ranked", "open": "(SELECT DISTINCT image_id, target, group_ix FROM open)", "accepted": "accepted", "boxes": "p", "stamps": "p",
@@ -443,7 +443,7 @@ def median_heights(spark, sf_dir):
 
 def scan_grids(spark, sf_dir):
     a, b = F.col("p_size").cast("int"), (F.col("p_size") + F.col("p_partkey") % 90).cast("int")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(templates.scan_positions_column(a, b, 6, 3), ",").alias("positions"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(templates.scan_grids(a, b, 6, 3), ",").alias("positions"))
 
 
 def scales(spark, sf_dir):

@@ -30,32 +30,6 @@ def table_provider(replies: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda requests: replies.join(requests.select("request_id").distinct(), "request_id", "left_semi")
 
 
-def function_provider(recognise: Callable[[dict], dict], images: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A provider that calls ``recognise(request with the image's pixels) -> {text, lines}`` beside the image.
-
-    A failed reading becomes a reply with its error, as a row: one bad crop never stops a job. Whatever the
-    function sets up (a worker, a model) lives in its module and so once per Python process.
-    """
-
-    def provide(requests: DataFrame) -> DataFrame:
-        rows = requests.join(images.select("image_id", "width", "height", "data"), "image_id")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                out = []
-                for r in f.to_dict("records"):
-                    try:
-                        got = recognise(r)
-                        out.append({"request_id": r["request_id"], "text": got.get("text"), "lines": got.get("lines") or [], "error": None})
-                    except Exception as e:  # noqa: BLE001  the error is the row's result
-                        out.append({"request_id": r["request_id"], "text": None, "lines": [], "error": f"ERROR: {e}"})
-                yield pd.DataFrame(out, columns=["request_id", "text", "lines", "error"])
-
-        return rows.mapInPandas(run, OCR_REPLIES)
-
-    return provide
-
-
 def picture(rgba: np.ndarray, variant: str, crop: dict | None, zoom: float, border: int = 0) -> np.ndarray:
     """What a reading gets to see: a window (default: all) of the page, as a variant, enlarged, in a white border."""
     if crop is not None:
@@ -77,36 +51,91 @@ def read_page(rgba: np.ndarray, variant: str) -> tuple[np.ndarray, int]:
     return raster.VARIANTS[variant](large), int(raster.half_up(CONFIG.ocr_border * scale))
 
 
-EDGES = ("x0", "y0", "x1", "y1")
+class Pages:
+    """One image and the pages made of it, each at most once."""
+
+    def __init__(self, data: bytes, width: int, height: int):
+        self.rgba = raster.pixels(data, width, height)
+        self._made: dict[str, np.ndarray] = {}
+
+    def of(self, variant: str) -> np.ndarray:
+        """What a variant is cut from: the enlarged page as it is (``ocr``), the analysed page (``analysed``), the image (others)."""
+        if variant not in ("ocr", "analysed"):
+            return self.rgba
+        if variant not in self._made:
+            self._made[variant] = read_page(self.rgba, "source")[0] if variant == "ocr" else raster.analysed(self.rgba)[0]
+        return self._made[variant]
+
+    def seen(self, request: dict) -> np.ndarray:
+        """The picture of a request: the crop (in pixels of what it is cut from), as a variant, enlarged, in a white border."""
+        variant = request["variant"]
+        kernel = "source" if variant in ("ocr", "analysed") else variant
+        return picture(self.of(variant), kernel, request["crop"], float(request["zoom"]), int(request.get("border") or 0))
+
+
+def _dict(row) -> dict:
+    return row.asDict(True) if hasattr(row, "asDict") else dict(row)
+
+
+def _by_image(requests: DataFrame, images: DataFrame) -> DataFrame:
+    """One row of pixels an image, with all that is asked of it: some dozens of narrow requests a target."""
+    asked = requests.groupBy("image_id").agg(F.collect_list(F.struct(*requests.columns)).alias("requests"))
+    return images.select("image_id", "width", "height", "data").join(asked, "image_id")
+
+
+#: Pictures handed on at a time.
+PIECE = 16
 PICTURE = "request_id string, width int, height int, data binary"
 
 
 def pictures(requests: DataFrame, images: DataFrame) -> DataFrame:
-    """(request_id, width, height, data): the picture of every request (image_id, request_id, variant, zoom, crop, and border if any).
-
-    The variant ``ocr`` is the window of the enlarged, contrasted page that holds the crop. Narrow requests are joined
-    to the images by id; pixels go through Arrow beside them.
-    """
-    if "border" not in requests.columns:
-        requests = requests.withColumn("border", F.lit(0))
-    rows = requests.select("image_id", "request_id", "variant", F.col("zoom").cast("double").alias("zoom"), *[F.col("crop")[k].cast("double").alias(k) for k in EDGES], "border").join(images.select("image_id", "width", "height", "data"), "image_id")
+    """(request_id, width, height, data): the picture of every request (image_id, request_id, variant, zoom, crop, and border if any)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             for r in f.itertuples(index=False):
-                rgba, variant = raster.pixels(r.data, r.width, r.height), r.variant
-                crop = {k: getattr(r, k) for k in EDGES} if pd.notna(r.x0) else None
-                if variant == "ocr":
-                    page, _ = read_page(rgba, "contrast")
-                    scale = page.shape[1] / r.width
-                    crop = crop and {k: float((np.floor if k in ("x0", "y0") else np.ceil)(v * scale)) for k, v in crop.items()}
-                    rgba, variant = page, "source"
-                seen = picture(rgba, variant, crop, r.zoom, r.border)
-                out.append((r.request_id, seen.shape[1], seen.shape[0], np.ascontiguousarray(seen).tobytes()))
-            yield pd.DataFrame(out, columns=["request_id", "width", "height", "data"])
+                pages = Pages(r.data, r.width, r.height)
+                asked = [_dict(q) for q in r.requests]
+                for at in range(0, len(asked), PIECE):
+                    seen = [(q["request_id"], pages.seen(q)) for q in asked[at : at + PIECE]]
+                    yield pd.DataFrame([(i, s.shape[1], s.shape[0], np.ascontiguousarray(s).tobytes()) for i, s in seen], columns=["request_id", "width", "height", "data"])
+
+    return _by_image(requests, images).mapInPandas(run, PICTURE)
 
-    return rows.mapInPandas(run, PICTURE)
+
+def _provider(recognise: Callable[[dict], dict], images: DataFrame, own: bool) -> Callable[[DataFrame], DataFrame]:
+    def provide(requests: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for r in f.itertuples(index=False):
+                    pages, out = Pages(r.data, r.width, r.height), []
+                    for q in map(_dict, r.requests):
+                        try:
+                            seen = pages.seen(q) if own else pages.rgba
+                            got = recognise({**q, "width": seen.shape[1], "height": seen.shape[0], "data": np.ascontiguousarray(seen).tobytes()})
+                            out.append((q["request_id"], got.get("text"), got.get("lines") or [], None))
+                        except Exception as e:  # noqa: BLE001  the error is the row's result
+                            out.append((q["request_id"], None, [], f"ERROR: {e}"))
+                    yield pd.DataFrame(out, columns=["request_id", "text", "lines", "error"])
+
+        return _by_image(requests, images).mapInPandas(run, OCR_REPLIES)
+
+    return provide
+
+
+def function_provider(recognise: Callable[[dict], dict], images: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A provider that calls ``recognise(request with the image's pixels) -> {text, lines}`` beside the image.
+
+    A failed reading becomes a reply with its error, as a row: one bad crop never stops a job. Whatever the
+    function sets up (a worker, a model) lives in its module and so once per Python process. An image's pixels
+    are met once, by all that is asked of it.
+    """
+    return _provider(recognise, images, False)
+
+
+def picture_provider(recognise: Callable[[dict], dict], images: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The same, with each request's own picture (width, height, data) instead of the whole image."""
+    return _provider(recognise, images, True)
 
 
 def page_pictures(images: DataFrame) -> DataFrame:
@@ -125,16 +154,6 @@ def page_pictures(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id string, pass_ix int, variant string, width int, height int, data binary")
 
 
-def picture_provider(recognise: Callable[[dict], dict], images: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A provider whose ``recognise`` gets each request with its own picture (width, height, data) instead of the whole image."""
-
-    def provide(requests: DataFrame) -> DataFrame:
-        asked = requests.withColumn("image_id", F.col("request_id"))
-        return function_provider(recognise, pictures(requests, images).withColumnRenamed("request_id", "image_id"))(asked)
-
-    return provide
-
-
 def page_requests(images: DataFrame) -> DataFrame:
     """The two page passes of every image as requests."""
     from ..functions.numbers import analysis_scale, ocr_scale, scaled_size

@@ -58,9 +58,6 @@ BOXES = [
     ([(0, 0, 10, 10), (5, 0, 10, 10), (10, 0, 10, 10)], spatial.overlaps_divided(0.45), [0, 2]),
     ([(5, 0, 10, 10), (0, 0, 10, 10), (10, 0, 10, 10)], spatial.overlaps_divided(0.45), [0]),
     ([(0, 0, 10, 10), (5.5, 0, 10, 10)], spatial.overlaps_divided(0.45), [0, 1]),
-    ([(0, 0, 10, 10), (5.5, 0, 10, 10)], spatial.overlaps_multiplied(0.35), [0]),
-    ([(0, 0, 10, 10), (6.5, 0, 10, 10)], spatial.overlaps_multiplied(0.35), [0, 1]),
-    ([(0, 0, 10, 10), (6.5, 0, 10, 10)], spatial.overlaps_existing, [0]),
     ([(0, 0, 10, 0), (0, 0, 10, 10), (0, 0, 10, 0)], spatial.overlaps_divided(0.45), [0, 1, 2]),
 ]
 
