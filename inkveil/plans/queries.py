@@ -16,7 +16,7 @@ from ..functions.rects import add_visual_rect, manual_rect
 from ..functions.spatial import cluster, touches_exact
 from ..functions.text import near_scores, normalize, ocr_language, output_name, shorten, squeeze
 from ..operators import edits, groups, history, match, rescue, suppress, templates, units
-from . import edit_queries, metrics, pipeline, pixel_queries
+from . import edit_queries, metrics, pipeline, pixel_queries, run_queries
 
 NORMAL = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}\p{{Hiragana}}\p{{Katakana}}\p{{Han}}]', '', 'g'))"
 TARGETS = ["the", "and", "license", "tion", "queue"]
@@ -467,7 +467,7 @@ QUERIES = {
     "scan_grids": scan_grids, "scales": scales, "text_rules": text_rules, "group_summary": group_summary,
     "flatten_pages": flatten_pages, "pointer_points": pointer_points, "edit_sequences": edit_sequences,
     "run_counters": run_counters, "run_overlay": run_overlay,
-} | pixel_queries.QUERIES | edit_queries.QUERIES
+} | pixel_queries.QUERIES | edit_queries.QUERIES | run_queries.QUERIES
 
 ORACLES = {
     "norm_len_by_lang": f"SELECT lang, count(*) AS docs, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest FROM (SELECT lang, length({NORMAL.format('text')}) AS n FROM documents) GROUP BY lang",
@@ -531,4 +531,4 @@ SELECT p_partkey, analysis, aw::BIGINT AS aw, ah::BIGINT AS ah, greatest(1.8, le
 WITH c AS (SELECT conv_id, turn, text, regexp_replace(text, '\s+', ' ', 'g') AS s, replace(substr(text, 1, 12) || CASE WHEN turn % 2 = 0 THEN '.png' ELSE '' END, chr(10), ' ') AS f FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]') THEN 'jpn' ELSE 'eng' END AS language, CASE WHEN length(s) > 55 THEN substr(s, 1, 55) || '…' ELSE s END AS short,
   coalesce(nullif(regexp_replace(f, '\.[^.]+$', ''), ''), 'redacted') || '_redacted.png' AS file FROM c""",
-} | pixel_queries.ORACLES | edit_queries.ORACLES
+} | pixel_queries.ORACLES | edit_queries.ORACLES | run_queries.oracles(UNITS, GROUP_STEP, LCS_LENGTH)
