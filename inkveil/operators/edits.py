@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.config import CONFIG
 from ..functions.rects import manual_rect
 from ..functions.schemas import STAMPS
+from .cells import extent, meet
 
 DEFAULT_STYLE = {"mode": "black", "color": "#1a1a1a"}
 
@@ -82,10 +83,12 @@ def hit_test(x: float, y: float, stamps: list[dict], radius: float = CONFIG.hit_
 
 
 def hit_test_rows(points: DataFrame, stamps: DataFrame, radius: float = CONFIG.hit_radius) -> DataFrame:
-    """points (image_id, point_id, x, y) -> what each would grab: stamp_ix, kind, handle. An equality join on the image."""
+    """points (image_id, point_id, x, y) -> what each would grab: stamp_ix, kind, handle. Points meet the stamps in reach by grid cells."""
     corners = F.array(*[F.struct(F.lit(n).alias("handle"), F.lit(i).alias("o"), (F.col("s.x") + a * F.col("s.w")).alias("cx"), (F.col("s.y") + b * F.col("s.h")).alias("cy")) for i, (n, a, b) in enumerate((("nw", 0, 0), ("ne", 1, 0), ("sw", 0, 1), ("se", 1, 1)))])
-    s = stamps.select(F.col("image_id").alias("_i"), "stamp_ix", F.struct("x", "y", "w", "h").alias("s"))
-    both = points.join(s, points["image_id"] == s["_i"])
+    x, y = F.col("x"), F.col("y")
+    at, reach = extent(x, y, x, y), extent(x - radius, y - radius, x + F.col("w") + radius, y + F.col("h") + radius)
+    both = meet(points.select("image_id", "point_id", "x", "y"), stamps.select("image_id", "stamp_ix", "x", "y", "w", "h"), ["image_id"], at, reach)
+    both = both.select("image_id", "l.point_id", "l.x", "l.y", "r.stamp_ix", F.struct("r.x", "r.y", "r.w", "r.h").alias("s"))
     both = both.withColumn("c", F.transform(corners, lambda c: F.struct(F.hypot(F.col("x") - c["cx"], F.col("y") - c["cy"]).alias("d"), c["o"].alias("o"), c["handle"].alias("handle"))))
     both = both.withColumn("c", F.array_min("c"))
     inside = (F.col("x") >= F.col("s.x") - radius) & (F.col("x") <= F.col("s.x") + F.col("s.w") + radius) & (F.col("y") >= F.col("s.y") - radius) & (F.col("y") <= F.col("s.y") + F.col("s.h") + radius)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.config import CONFIG
 from ..functions.plan import sealed
 from ..functions.spatial import cluster, touches_exact
+from .cells import around, meet
 
 KEY = ["image_id", "target_id"]
 
@@ -42,11 +43,16 @@ def summary(groups: DataFrame) -> DataFrame:
     )
 
 
+def untouched(rows: DataFrame, hits: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
+    """The rows whose ``box`` is near no hit's ``box`` of the same keys (``touches_exact``); ``ids`` name a row. Boxes meet by grid cells."""
+    reach = around(F.col("box"), CONFIG.touch_gap, CONFIG.touch_width, CONFIG.touch_height)
+    near = meet(rows.select(*ids, "box"), hits.select(*keys, "box"), keys, reach, reach).filter(touches_exact(F.col("l.box"), F.col("r.box")))
+    return rows.join(near.select(*[F.col(f"l.{k}").alias(k) for k in ids]).distinct(), ids, "left_anti").select(*rows.columns)
+
+
 def open_groups(groups: DataFrame, matches: DataFrame, slots: int = CONFIG.group_slots) -> DataFrame:
     """The first ``slots`` groups that touch no exact hit; those that do still use up a slot."""
-    hits = matches.select(F.col("image_id").alias("_i"), F.col("target_id").alias("_t"), F.col("box").alias("_hit"))
-    first = groups.filter(F.col("group_ix") < slots)
-    return first.join(hits, (F.col("image_id") == F.col("_i")) & (F.col("target_id") == F.col("_t")) & touches_exact(F.col("box"), F.col("_hit")), "left_anti")
+    return untouched(groups.filter(F.col("group_ix") < slots), matches, KEY, [*KEY, "group_ix"])
 
 
 def votes(groups: DataFrame) -> DataFrame:

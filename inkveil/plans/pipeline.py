@@ -16,14 +16,16 @@ from ..functions.config import CONFIG, SOURCES
 from ..functions.plan import cut
 from ..functions.numbers import analysis_scale, half_up, scaled_size, template_scale
 from ..functions.rects import add_visual_rect
-from ..functions.spatial import greedy, overlaps_divided
 from ..operators.groups import fast_recovery, group_candidates, open_groups
 from ..operators.match import exact_matches, near_candidates, normal_targets
 from ..operators.rescue import refine_requests, region_pages, region_requests, resolve_in_rounds
+from ..operators.suppress import numbered, suppress
 from ..operators.templates import accepted_boxes, rescue_search, template_heights
 from ..operators.units import line_units
 
 KEY = ["image_id", "target_id"]
+#: The order in which boxes are taken: by source, then by what orders the boxes of one.
+PLACE = ["source_ix", "o0", "o1", "o2"]
 NO_SYMBOLS = "array<struct<ch:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,raw:string,bbox_source:string>>"
 DEFAULT_STYLE = ("black", "#1a1a1a")
 
@@ -31,8 +33,8 @@ DEFAULT_STYLE = ("black", "#1a1a1a")
 def _boxes(rows: DataFrame, source: str, order: list, symbols: bool) -> DataFrame:
     b = F.col("box")
     s = F.col("symbols") if symbols else F.array().cast(NO_SYMBOLS)
-    place = F.struct(F.lit(SOURCES.index(source)).alias("source_ix"), *[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.lit(0).alias(f"o{i}") for i in range(len(order), 3)])
-    return rows.select(*KEY, place.alias("ord"), b["x0"].alias("x"), b["y0"].alias("y"), (b["x1"] - b["x0"]).alias("w"), (b["y1"] - b["y0"]).alias("h"), F.lit(source).alias("source"), s.alias("symbols"))
+    place = [o.cast("int").alias(n) for o, n in zip([F.lit(SOURCES.index(source)), *order, *[F.lit(0)] * (3 - len(order))], PLACE)]
+    return rows.select(*KEY, *place, b["x0"].alias("x"), b["y0"].alias("y"), (b["x1"] - b["x0"]).alias("w"), (b["y1"] - b["y0"]).alias("h"), F.lit(source).alias("source"), s.alias("symbols"))
 
 
 def paint_boxes(matches: DataFrame, refined: DataFrame | None = None, accepted: DataFrame | None = None, local: DataFrame | None = None) -> DataFrame:
@@ -48,9 +50,8 @@ def paint_boxes(matches: DataFrame, refined: DataFrame | None = None, accepted:
         rows = rows.unionByName(_boxes(accepted, "近似候補救出", [F.col("group_ix")], False))
     if local is not None:
         rows = rows.unionByName(_boxes(local, "局所OCR", [F.col("pass_ix"), F.col("line_ix"), F.col("at")], True))
-    packed = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h", "source", "symbols"))).alias("b"))
-    kept = packed.select(*KEY, F.posexplode(greedy(F.col("b"), overlaps_divided(CONFIG.box_overlap))).alias("ord_ix", "b"))
-    return kept.select(*KEY, "ord_ix", "b.x", "b.y", "b.w", "b.h", "b.source", "b.symbols")
+    kept = numbered(suppress(rows, KEY, PLACE), KEY, PLACE, "ord_ix")
+    return kept.select(*KEY, "ord_ix", "x", "y", "w", "h", "source", "symbols")
 
 
 def with_italic(boxes: DataFrame, italic: DataFrame | None) -> DataFrame:

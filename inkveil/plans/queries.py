@@ -13,7 +13,7 @@ from ..functions import schemas
 from ..functions.plan import spread
 from ..functions.numbers import analysis_scale, median_of, ocr_scale, median_or_zero, scaled_size, template_scale
 from ..functions.rects import add_visual_rect, manual_rect
-from ..functions.spatial import cluster, touches_exact
+from ..functions.spatial import cluster
 from ..functions.text import near_scores, normalize, ocr_language, output_name, shorten, squeeze
 from ..operators import edits, groups, history, match, rescue, suppress, templates, units
 from . import edit_queries, metrics, pipeline, pixel_queries, run_queries
@@ -74,9 +74,8 @@ def _corner(prefix=""):
 
 def proximity_anti(spark, sf_dir):
     b = _boxes(spark, sf_dir).withColumn("x", F.col("x") * 4).withColumn("y", F.col("y") * 8)
-    g = b.filter("flag <> 'R'").withColumn("box", _corner())
-    hits = b.filter("flag = 'R'").select(F.col("k").alias("_k"), _corner().alias("_hit"))
-    return g.join(hits, (F.col("k") == F.col("_k")) & touches_exact(F.col("box"), F.col("_hit")), "left_anti").select("k", "ord")
+    b = b.select("k", "ord", "flag", _corner().alias("box"))
+    return groups.untouched(b.filter("flag <> 'R'"), b.filter("flag = 'R'"), ["k"], ["k", "ord"]).select("k", "ord")
 
 
 def cluster_groups(spark, sf_dir):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.functions import numbers, rects, schemas, spatial, text
+from inkveil.functions import numbers, rects, schemas, text
 from inkveil.operators import match, raster, units
 from inkveil.operators.suppress import suppress
 
@@ -55,10 +55,10 @@ def test_fuzzy(spark, target, candidate, distance, edit, seq, exact, least, near
 
 
 BOXES = [
-    ([(0, 0, 10, 10), (5, 0, 10, 10), (10, 0, 10, 10)], spatial.overlaps_divided(0.45), [0, 2]),
-    ([(5, 0, 10, 10), (0, 0, 10, 10), (10, 0, 10, 10)], spatial.overlaps_divided(0.45), [0]),
-    ([(0, 0, 10, 10), (5.5, 0, 10, 10)], spatial.overlaps_divided(0.45), [0, 1]),
-    ([(0, 0, 10, 0), (0, 0, 10, 10), (0, 0, 10, 0)], spatial.overlaps_divided(0.45), [0, 1, 2]),
+    ([(0, 0, 10, 10), (5, 0, 10, 10), (10, 0, 10, 10)], 0.45, [0, 2]),
+    ([(5, 0, 10, 10), (0, 0, 10, 10), (10, 0, 10, 10)], 0.45, [0]),
+    ([(0, 0, 10, 10), (5.5, 0, 10, 10)], 0.45, [0, 1]),
+    ([(0, 0, 10, 0), (0, 0, 10, 10), (0, 0, 10, 0)], 0.45, [0, 1, 2]),
 ]
 
 
