@@ -46,7 +46,7 @@ def summary(groups: DataFrame) -> DataFrame:
 def untouched(rows: DataFrame, hits: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
     """The rows whose ``box`` is near no hit's ``box`` of the same keys (``touches_exact``); ``ids`` name a row. Boxes meet by grid cells."""
     reach = around(F.col("box"), CONFIG.touch_gap, CONFIG.touch_width, CONFIG.touch_height)
-    near = meet(rows.select(*ids, "box"), hits.select(*keys, "box"), keys, reach, reach).filter(touches_exact(F.col("l.box"), F.col("r.box")))
+    near = meet(rows.select(*dict.fromkeys([*keys, *ids, "box"])), hits.select(*keys, "box"), keys, reach, reach).filter(touches_exact(F.col("l.box"), F.col("r.box")))
     return rows.join(near.select(*[F.col(f"l.{k}").alias(k) for k in ids]).distinct(), ids, "left_anti").select(*rows.columns)
 
 

@@ -75,7 +75,7 @@ def _corner(prefix=""):
 def proximity_anti(spark, sf_dir):
     b = _boxes(spark, sf_dir).withColumn("x", F.col("x") * 4).withColumn("y", F.col("y") * 8)
     b = b.select("k", "ord", "flag", _corner().alias("box"))
-    return groups.untouched(b.filter("flag <> 'R'"), b.filter("flag = 'R'"), ["k"], ["k", "ord"]).select("k", "ord")
+    return groups.untouched(b.filter("flag <> 'R'"), b.filter("flag = 'R'"), ["k"], ["k", "ord", "box"]).select("k", "ord")
 
 
 def cluster_groups(spark, sf_dir):
