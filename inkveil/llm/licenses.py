@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-# Short licenses whole, and notices in common use, by SPDX identifier.
+# Short licenses whole; notices, file headers and headings in common use, by SPDX identifier.
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -46,7 +46,38 @@ _ISC_END = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
     "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_HOPE = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. "
+
+
+def _gnu(thing: str, kind: str, version: str, stop: str, end: str) -> str:
+    """The usual file header of a GNU license."""
+    return (
+        f"This {thing} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{',' if stop == ':' else ';'} "
+        f"either version {version} of the License, or (at your option) any later version." + _HOPE.format(thing, kind) + f"You should have received a copy of the GNU {kind}General Public License along with this {thing}{end}"
+    )
+
+
+_WEB = ". If not, see <https://www.gnu.org/licenses/>."
+_POST = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_VERBATIM = " Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 TEMPLATES = [
+    ("AGPL-3.0", _gnu("program", "Affero ", "3", ":", _WEB)),
+    ("GPL-2.0", _gnu("program", "", "2", ";", _POST)),
+    ("GPL-2.0", _gnu("program", "", "2", ";", _WEB)),
+    ("GPL-3.0", _gnu("program", "", "3", ":", _WEB)),
+    ("LGPL-2.1", _gnu("library", "Lesser ", "2.1", ";", _POST)),
+    ("LGPL-3.0", _gnu("library", "Lesser ", "3", ":", _WEB)),
+    ("LGPL-3.0", _gnu("program", "Lesser ", "3", ":", _WEB)),
+    # Headings, by which whole copies of the long licenses are found.
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>" + _VERBATIM),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("EPL-2.0", 'Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT\'S ACCEPTANCE OF THIS AGREEMENT.'),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA" + _VERBATIM),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>" + _VERBATIM),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA" + _VERBATIM),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>" + _VERBATIM),
+    ("MPL-2.0", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END),
     ("BSD-2-Clause", _BSD_START + _BSD_1 + _BSD_2 + _BSD_END),
     ("BSD-3-Clause", _BSD_START + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END),
@@ -100,7 +131,10 @@ class Scanner:
         self.low = [threshold / (2 - threshold) * n for n in self.sizes]
         self.high = [(2 - threshold) / threshold * n for n in self.sizes]
         self.bigrams = set().union(*self.bags) if self.bags else set()
-        self.holders = {b: [t for t, own in enumerate(self.bags) if b in own] for b in self.bigrams}
+        self.number = {b: k for k, b in enumerate(sorted(self.bigrams))}
+        self.holds = np.array([[b in own for b in self.number] for own in self.bags], bool).reshape(len(self.bags), len(self.number))
+        # The shared bigrams are at least ``low`` in number.
+        self.need = [max(1, int(np.ceil(n - 1e-9))) for n in self.low]
         # Words that begin a template's bigram: a cheap test before any pair is built.
         self.first = {a for a, _ in self.bigrams}
         self.least = min((n for n in self.low), default=0)
@@ -119,20 +153,19 @@ class Scanner:
         hits = [i for i, w in enumerate(words[:-1]) if w in first and (w, words[i + 1]) in pairs]
         if len(hits) < self.least:
             return []
-        places: list[list[tuple[int, tuple[str, str]]]] = [[] for _ in self.bags]
-        for i in hits:
-            b = (words[i], words[i + 1])
-            for t in self.holders[b]:
-                places[t].append((i, b))
+        place = np.array(hits)
+        number = np.array([self.number[words[i], words[i + 1]] for i in hits])
+        # How many places of the whole text have a bigram of each template: most templates go here.
+        seen, times = np.unique(number, return_counts=True)
+        total = self.holds[:, seen] @ times
         found = []
         for t, own in enumerate(self.bags):
-            size, high = self.sizes[t], self.high[t]
-            at = places[t]
-            # The shared bigrams are at least ``low`` in number; so many must lie within ``high``.
-            need = max(1, int(np.ceil(self.low[t] - 1e-9)))
-            if not size or len(at) < need:
+            size, high, need = self.sizes[t], self.high[t], self.need[t]
+            if not size or total[t] < need:
                 continue
-            p = np.array([i for i, _ in at])
+            p = place[self.holds[t, number]]
+            # So many must lie within ``high``.
+            at = [(i, (words[i], words[i + 1])) for i in p.tolist()]
             for i in np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] < high + 1e-9).tolist():
                 s = at[i][0]
                 left = dict(own)

@@ -36,13 +36,18 @@ def op7_url_filters(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     pages = pages.withColumn("fetched", urlfilter.fetched_day(pages["page_id"]))
     events = spark.createDataFrame([(k, date.fromisoformat(d), a) for k, d, a in urlfilter.EVENTS], urlfilter.LIST_SCHEMA)
-    return urlfilter.url_filter(pages, events)
+    return urlfilter.url_filter(pages, events.union(urlfilter.derived_events(pages)))
 
 
 def op8_spotsigs(spark, sf_dir):
     return spotsigs.compare_with_edited(documents(spark, sf_dir))
 
 
+def spotsigs_join(spark, sf_dir):
+    """The operator's join: each document with the class of those that are alike by 0.8 or more, over the whole table."""
+    return spotsigs.similar_documents(documents(spark, sf_dir))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_url_filters": op7_url_filters,
     "op8_spotsigs": op8_spotsigs,
+    "spotsigs_join": spotsigs_join,
     "op9_bpe": op9_bpe,
     "op10_license_scans": op10_license_scans,
     "op11_exact_dedup": op11_exact_dedup,

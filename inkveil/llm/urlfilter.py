@@ -103,8 +103,28 @@ def fetched_day(page_id: Column) -> Column:
     return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(page_id, F.lit(366)).cast("int"))
 
 
+def derived_events(pages: DataFrame) -> DataFrame:
+    """A dated list as long as the table has hosts and first folders: two thirds of them are listed on a day of 2024, half of these go later.
+
+    The day and what happens follow from the smallest id of a host's (or folder's) pages.
+    """
+    host, folder = host_of(F.col("url")), F.regexp_extract(path_of(F.col("url")), r"^(/[^/]+)/", 1)
+    keys = pages.select("page_id", F.explode(F.array(host, F.when(folder != "", F.concat(host, folder)))).alias("key")).filter("key <> ''")
+    keys = keys.groupBy("key").agg(F.min("page_id").alias("m")).filter("m % 3 < 2")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    added = F.col("m") * 7 % 300
+    event = lambda d, action: F.struct(d.alias("day"), F.lit(action).alias("action"))
+    gone = F.when(F.col("m") % 2 == 0, event(day(added + 20 + F.col("m") % 45), "remove"))
+    return keys.select("key", F.explode(F.filter(F.array(event(day(added), "add"), gone), lambda e: e.isNotNull())).alias("e")).select("key", "e.day", "e.action")
+
+
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
 ORACLE = f"""
-WITH given(entry, day, action) AS (VALUES {", ".join(f"('{k}', DATE '{d}', '{a}')" for k, d, a in EVENTS)}),
+WITH fixed(entry, day, action) AS (VALUES {", ".join(f"('{k}', DATE '{d}', '{a}')" for k, d, a in EVENTS)}),
+hosts AS (SELECT page_id, rtrim({_HOST}, '.') AS host, regexp_extract({_PATH}, '^(/[^/]+)/', 1) AS folder FROM pages),
+listed AS (SELECT key, min(page_id) AS m FROM (SELECT page_id, host AS key FROM hosts UNION ALL SELECT page_id, host || folder FROM hosts WHERE folder <> '') WHERE key <> '' GROUP BY key HAVING min(page_id) % 3 < 2),
+given AS (SELECT * FROM fixed UNION ALL SELECT key, (DATE '2024-01-01' + (m * 7 % 300)::INTEGER)::DATE, 'add' FROM listed UNION ALL SELECT key, (DATE '2024-01-01' + (m * 7 % 300 + 20 + m % 45)::INTEGER)::DATE, 'remove' FROM listed WHERE m % 2 = 0),
 e AS (SELECT rtrim(lower(split_part(entry, '/', 1)) || substr(entry, length(split_part(entry, '/', 1)) + 1), '/') AS key, day, action FROM given),
 p AS (SELECT page_id, (DATE '2024-01-01' + (page_id % 366)::INTEGER)::DATE AS fetched,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,

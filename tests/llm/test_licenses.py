@@ -110,3 +110,21 @@ def test_best_passage_matches_brute_force():
             assert likeness <= best[name]
         top = max(best.values())
         assert {x[0] for x in got if x[1] == top} == {n for n, x in best.items() if x == top}
+
+
+def test_headers_and_headings_of_long_licenses(spark):
+    """As they are usually wrapped and prefixed, within other text."""
+    wrap = lambda t: "\n".join(" * " + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <http://www.gnu.org/licenses/>."
+    rows = [
+        (1, "/*\n" + wrap(gpl) + "\n */\nint main() {}", "GPL-3.0"),
+        (2, wrap(gpl.replace("GNU General", "GNU Affero General")), "AGPL-3.0"),
+        (3, wrap(gpl.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")), "GPL-2.0"),
+        (4, wrap(gpl.replace("program", "library").replace("GNU General", "GNU Lesser General")), "LGPL-3.0"),
+        (5, "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <http://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble", "GPL-3.0"),
+        (6, "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions.", "Apache-2.0"),
+        (7, "See the general terms of the public license of the library for more details of the program.", None),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.licenses) for r in licenses.license_report(docs).collect()}
+    assert got == {i: (name, name or "") for i, _, name in rows}
