@@ -52,18 +52,19 @@ def refine_requests(open_: DataFrame, images: DataFrame) -> DataFrame:
     """Groups still open -> requests, one per step of the ladder that applies (the third only to weak candidates).
 
     A step on the image's own pixels has its crop in these, one on the page that was read (``ocr``) in the page's. The third takes the
-    page's window where the image's is empty.
+    page's window where the image's is empty. ``first``: whether a request is its group's first.
     """
     rows = open_.join(images.select("image_id", "width", "height"), "image_id")
     rows = sealed(rows, {"best": representative(F.col("members"))})
     rows = sealed(rows, {"crops": crop_boxes(F.col("best"), F.col("width"), F.col("height"))})
     weak = (F.col("best.similarity") < 0.70) | (F.col("best.exact_chars") <= 2)
     steps = F.array(*[F.struct(F.lit(i).alias("attempt_ix"), F.lit(v).alias("variant"), F.lit(p).alias("psm"), F.lit(w).alias("weak")) for i, (v, p, w) in enumerate(LADDER)])
-    rows = rows.withColumn("s", F.explode(steps)).filter(~F.col("s.weak") | weak)
-    variant = F.when(F.col("s.weak") & F.col("crops.source").isNull(), F.lit("ocr")).otherwise(F.col("s.variant"))
-    rows = rows.withColumn("variant", variant).withColumn("crop", F.when(F.col("variant") == "ocr", F.col("crops.ocr")).otherwise(F.col("crops.source"))).filter(F.col("crop").isNotNull())
+    variant = lambda s: F.when(s["weak"] & F.col("crops.source").isNull(), F.lit("ocr")).otherwise(s["variant"])
+    crop = lambda s: F.when(variant(s) == "ocr", F.col("crops.ocr")).otherwise(F.col("crops.source"))
+    able = F.filter(steps, lambda s: (~s["weak"] | weak) & crop(s).isNotNull())
+    rows = rows.select("*", F.posexplode(able).alias("_place", "s")).withColumns({"variant": variant(F.col("s")), "crop": crop(F.col("s"))})
     name = F.concat_ws("/", "image_id", "target_id", F.col("group_ix").cast("string"), F.col("s.attempt_ix").cast("string"))
-    return rows.select("image_id", "target_id", name.alias("request_id"), F.lit("refine").alias("kind"), "group_ix", "s.attempt_ix", "variant", "s.psm", F.lit(ZOOM).alias("zoom"), "crop")
+    return rows.select("image_id", "target_id", name.alias("request_id"), F.lit("refine").alias("kind"), "group_ix", "s.attempt_ix", "variant", "s.psm", F.lit(ZOOM).alias("zoom"), "crop", (F.col("_place") == 0).alias("first"))
 
 
 def resolve(requests: DataFrame, replies: DataFrame, targets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -78,27 +79,28 @@ def resolve(requests: DataFrame, replies: DataFrame, targets: DataFrame, groups:
     return first.join(groups.select(*KEY, "group_ix", "box", representative(F.col("members"))["candidate"].alias("candidate")), [*KEY, "group_ix"]).select(*KEY, "group_ix", "candidate", "attempt_ix", "variant", "box", F.lit("再OCR").alias("recovery"))
 
 
-def resolve_in_rounds(requests: DataFrame, provider: Callable[[DataFrame], DataFrame], targets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_in_rounds(requests: DataFrame, provider: Callable[[DataFrame], DataFrame], targets: DataFrame, groups: DataFrame, look: Callable[[str, DataFrame], DataFrame] = lambda stage, df: df) -> tuple[DataFrame, DataFrame]:
     """Asks step by step -> the groups confirmed (``resolve``), and the requests that were asked.
 
     The frontier of a round is the next step of the groups that no step confirmed so far; each round's replies are written before
-    the next one is made, so nothing is read twice and nothing that an earlier step settled is read at all.
+    the next one is made, so nothing is read twice and nothing that an earlier step settled is read at all. ``look`` sees each round's
+    requests ("requests") and what they confirm ("refined") before they are written.
     """
     requests = cut(requests)
     group = [*KEY, "group_ix"]
     found, asked, done = [], [], None
     for step in range(len(LADDER)):
         frontier = requests.filter(F.col("attempt_ix") == step)
-        frontier = cut(frontier if done is None else frontier.join(done, group, "left_anti"))
+        frontier = cut(look("requests", frontier if done is None else frontier.join(done, group, "left_anti").select(*requests.columns)))
         if frontier.isEmpty():
             continue
         asked.append(frontier)
-        found.append(cut(resolve(frontier, provider(frontier), targets, groups)))
+        found.append(cut(look("refined", resolve(frontier, provider(frontier), targets, groups))))
         fresh = found[-1].select(*group)
         done = fresh if done is None else done.union(fresh)
     if not asked:
         return resolve(requests, provider(requests), targets, groups), requests
-    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, asked)
+    return reduce(DataFrame.union, found), reduce(DataFrame.union, asked)
 
 
 def region_requests(regions: DataFrame, images: DataFrame, zoom: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.config import CONFIG, SOURCES
@@ -49,6 +49,45 @@ def counters(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy(*KEY, "counter").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
+class Watch:
+    """The totals of ``counters`` over all images, counted while the step tables are written: no job of its own.
+
+    Given to ``pipeline.stages``, which shows it each step table before it is written.
+    """
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def __call__(self, stage: str, df: DataFrame) -> DataFrame:
+        every = F.count(F.lit(1))
+        first = lambda condition: F.count(F.when(condition, 1))
+        counted = {
+            "matches": {"hits": every}, "near": {"near": every}, "open": {"groups_open": every}, "accepted": {"groups_recovered": every}, "refined": {"groups_confirmed": every}, "local": {"region_hits": every},
+        }
+        if stage == "groups":
+            own = {"groups": every, "groups_first": first(F.col("group_ix") < CONFIG.group_slots)}
+        elif stage == "requests":
+            own = {"readings_asked": every, "groups_attempted": first(F.col("first"))}
+        elif stage == "italic_search":
+            own = {f"template_{k}": F.sum(k) for k in ("passes", "scored", "skipped", "coarse_passed")} | {"template_accepted": F.sum(F.size("accepted"))}
+        elif stage == "stamps":
+            own = {f"covered:{s}": first(F.col("source") == s) for s in SOURCES}
+        else:
+            own = counted[stage]
+        seen = Observation()
+        self._seen.append(seen)
+        return df.observe(seen, *[v.cast("bigint").alias(k) for k, v in own.items()])
+
+    def totals(self) -> dict[str, int]:
+        """Counter -> value; counters of 0 are left out."""
+        out: dict[str, int] = {}
+        for seen in self._seen:
+            for k, v in seen.get.items():
+                out[k] = out.get(k, 0) + (v or 0)
+        out["groups_skipped"] = out.pop("groups_first", 0) - out.pop("groups_open", 0)
+        return {k: v for k, v in out.items() if v}
+
+
 def overlay(stages: dict[str, DataFrame]) -> DataFrame:
     """The final rectangles as coloured frames: (image_id, target_id, stamp_ix, x, y, w, h, color, label).
 

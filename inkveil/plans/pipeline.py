@@ -101,36 +101,42 @@ def italic_search(images: DataFrame, boxes: DataFrame, matches: DataFrame, near:
     return rescue_search(images, asked)
 
 
-def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None, templates: DataFrame | None = None) -> dict[str, DataFrame]:
+def stages(images: DataFrame, targets: DataFrame, pages: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, regions: DataFrame | None = None, templates: DataFrame | None = None, watch: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """All step tables by name; ``stamps`` is the result.
 
-    Targets, lines, near candidates, their groups and recovered hits feed several later steps and are written once, to the
+    ``watch`` (``metrics.Watch``) sees every step table before it is written; with it hits of regions and stamps are written too.
+
+    Targets, lines, hits, near candidates, their groups (all and open) and recovered hits feed several later steps and are written once, to the
     shared checkpoint folder: they are small beside the pages, and plans stay small.
     """
     wanted = cut(normal_targets(targets))
     lines = cut(line_units(pages))
-    matches = cut(exact_matches(lines, wanted))
-    near = cut(near_candidates(lines, wanted))
-    groups = cut(group_candidates(near))
-    open_ = open_groups(groups, matches)
-    accepted = cut(fast_recovery(open_, groups))
+    look = watch or (lambda stage, df: df)
+    matches = cut(look("matches", exact_matches(lines, wanted)))
+    near = cut(look("near", near_candidates(lines, wanted)))
+    groups = cut(look("groups", group_candidates(near)))
+    open_ = cut(look("open", open_groups(groups, matches)))
+    accepted = cut(look("accepted", fast_recovery(open_, groups)))
     left = open_.join(accepted.select(*KEY, "group_ix"), [*KEY, "group_ix"], "left_anti")
     out = {"targets": wanted, "lines": lines, "matches": matches, "near": near, "groups": groups, "open": open_, "accepted": accepted}
     refined = local = None
     if provider is not None:
-        refined, requests = resolve_in_rounds(refine_requests(left, images), provider, wanted, groups)
+        refined, requests = resolve_in_rounds(refine_requests(left, images), provider, wanted, groups, look)
         out |= {"requests": requests, "refined": refined}
         if regions is not None:
             asked = region_requests(regions, images)
             local = exact_matches(line_units(region_pages(asked, provider(asked))), wanted)
+            local = cut(watch("local", local)) if watch else local
             out |= {"region_requests": asked, "local": local}
     out["boxes"] = paint_boxes(matches, refined, accepted, local)
     if templates is not None:
         # Pixels are searched once, for the boxes and for the counts of a diagnosis.
-        out["italic_search"] = cut(italic_search(images, out["boxes"], matches, near, templates, wanted, regions))
+        out["italic_search"] = cut(look("italic_search", italic_search(images, out["boxes"], matches, near, templates, wanted, regions)))
         out["italic"] = accepted_boxes(out["italic_search"])
         out["boxes"] = with_italic(out["boxes"], out["italic"])
     out["stamps"] = stamps(out["boxes"], images)
+    if watch:
+        out["stamps"] = cut(watch("stamps", out["stamps"]))
     return out
 
 

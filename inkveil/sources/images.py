@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from struct import unpack
 
 import numpy as np
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import output_name
+from .png import Png
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -44,18 +43,11 @@ def to_rgba(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """RGBA of an 8-bit RGBA PNG whose rows are unfiltered, such as the engine writes."""
-    at, body, width, height = 8, b"", 0, 0
-    while at < len(data):
-        (n,) = unpack(">I", data[at : at + 4])
-        kind = data[at + 4 : at + 8]
-        if kind == b"IHDR":
-            width, height = unpack(">II", data[at + 8 : at + 16])
-        elif kind == b"IDAT":
-            body += data[at + 8 : at + 8 + n]
-        at += 12 + n
-    return np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + 4 * width)[:, 1:].reshape(height, width, 4)
+def read_png(spark: SparkSession, path: str, partition_bytes: int = 64 << 20) -> DataFrame:
+    """Decoded PNG files of a folder as RGBA rows, in partitions of about so many bytes (``sources.png``); keys are the files' paths."""
+    spark.dataSource.register(Png)
+    found = spark.read.format("png").option("partition_bytes", partition_bytes).load(path)
+    return found.select(F.col("path").alias("image_id"), "path", "width", "height", "data", "error")
 
 
 def named(files: DataFrame) -> DataFrame:
@@ -64,5 +56,6 @@ def named(files: DataFrame) -> DataFrame:
 
 
 def write_images(files: DataFrame, path: str) -> None:
-    """Writes rendered images as one Parquet table of bytes and names: any executor can write its part, and retry it."""
-    named(files).write.mode("overwrite").parquet(path)
+    """Writes rendered images (path, data: PNG bytes) as PNG files named after their image, by the sink of ``sources.png``."""
+    files.sparkSession.dataSource.register(Png)
+    named(files).select("output_name", "data").write.format("png").mode("overwrite").save(path)

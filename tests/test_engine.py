@@ -11,7 +11,7 @@ from inkveil.functions.config import CONFIG
 from inkveil.operators import edits, history, raster, templates
 from inkveil.plans import metrics, pipeline
 from inkveil.sources import images as image_source
-from inkveil.sources import ocr
+from inkveil.sources import ocr, png
 from inkveil.streaming import intake
 
 from .test_golden import page, word
@@ -65,6 +65,28 @@ def test_another_reading_confirms_and_errors_do_not(spark):
     assert len(seen) == 2 + 6  # a group that a step confirms is not read again
 
 
+def test_totals_are_counted_while_tables_are_written(spark):
+    """Equal to the counters of all images, without a job of their own; hits, recovered, confirmed and regional ones."""
+    pages = [page([spelled("ゆーざー", 100, 100)], [spelled("めーざー", 100, 300)]), page([spelled("ゆーろー", 100, 100)], image="j"), page([spelled("ゆれれー", 100, 100)], image="k")]
+    images, targets, pages = tables(spark, pages, ["ゆーざー"])
+    regions = spark.createDataFrame([("k", 0, 50.0, 400.0, 300.0, 40.0, "dark", 0.1)], "image_id string, region_ix int, x double, y double, w double, h double, mode string, density double")
+
+    def provider(requests):
+        rows = [(r.request_id, "ゆーざー" if r.attempt_ix == 1 else "", page([spelled("ゆーざー", 20, 10)])[-1] if r.kind == "region" else None, None) for r in requests.collect()]
+        return spark.createDataFrame(rows, schemas.OCR_REPLIES)
+
+    watch = metrics.Watch()
+    s = pipeline.stages(images, targets, pages, provider, regions, watch=watch)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    totals = watch.totals()
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    want = {}
+    for r in metrics.counters(s).collect():
+        want[r.counter] = want.get(r.counter, 0) + r.value
+    assert totals == want and {"hits", "groups_recovered", "groups_attempted", "readings_asked", "groups_confirmed", "region_hits", "groups_skipped", "covered:局所OCR"} <= set(totals)
+
+
 def test_regions_map_back(spark):
     images, targets, pages = tables(spark, [page([spelled("zzz", 0, 0)])], ["abc"])
     regions = spark.createDataFrame([("i", 0, 50.0, 60.0, 200.0, 40.0, "dark", 0.1)], "image_id string, region_ix int, x double, y double, w double, h double, mode string, density double")
@@ -175,7 +197,7 @@ def test_cover_modes_and_png(spark):
     stamps = spark.createDataFrame([("i", 0, *box.values(), "ocr", ("black", None))], schemas.STAMPS)
     r = image_source.named(raster.render(images, stamps)).first()
     assert r.output_name == "shot.v1_redacted.png"
-    assert (image_source.decode_png(bytes(r.data)) == raster.cover(a, [style("black")])).all()
+    assert (png.decode_png(bytes(r.data)) == raster.cover(a, [style("black")])).all()
     grey = raster.apply_kernel(images, "gray").first()
     assert raster.pixels(grey.data, 300, 200)[0, 0].tolist() == [200, 200, 200, 255]
     assert raster.detect_regions(images).filter("mode = 'dark'").count() == 1
@@ -262,11 +284,13 @@ def test_run_with_templates(spark):
     targets = spark.createDataFrame([("t", "abc")], schemas.TARGETS)
     pages = spark.createDataFrame([page([spelled("zzz", 0, 0)])], schemas.OCR_PAGES)
     rows = [("t", 26, 0.0, t["w"], t["h"], t["samples"], t["bg_samples"])]
-    s = pipeline.stages(images, targets, pages, templates=spark.createDataFrame(rows, schemas.TEMPLATES))
+    watch = metrics.Watch()
+    s = pipeline.stages(images, targets, pages, templates=spark.createDataFrame(rows, schemas.TEMPLATES), watch=watch)
     assert [(r.source, r.kind) for r in s["stamps"].collect()] == [("イタリック救出", "ocr")]
     counts = {r.counter: r.value for r in metrics.counters(s).collect()}
     assert counts["template_accepted"] == counts["covered:イタリック救出"] == 1 and counts["template_passes"] == 1
     assert counts["template_scored"] > counts["template_coarse_passed"] > 0 and "hits" not in counts
+    assert watch.totals() == counts
     frame = metrics.overlay(s).collect()
     assert [(f.color, f.label.split()[0]) for f in frame] == [("#f59e0b", "イタリック救出")] and 0.62 <= float(frame[0].label.split()[1]) <= 1
     assert {r.stage: r.rows for r in metrics.stage_times(s).collect()}["stamps"] == 1
