@@ -93,29 +93,38 @@ def white_border(rgba: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def _spans(size: int, new: int) -> np.ndarray:
-    """Weights (new, size) of a resampling: area means when shrinking, linear between centres when growing."""
-    weights = np.zeros((new, size))
+#: Rows of a resampled picture that are made at a time.
+STRIP = 64
+
+
+def _taps(size: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights), both (new, taps), of a resampling: area means when shrinking, linear between centres when growing."""
     if new < size:
-        edges = np.arange(new + 1) * size / new
-        for i in range(new):
-            a, b = edges[i], edges[i + 1]
-            k = np.arange(int(a), min(size, int(np.ceil(b))))
-            weights[i, k] = np.minimum(k + 1, b) - np.maximum(k, a)
+        a, b = np.arange(new) * size / new, np.arange(1, new + 1) * size / new
+        first = a.astype(int)
+        places = first[:, None] + np.arange(int((np.ceil(b) - first).max()))
+        weights = np.maximum(0, np.minimum(places + 1, b[:, None]) - np.maximum(places, a[:, None]))
+        places = np.minimum(places, size - 1)
     else:
         at = np.clip((np.arange(new) + 0.5) * size / new - 0.5, 0, size - 1)
         low = np.floor(at).astype(int)
-        high = np.minimum(low + 1, size - 1)
-        np.add.at(weights, (np.arange(new), low), 1 - (at - low))
-        np.add.at(weights, (np.arange(new), high), at - low)
-    return weights / weights.sum(axis=1, keepdims=True)
+        places, weights = np.stack((low, np.minimum(low + 1, size - 1)), axis=1), np.stack((1 - (at - low), at - low), axis=1)
+    return places, weights / weights.sum(axis=1, keepdims=True)
 
 
 def resize(rgba: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Smooth resampling. A browser's own is not specified, so only sizes are comparable, not single bytes."""
-    down = np.tensordot(_spans(rgba.shape[0], height), rgba.astype(float), (1, 0))
-    both = np.tensordot(_spans(rgba.shape[1], width), down, (1, 1)).transpose(1, 0, 2)
-    return np.clip(half_up(both), 0, 255).astype(np.uint8)
+    """Smooth resampling. A browser's own is not specified, so only sizes are comparable, not single bytes.
+
+    Made strip by strip, each from the rows that it needs, so beside the two pictures only a strip is held as doubles.
+    """
+    out = np.empty((height, width, rgba.shape[2]), np.uint8)
+    (rows, down), (columns, along) = _taps(rgba.shape[0], height), _taps(rgba.shape[1], width)
+    for at in range(0, height, STRIP):
+        strip = slice(at, at + STRIP)
+        lines = sum(down[strip, t, None, None] * rgba[rows[strip, t]] for t in range(rows.shape[1]))
+        both = sum(along[None, :, t, None] * lines[:, columns[:, t]] for t in range(columns.shape[1]))
+        out[strip] = np.clip(half_up(both), 0, 255)
+    return out
 
 
 def text_regions(rgba: np.ndarray, limit: int = CONFIG.region_limit) -> list[dict]:

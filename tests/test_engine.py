@@ -312,3 +312,52 @@ def test_painted_rects_regions_and_pages(spark):
     replies = spark.createDataFrame([("i/0", "x", page([spelled("abc", 25, 25)])[-1], None), ("i/1", None, [], "ERROR: no")], schemas.OCR_REPLIES)
     got = ocr.pages_from_replies(requests, replies).collect()
     assert [(r.image_id, r.pass_ix, r.off_x, r.scale) for r in got] == [("i", 0, 25.0, 2.5)]
+
+
+def test_rounds_ask_less_and_confirm_the_same(spark):
+    """Forty groups, most of them confirmed by an early step: the same steps as if all had been asked, with fewer than half the readings."""
+    from inkveil.operators import rescue
+
+    rows = [("i", "t", f"i/t/{g}/{a}", "refine", g, a, "source", 7, 3, (0.0, 0.0, 9.0, 9.0), a == 0) for g in range(40) for a in range(6) if a != 2 or g % 2]
+    requests = spark.createDataFrame(rows, schemas.OCR_REQUESTS + ", first boolean")
+    says = {g: (0 if g % 10 < 7 else g % 10 - 6 if g % 10 < 9 else None) for g in range(40)}
+    targets = spark.createDataFrame([("t", "abc")], "target_id string, target string")
+    bbox = "struct<x0:double,y0:double,x1:double,y1:double>"
+    groups = spark.createDataFrame([("i", "t", g, (0.0, 0.0, 1.0, 1.0), [("abd", 0.6)]) for g in range(40)], f"image_id string, target_id string, group_ix int, box {bbox}, members array<struct<candidate:string,similarity:double>>")
+    asked = []
+
+    def provider(requests):
+        got = requests.collect()
+        asked.extend(r.request_id for r in got)
+        return spark.createDataFrame([(r.request_id, "xabcx" if r.attempt_ix >= (9 if says[r.group_ix] is None else says[r.group_ix]) else "no", None, "ERROR" if r.group_ix == 9 else None) for r in got], schemas.OCR_REPLIES)
+
+    found, sent = rescue.resolve_in_rounds(requests, provider, targets, groups)
+    lazy = sorted(asked)
+    steps = sorted((r.group_ix, r.attempt_ix, r.candidate) for r in found.collect())
+    assert sorted(r.request_id for r in sent.collect()) == lazy and len(set(lazy)) == len(lazy) < len(rows) / 2
+    eager = sorted((r.group_ix, r.attempt_ix, r.candidate) for r in rescue.resolve(requests, provider(requests), targets, groups).collect())
+    assert steps == eager and len(steps) == 36
+
+
+@pytest.mark.parametrize("size,new", [((50, 37), (20, 9)), ((20, 9), (50, 37)), ((33, 40), (33, 40)), ((64, 5), (7, 60)), ((1, 1), (3, 4)), ((9, 9), (1, 1))])
+def test_resampling_does_not_depend_on_strips(monkeypatch, size, new):
+    a = np.random.default_rng(4).integers(0, 256, (size[1], size[0], 4), dtype=np.uint8)
+    whole = raster.resize(a, *new)
+    for strip in (1, 7):
+        monkeypatch.setattr(raster, "STRIP", strip)
+        assert (raster.resize(a, *new) == whole).all()
+    if size == new:
+        assert (whole == a).all()
+    # By weights for every pair of rows and columns.
+    def dense(n, m):
+        w = np.zeros((m, n))
+        for i in range(m):
+            if m < n:
+                w[i] = [max(0, min(k + 1, (i + 1) * n / m) - max(k, i * n / m)) for k in range(n)]
+            else:
+                at = min(n - 1, max(0, (i + 0.5) * n / m - 0.5))
+                w[i] = [max(0, 1 - abs(k - at)) for k in range(n)]
+        return w / w.sum(axis=1, keepdims=True)
+
+    exact = np.einsum("ij,jkc,lk->ilc", dense(size[1], new[1]), a.astype(float), dense(size[0], new[0]))
+    assert np.abs(whole - exact).max() <= 0.5 + 1e-9
