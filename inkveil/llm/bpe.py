@@ -3,8 +3,8 @@
 A rank file (base64 token, rank) gives the vocabulary; its merges follow from the ranks, and the library's
 BPE model runs them. Each match of the split pattern is encoded separately, without special tokens: its
 UTF-8 bytes are mapped to printable characters (``byte_table``), which is what the model's vocabulary is
-written in. Recurring pieces are looked up in a bounded two-generation cache, so each task's memory is
-bounded whatever the text. Decoding maps ids to their bytes by the reversed table and joins bytes, not
+written in. Recurring pieces are looked up in a two-generation cache of a bounded number of pieces; a
+piece may be as long as its text. Decoding maps ids to their bytes by the reversed table and joins bytes, not
 characters, so characters that are split between tokens come back whole; ``offsets`` gives each token's
 span in code points of the text (a token that holds part of a character spans that whole character).
 

@@ -40,6 +40,8 @@ SAMPLE = 8
 THRESHOLD = 0.8
 #: Most sets of a group that are compared pair by pair, and sets of a tile in larger ones.
 LARGE = 32
+#: Numbers of the table by which the join orders signatures.
+LOADS = 1 << 16
 TILE = 512
 #: Ranges of ids, cut at quantiles, and rows of a block within a range, in which each document's next is found.
 RANGES = 1024
@@ -172,17 +174,28 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _loads(sets: DataFrame) -> DataFrame:
+    """One row, one array of ``LOADS`` numbers: how many signatures of all sets fall on each remainder."""
+    n = sets.select(F.explode("sigs").alias("sig")).groupBy(F.pmod("sig", F.lit(LOADS)).alias("r")).agg(F.count("*").alias("n"))
+    every = sets.sparkSession.range(LOADS).join(n, F.col("id") == F.col("r"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "n"))), lambda x: x["n"]).alias("_loads")))
+
+
 def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(sig, cls, node, n, at, home) of sets (node, sigs): the sets that share a rare enough signature, by length class.
 
     ``at``: the signature's place in the set, from the rarest on. ``home``: whether the set is of the class, else of the one below.
+    Any order of signatures serves that is the same for all sets. This one is by the load of a signature's remainder, a table of fixed size,
+    and then by the signature, so that no signature beyond the first ones of a set is ever shuffled.
     """
-    each = sets.select("node", F.size("sigs").alias("n"), length_class(F.col("sigs"), threshold).alias("cls"), F.explode("sigs").alias("sig"))
-    often = sets.select(F.explode("sigs").alias("_sig")).groupBy("_sig").agg(F.count("*").alias("freq"))
-    placed = each.join(often, F.col("sig") == F.col("_sig")).withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("freq", "sig")))
-    first = placed.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("freq") > 1))
+    n = F.size("sigs")
+    load = F.transform("sigs", lambda x: F.struct(F.get(F.col("_loads"), F.pmod(x, F.lit(LOADS)).cast("int")).alias("load"), x.alias("sig")))
+    first = F.slice(F.array_sort(load), F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    each = sets.join(F.broadcast(_loads(sets)), F.lit(True)).select("node", n.alias("n"), length_class(F.col("sigs"), threshold).alias("cls"), F.posexplode(first).alias("at", "x"))
+    each = cut(each.select(F.col("x.sig").alias("sig"), "cls", "node", "n", (F.col("at") + 1).alias("at")))
+    shared = cut(each.groupBy("sig").agg(F.count("*").alias("f")).filter("f > 1").select("sig"))
     both = F.array(F.struct(F.col("cls"), F.lit(True).alias("home")), F.struct((F.col("cls") + 1).alias("cls"), F.lit(False).alias("home")))
-    return first.select("sig", "node", "n", "at", F.explode(both).alias("x")).select("sig", "x.cls", "node", "n", "at", "x.home")
+    return each.join(shared, "sig", "left_semi").select("sig", "node", "n", "at", F.explode(both).alias("x")).select("sig", "x.cls", "node", "n", "at", "x.home")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -210,7 +223,7 @@ def _crowded(members: DataFrame, sets: DataFrame, linked: DataFrame, threshold:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, n_class) of every row: the class of texts that links of ``threshold`` or more connect, and its number of rows."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = with_signatures(rows, "_text", "sigs", chain).select("_id", F.md5(render(F.col("sigs")).cast("binary")).alias("node"), "sigs")
+    rows = with_signatures(rows, "_text", "sigs", chain).select("_id", F.unhex(F.md5(render(F.col("sigs")).cast("binary"))).alias("node"), "sigs")
     rows = cut(rows)
     sets = cut(rows.filter(F.size("sigs") > 0).groupBy("node").agg(F.first("sigs").alias("sigs")))
     members = cut(_candidates(sets, threshold))
