@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schemas
 from ..operators import raster, templates
+from ..operators.glyphs import draw_templates
 from ..sources import ocr
 
 
@@ -200,6 +201,41 @@ SELECT vec_id::VARCHAR AS target_id, 8::BIGINT AS w, 8::BIGINT AS h, coalesce(st
 """
 
 
+GLYPH_H = 7
+
+
+def drawn_templates(spark, sf_dir):
+    """Templates of names, drawn from glyphs that follow from a character's code, upright and slanted by a pixel a row."""
+    n = table(spark, sf_dir, "nation").select(F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("target")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("ab"), F.translate(F.conv(F.col("s_suppkey").cast("string"), 10, 26), "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz")).alias("target"))).distinct()
+    targets = n.select(F.col("target").alias("target_id"), "target")
+    code = F.ascii("ch")
+    width = (4 + code % 3).cast("int")
+    letters = spark.range(26).select(F.char(F.col("id") + 97).alias("ch"))
+    # The frame is opaque, so that nothing is cut off.
+    alpha = lambda j: F.when((j % width == 0) | (F.floor(j / width) % (GLYPH_H - 1) == 0), F.lit(200).cast("bigint")).otherwise((code * 7 + j * j * 31 + j * 17) % 256)
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), width * GLYPH_H - 1), lambda j: F.concat(F.lit("000000"), F.lpad(F.hex(alpha(j).cast("bigint")), 2, "0"))), ""))
+    glyphs = letters.select("ch", width.alias("width"), F.lit(GLYPH_H).alias("height"), (width + 1).alias("advance"), data.alias("data"))
+    variants = spark.createDataFrame([(GLYPH_H, 0.0), (GLYPH_H, 1.0)], "target_height int, skew double")
+    t = draw_templates(targets, glyphs, variants)
+    show = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return t.select("target_id", "skew", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"), show("samples").alias("samples"), show("bg_samples").alias("bg_samples"))
+
+
+DRAWN_TEMPLATES = f"""
+WITH RECURSIVE d(k, v, s) AS (SELECT s_suppkey, s_suppkey, '' FROM supplier UNION ALL SELECT k, v // 26, chr((97 + v % 26)::INTEGER) || s FROM d WHERE v > 0),
+t AS (SELECT DISTINCT target FROM (SELECT lower(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS target FROM nation UNION ALL SELECT 'ab' || CASE WHEN s = '' THEN 'a' ELSE s END FROM d WHERE v = 0)),
+c AS (SELECT target, i, ascii(target[i]) AS code, 4 + ascii(target[i]) % 3 AS width FROM t, unnest(generate_series(1, length(target)::BIGINT)) AS s(i)),
+p AS (SELECT *, coalesce(sum(width + 1) OVER (PARTITION BY target ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM c),
+px AS (SELECT target, at_ + j % width AS x, j // width AS y, CASE WHEN j % width = 0 OR j // width % {GLYPH_H - 1} = 0 THEN 200 ELSE (code * 7 + j * j * 31 + j * 17) % 256 END AS a FROM p, unnest(generate_series(0, width * {GLYPH_H} - 1)) AS s(j)),
+z AS (SELECT target, skew, max(x + CASE WHEN skew > 0 THEN y ELSE 0 END) FILTER (a >= 70) + 1 AS w FROM px, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) AS v(skew) GROUP BY target, skew),
+g AS (SELECT target, skew, w, gx AS x, gy AS y FROM z, unnest(generate_series(0, w::BIGINT - 1)) AS s(gx), unnest(generate_series(0, {GLYPH_H - 1})) AS r(gy)),
+q AS (SELECT g.target, g.skew, g.w, g.x, g.y, coalesce(px.a, 0) AS a FROM g LEFT JOIN px ON px.target = g.target AND px.y = g.y AND px.x = g.x - CASE WHEN g.skew > 0 THEN g.y ELSE 0 END),
+o AS (SELECT *, row_number() OVER (PARTITION BY target, skew, a >= 95, a <= 12 ORDER BY y, x) - 1 AS r, count(*) OVER (PARTITION BY target, skew, a >= 95, a <= 12) AS n FROM q)
+SELECT target AS target_id, skew, w::BIGINT AS w, {GLYPH_H}::BIGINT AS h, coalesce(string_agg(x || ':' || y, ' ' ORDER BY y, x) FILTER (a >= 95 AND r % greatest(1, ceil(n / 165.0))::BIGINT = 0), '') AS samples,
+  coalesce(string_agg(x || ':' || y, ' ' ORDER BY y, x) FILTER (a <= 12 AND r % greatest(1, ceil(n / 145.0))::BIGINT = 0), '') AS bg_samples FROM o GROUP BY target, skew, w
+"""
+
+
 def _boxes(spark, sf_dir):
     d = lambda c: c.cast("double")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("flag"), d(F.col("l_partkey") % 160).alias("x"), d(F.col("l_suppkey") % 90).alias("y"), F.col("l_quantity").alias("w"), (10.0 + F.col("l_linenumber")).alias("h"))
@@ -253,10 +289,10 @@ SELECT image_id, height::BIGINT AS height, skew, basis, CASE k WHEN 0 THEN 'exac
 
 QUERIES = {
     "pixel_variants": pixel_variants, "grey_planes": grey_planes, "crop_pictures": crop_pictures, "page_pictures": page_pictures, "covered_pixels": covered_pixels, "text_bands": text_bands,
-    "template_scores": template_scores, "template_samples": template_samples, "region_boxes": region_boxes, "free_positions": free_positions, "template_heights": template_heights,
+    "template_scores": template_scores, "drawn_templates": drawn_templates, "template_samples": template_samples, "region_boxes": region_boxes, "free_positions": free_positions, "template_heights": template_heights,
 }
 
 ORACLES = {
     "pixel_variants": PIXEL_VARIANTS, "grey_planes": GREY_PLANES, "crop_pictures": CROP_PICTURES, "page_pictures": PAGE_PICTURES, "covered_pixels": COVERED_PIXELS, "text_bands": TEXT_BANDS,
-    "template_scores": TEMPLATE_SCORES, "template_samples": TEMPLATE_SAMPLES, "region_boxes": REGION_BOXES, "free_positions": FREE_POSITIONS, "template_heights": TEMPLATE_HEIGHTS,
+    "template_scores": TEMPLATE_SCORES, "drawn_templates": DRAWN_TEMPLATES, "template_samples": TEMPLATE_SAMPLES, "region_boxes": REGION_BOXES, "free_positions": FREE_POSITIONS, "template_heights": TEMPLATE_HEIGHTS,
 }
