@@ -6,12 +6,16 @@ Resampled and blurred pixels are not comparable byte by byte and stay out; sizes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schemas
+from ..functions.plan import spread
 from ..operators import raster, templates
 from ..operators.glyphs import draw_templates
 from ..sources import ocr
@@ -21,16 +25,39 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Pixels that are made at a time.
+PIXELS = 1 << 18
+IMAGE = "image_id string, path string, width int, height int, data binary"
+
+
+def _images_named(rows: DataFrame, key: str) -> DataFrame:
+    """(image_id): the images of ``_image`` by name, where no pixels are needed."""
+    return rows.select(F.col(key).cast("string").alias("image_id"))
+
+
 def _image(rows: DataFrame, key: str, width: int, height: int, rgb) -> DataFrame:
-    """rows with a key -> images; ``rgb`` gives three whole numbers from 0 to 255 for a pixel's number."""
-    two = lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")
-    pixel = lambda j: F.concat(*[two(v) for v in rgb(j)], F.lit("FF"))
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel), ""))
-    return rows.select(F.col(key).cast("string").alias("image_id"), F.lit("").alias("path"), F.lit(width).alias("width"), F.lit(height).alias("height"), data.alias("data"))
+    """rows with a key -> images; ``rgb`` gives three arrays of whole numbers from 0 to 255 for a column of keys and a row of pixels' numbers.
+
+    Few rows become many pixels: they are dealt over all cores first, and made some images at a time.
+    """
+    j = np.arange(width * height)
+    step = max(1, PIXELS // len(j))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                n = part.num_rows
+                data = np.full((n, len(j), 4), 255, np.uint8)
+                for c, v in enumerate(rgb(part.column(1).to_numpy()[:, None], j[None, :])):
+                    data[..., c] = v
+                columns = [part.column(0), pa.array([""] * n), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array([d.tobytes() for d in data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_id", "path", "width", "height", "data"])
+
+    return spread(rows.select(F.col(key).cast("string").alias("image_id"), F.col(key).cast("bigint").alias("k"))).mapInArrow(run, IMAGE)
 
 
-def _noise(j: Column) -> tuple[Column, Column, Column]:
-    k = F.col("s_suppkey")
+def _noise(k: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (k * 37 + j * 53) % 256, (k * 91 + j * 29) % 256, (k * 13 + j * j * 71) % 256
 
 
@@ -80,7 +107,7 @@ def crop_pictures(spark, sf_dir):
     k = F.col("image_id").cast("bigint")
     d = lambda c: c.cast("double")
     crop = F.struct(d(k % 3).alias("x0"), d(k % 2).alias("y0"), d(k % 3 + 2 + k % 4).alias("x1"), d(k % 2 + 3 + k % 2).alias("y1"))
-    asked = images.select("image_id", crop.alias("crop")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in ("source", "bin180", "invert")])))
+    asked = _images_named(table(spark, sf_dir, "supplier"), "s_suppkey").select("image_id", crop.alias("crop")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in ("source", "bin180", "invert")])))
     asked = asked.select("image_id", F.concat_ws("/", "image_id", "variant").alias("request_id"), "variant", F.lit(1.0).alias("zoom"), F.lit(2).alias("border"), "crop")
     got = ocr.pictures(asked, images)
     return got.select("request_id", F.col("width").cast("long").alias("w"), F.col("height").cast("long").alias("h"), F.hex("data").alias("pixels"))
@@ -116,13 +143,13 @@ SELECT s_suppkey::VARCHAR AS image_id, pass_ix, variant, (floor(aw * o + 0.5) +
 
 def covered_pixels(spark, sf_dir):
     """Every image with two stamps: a plain one, then one in the colour of its surroundings."""
-    images = _small(spark, sf_dir, 24, 16)
+    images, named = _small(spark, sf_dir, 24, 16), _images_named(table(spark, sf_dir, "supplier"), "s_suppkey")
     k = F.col("image_id").cast("bigint")
     d = lambda c: c.cast("double")
     style = F.when(k % 3 == 0, F.struct(F.lit("color").alias("mode"), F.lit("#3366cc").alias("color"))).otherwise(F.struct(F.lit("black").alias("mode"), F.lit("#1a1a1a").alias("color")))
-    one = images.select("image_id", F.lit(0).alias("stamp_ix"), (k % 9 + 3 + k % 2 * 0.5).cast("double").alias("x"), d(k % 5 + 2).alias("y"), F.lit(5.0).alias("w"), F.lit(4.0).alias("h"), style.cast(schemas.STYLE).alias("style"))
+    one = named.select("image_id", F.lit(0).alias("stamp_ix"), (k % 9 + 3 + k % 2 * 0.5).cast("double").alias("x"), d(k % 5 + 2).alias("y"), F.lit(5.0).alias("w"), F.lit(4.0).alias("h"), style.cast(schemas.STYLE).alias("style"))
     ground = F.struct(F.lit("bg").alias("mode"), F.lit(None).cast("string").alias("color"))
-    two = images.select("image_id", F.lit(1).alias("stamp_ix"), d(k % 13 + 6).alias("x"), (k % 7 + 4.5).cast("double").alias("y"), F.lit(4.0).alias("w"), F.lit(3.5).alias("h"), ground.cast(schemas.STYLE).alias("style"))
+    two = named.select("image_id", F.lit(1).alias("stamp_ix"), d(k % 13 + 6).alias("x"), (k % 7 + 4.5).cast("double").alias("y"), F.lit(4.0).alias("w"), F.lit(3.5).alias("h"), ground.cast(schemas.STYLE).alias("style"))
     return raster.render(images, one.unionByName(two), encode=False).select("image_id", F.hex("data").alias("pixels"))
 
 
@@ -141,13 +168,12 @@ BAND_W, BAND_H = 100, 120
 
 def text_bands(spark, sf_dir):
     """Regions of images with a dark and a light bar on a ground that is neither."""
-    k = F.col("s_suppkey")
 
-    def rgb(j):
-        x, y = j % BAND_W, F.floor(j / BAND_W)
+    def rgb(k, j):
+        x, y = j % BAND_W, j // BAND_W
         dark = (x >= k % 31 + 5) & (x < k % 31 + 5 + 20 + k % 29) & (y >= k % 17 + 4) & (y < k % 17 + 9 + k % 11)
         light = (x >= k % 23 + 2) & (x < k % 23 + 32 + k % 37) & (y >= k % 41 + 50) & (y < k % 41 + 58 + k % 13)
-        v = F.when(dark, F.lit(20)).when(light, F.lit(250)).otherwise(F.lit(200))
+        v = np.where(dark, 20, np.where(light, 250, 200))
         return v, v, v
 
     found = raster.detect_regions(_image(table(spark, sf_dir, "supplier"), "s_suppkey", BAND_W, BAND_H, rgb))

@@ -13,7 +13,7 @@ from ..functions.plan import spread
 from ..operators import rescue
 from ..sources import ocr
 from . import pipeline
-from .pixel_queries import _image
+from .pixel_queries import _image, _images_named
 
 TARGETS = ["blue", "small", "widget", "red", "hot"]
 WIDTH, HEIGHT = 400, 200
@@ -143,16 +143,17 @@ SELECT image_id, target AS target_id, group_ix::BIGINT AS group_ix, count(*) FIL
 def reading_pictures(spark, sf_dir):
     """Windows of the enlarged page (``ocr``) and of the analysed page of an image 2,000 pixels wide, as they are handed to a reading."""
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    k = F.col("s_suppkey")
-    small = _image(suppliers, "s_suppkey", 12, 6, lambda j: [(k * 7 + F.floor(j / 12) * 3 + j % 12 * n) % 6 * 50 for n in (1, 2, 5)])
-    wide = _image(suppliers, "s_suppkey", 2000, 2, lambda j: [(k * 5 + F.floor(j % 2000 / n) + F.floor(j / 2000)) % 9 * 28 for n in (3, 4, 7)])
+    small = _image(suppliers, "s_suppkey", 12, 6, lambda k, j: [(k * 7 + j // 12 * 3 + j % 12 * n) % 6 * 50 for n in (1, 2, 5)])
+    wide = _image(suppliers, "s_suppkey", 2000, 2, lambda k, j: [(k * 5 + j % 2000 // n + j // 2000) % 9 * 28 for n in (3, 4, 7)])
     wide = wide.withColumn("image_id", F.concat(F.lit("w"), "image_id"))
+    named = _images_named(suppliers, "s_suppkey")
+    wide_named = named.select(F.concat(F.lit("w"), "image_id").alias("image_id"), F.lit(2000).alias("width"), F.lit(2).alias("height"))
     d = lambda c: c.cast("double")
     i = F.regexp_replace("image_id", "w", "").cast("bigint")
     window = F.struct(d(i % 11).alias("x0"), d(i % 5).alias("y0"), d(i % 11 + 5 + i % 9).alias("x1"), d(i % 5 + 4 + i % 3).alias("y1"))
-    asked = small.select("image_id", F.lit("ocr").alias("variant"), F.lit(3.0).alias("zoom"), window.alias("crop"))
-    boxes = wide.select("image_id", F.lit(0).alias("region_ix"), d(2 * (i % 700)).alias("x"), F.lit(0.0).alias("y"), d(2 * (6 + i % 5)).alias("w"), F.lit(2.0).alias("h"))
-    regions = rescue.region_requests(boxes, wide).select("image_id", "variant", d(F.col("zoom")).alias("zoom"), "crop")
+    asked = named.select("image_id", F.lit("ocr").alias("variant"), F.lit(3.0).alias("zoom"), window.alias("crop"))
+    boxes = wide_named.select("image_id", F.lit(0).alias("region_ix"), d(2 * (i % 700)).alias("x"), F.lit(0.0).alias("y"), d(2 * (6 + i % 5)).alias("w"), F.lit(2.0).alias("h"))
+    regions = rescue.region_requests(boxes, wide_named).select("image_id", "variant", d(F.col("zoom")).alias("zoom"), "crop")
     got = ocr.pictures(asked.union(regions).withColumn("request_id", F.concat_ws("/", "image_id", "variant")), small.union(wide))
     return got.select("request_id", F.col("width").cast("long").alias("w"), F.col("height").cast("long").alias("h"), F.hex("data").alias("pixels"))
 

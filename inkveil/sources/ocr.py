@@ -41,14 +41,19 @@ def picture(rgba: np.ndarray, variant: str, crop: dict | None, zoom: float, bord
     return raster.white_border(seen, border) if border else seen
 
 
-def read_page(rgba: np.ndarray, variant: str) -> tuple[np.ndarray, int]:
-    """The page of one pass: the analysed page enlarged for reading, as a variant; and its border."""
+def enlarged(rgba: np.ndarray) -> tuple[np.ndarray, int]:
+    """The analysed page enlarged for reading, and its border."""
     page, _ = raster.analysed(rgba)
     height, width = page.shape[:2]
     low, high = CONFIG.ocr_scale
     scale = max(low, min(high, float(np.sqrt(CONFIG.ocr_pixels / (width * height)))))
-    large = raster.resize(page, int(raster.half_up(width * scale)), int(raster.half_up(height * scale)))
-    return raster.VARIANTS[variant](large), int(raster.half_up(CONFIG.ocr_border * scale))
+    return raster.resize(page, int(raster.half_up(width * scale)), int(raster.half_up(height * scale))), int(raster.half_up(CONFIG.ocr_border * scale))
+
+
+def read_page(rgba: np.ndarray, variant: str) -> tuple[np.ndarray, int]:
+    """The page of one pass, as a variant; and its border."""
+    large, border = enlarged(rgba)
+    return raster.VARIANTS[variant](large), border
 
 
 class Pages:
@@ -78,13 +83,17 @@ def _dict(row) -> dict:
 
 
 def _by_image(requests: DataFrame, images: DataFrame) -> DataFrame:
-    """One row of pixels an image, with all that is asked of it: some dozens of narrow requests a target."""
+    """One row of pixels an image, with all that is asked of it: some dozens of narrow requests a target.
+
+    Spark guesses the size of pixels from that of the table they are made of, and would collect them all to broadcast
+    them; the hint has each partition hash its requests, and the pixels pass by them.
+    """
     asked = requests.groupBy("image_id").agg(F.collect_list(F.struct(*requests.columns)).alias("requests"))
-    return images.select("image_id", "width", "height", "data").join(asked, "image_id")
+    return images.select("image_id", "width", "height", "data").join(asked.hint("shuffle_hash"), "image_id")
 
 
-#: Pictures handed on at a time.
-PIECE = 16
+#: Bytes of pictures that are handed on at a time, about.
+PIECE = 1 << 22
 PICTURE = "request_id string, width int, height int, data binary"
 
 
@@ -92,13 +101,19 @@ def pictures(requests: DataFrame, images: DataFrame) -> DataFrame:
     """(request_id, width, height, data): the picture of every request (image_id, request_id, variant, zoom, crop, and border if any)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for f in frames:
             for r in f.itertuples(index=False):
                 pages = Pages(r.data, r.width, r.height)
-                asked = [_dict(q) for q in r.requests]
-                for at in range(0, len(asked), PIECE):
-                    seen = [(q["request_id"], pages.seen(q)) for q in asked[at : at + PIECE]]
-                    yield pd.DataFrame([(i, s.shape[1], s.shape[0], np.ascontiguousarray(s).tobytes()) for i, s in seen], columns=["request_id", "width", "height", "data"])
+                for q in map(_dict, r.requests):
+                    seen = pages.seen(q)
+                    out.append((q["request_id"], seen.shape[1], seen.shape[0], np.ascontiguousarray(seen).tobytes()))
+                    held += seen.size
+                    if held >= PIECE:
+                        yield pd.DataFrame(out, columns=["request_id", "width", "height", "data"])
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["request_id", "width", "height", "data"])
 
     return _by_image(requests, images).mapInPandas(run, PICTURE)
 
@@ -145,9 +160,9 @@ def page_pictures(images: DataFrame) -> DataFrame:
         for f in frames:
             for r in f.itertuples(index=False):
                 out = []
+                large, border = enlarged(raster.pixels(r.data, r.width, r.height))
                 for ix, (variant, _) in enumerate(PASSES):
-                    page, border = read_page(raster.pixels(r.data, r.width, r.height), variant)
-                    seen = raster.white_border(page, border)
+                    seen = raster.white_border(raster.VARIANTS[variant](large), border)
                     out.append((r.image_id, ix, variant, seen.shape[1], seen.shape[0], seen.tobytes()))
                 yield pd.DataFrame(out, columns=["image_id", "pass_ix", "variant", "width", "height", "data"])
 
