@@ -1,16 +1,19 @@
 """Manual edits: hit tests, and the replay of an event log to stamps (``gestures`` makes the events).
 
-An image's edits depend on their order, so each image's log is replayed alone (``applyInPandas`` on the image
-key); images run in parallel. A log is what one person did to one image: bounded by hand.
+An image's edits depend on their order, so each image's log is replayed alone; images run in parallel. Rows are dealt by
+image and sorted, and a task replays one image after another as they pass: most logs are short, and a call for each would
+cost more than the log.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import hypot
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.config import CONFIG
 from ..functions.rects import manual_rect
@@ -58,12 +61,17 @@ def drawn(x0: float, y0: float, x1: float, y1: float, trace: float | None, heigh
     return {"x": min(x0, x1), "y": min(y0, y1), "w": abs(x1 - x0), "h": abs(y1 - y0)}
 
 
+CORNERS = (("nw", 0, 0), ("ne", 1, 0), ("sw", 0, 1), ("se", 1, 1))
+
+
 def handle_at(x: float, y: float, stamp: dict, radius: float) -> tuple[str, float] | None:
     """The nearest corner within the radius, the first of equals."""
-    corners = {"nw": (0, 0), "ne": (1, 0), "sw": (0, 1), "se": (1, 1)}
-    near = [(hypot(x - stamp["x"] - i * stamp["w"], y - stamp["y"] - j * stamp["h"]), k) for k, (i, j) in corners.items()]
-    d, name = min(near, key=lambda c: c[0])
-    return (name, d) if d <= radius else None
+    name, least = None, radius
+    for k, i, j in CORNERS:
+        d = hypot(x - stamp["x"] - i * stamp["w"], y - stamp["y"] - j * stamp["h"])
+        if d < least or (d == least and name is None):
+            name, least = k, d
+    return (name, least) if name else None
 
 
 def hit_test(x: float, y: float, stamps: list[dict], radius: float = CONFIG.hit_radius) -> tuple[int, str, str | None] | None:
@@ -147,25 +155,48 @@ class Editor:
             self.stamps.append({k: e[k] for k in "xywh"} | {"kind": "ocr", "style": e.get("style") or dict(DEFAULT_STYLE)})
 
 
-def _plain(v) -> dict | None:
-    return None if v is None else v if isinstance(v, dict) else v.asDict()
+def _records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dictionaries; a fractional number that is missing is NaN."""
+    columns = [c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in batch.columns]
+    return (dict(zip(batch.schema.names, r)) for r in zip(*columns))
+
+
+def in_turn(rows: DataFrame, schema: str, begin: Callable, feed: Callable, end: Callable) -> DataFrame:
+    """Feeds each image's rows (image_id, seq, ...), in the order of ``seq``, to a state of its own.
+
+    ``begin(row)`` makes the state, ``feed(state, row)`` and ``end(state, image_id)`` give rows of ``schema``. A task holds one state.
+    """
+    # A number and a key of its own: Spark would join partitions by their bytes, of which there are few for the work they make.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.repartition(parts, F.xxhash64("image_id")).sortWithinPartitions("image_id", "seq")
+    kind = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, image = None, None
+        for b in batches:
+            out = []
+            for r in _records(b):
+                if state is None or r["image_id"] != image:
+                    if state is not None:
+                        out += end(state, image)
+                    state, image = begin(r), r["image_id"]
+                out += feed(state, r)
+            yield pa.RecordBatch.from_pylist(out, kind)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist(list(end(state, image)), kind)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def replay(events: DataFrame, images: DataFrame) -> DataFrame:
     """Edit events and image sizes -> the stamps that remain, in order."""
     rows = events.join(images.select("image_id", "width", "height"), "image_id")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq", kind="stable")
-        own = Editor(float(f["width"].iloc[0]), float(f["height"].iloc[0]))
-        for e in f.to_dict("records"):
-            e["style"] = _plain(e.get("style"))
-            e["stamp_ix"] = None if pd.isna(e["stamp_ix"]) else int(e["stamp_ix"])
-            own.apply(e["op"], e)
-        out = [{"image_id": f["image_id"].iloc[0], "stamp_ix": i, **s} for i, s in enumerate(own.stamps)]
-        return pd.DataFrame(out, columns=["image_id", "stamp_ix", "x", "y", "w", "h", "kind", "style"])
-
-    return rows.groupBy("image_id").applyInPandas(run, STAMPS)
+    def feed(own: Editor, e: dict) -> list[dict]:
+        own.apply(e["op"], e)
+        return []
+
+    return in_turn(rows, STAMPS, lambda e: Editor(float(e["width"]), float(e["height"])), feed, lambda own, image: [{"image_id": image, "stamp_ix": i, **s} for i, s in enumerate(own.stamps)])
 
 
 def painted(stamps: DataFrame) -> DataFrame:

@@ -13,15 +13,14 @@ has it. While two or more pointers are down, and until all are lifted, nothing i
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import hypot
+from math import hypot, isnan
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import CONFIG
 from ..functions.schemas import EDIT_EVENTS
-from .edits import Editor, canvas_point, drawn, hit_test, trace_height
+from .edits import Editor, canvas_point, drawn, hit_test, in_turn, trace_height
 
 #: The kinds of pointer events; the last three come from buttons. Others do nothing.
 KINDS = ("down", "move", "up", "lost", "cancel", "double", "delete", "undo", "reset")
@@ -192,26 +191,25 @@ def style(value: dict | tuple | None) -> dict | None:
 
 def event(row: dict) -> dict:
     """A row of ``EVENT`` as a session takes it."""
-    return row | {"style": style(row["style"]), "band": None if pd.isna(row["band"]) else row["band"]}
+    return row | {"style": style(row["style"]), "band": None if row["band"] is None or isnan(row["band"]) else row["band"]}
 
 
 def edit_events(pointers: DataFrame, images: DataFrame) -> DataFrame:
     """Pointer events and image sizes -> edit events, for ``edits.replay``.
 
-    Each image's events are fed to a session of its own (``applyInPandas`` on the image), in the order of ``seq``. A repeated
+    Each image's events are fed to a session of its own, in the order of ``seq``. A repeated
     ``seq`` is a repeated event and counts once. An event that ends an edit and does something more becomes two, so
     an edit's ``seq`` is twice its event's, and one more for the second.
     """
     rows = located(pointers).join(images.select("image_id", "width", "height"), "image_id")
-    names = [c.split()[0] for c in EDIT_EVENTS.split(", ")]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("seq").sort_values("seq")
-        session = Session(Editor(float(f["width"].iloc[0]), float(f["height"].iloc[0])))
-        out = []
-        for e in f.to_dict("records"):
-            for k, made in enumerate(session.feed(event(e))):
-                out.append({"image_id": e["image_id"], "seq": 2 * e["seq"] + k, **made})
-        return pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names)
+    def begin(e: dict) -> list:
+        return [Session(Editor(float(e["width"]), float(e["height"]))), None]
+
+    def feed(own: list, e: dict) -> list[dict]:
+        if e["seq"] == own[1]:
+            return []
+        own[1] = e["seq"]
+        return [{"image_id": e["image_id"], "seq": 2 * e["seq"] + k, **made} for k, made in enumerate(own[0].feed(event(e)))]
 
-    return rows.groupBy("image_id").applyInPandas(run, EDIT_EVENTS)
+    return in_turn(rows, EDIT_EVENTS, begin, feed, lambda own, image: [])

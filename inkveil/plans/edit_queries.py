@@ -61,13 +61,14 @@ def _pointers(spark, sf_dir):
     )
 
 
-def _sizes(pointers):
-    return pointers.select("image_id").distinct().select("image_id", F.lit(700).alias("width"), F.lit(400).alias("height"))
+def _sizes(spark, sf_dir):
+    return _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("image_id")).distinct().select("image_id", F.lit(700).alias("width"), F.lit(400).alias("height"))
 
 
 def gesture_stamps(spark, sf_dir):
     p = _pointers(spark, sf_dir)
-    return _shown(edits.replay(gestures.edit_events(p, _sizes(p)), _sizes(p)))
+    sizes = _sizes(spark, sf_dir)
+    return _shown(edits.replay(gestures.edit_events(p, sizes), sizes))
 
 
 def gesture_stream(spark, sf_dir):
@@ -75,7 +76,7 @@ def gesture_stream(spark, sf_dir):
     folder = f"{shared_folder(spark)}/gestures-{uuid.uuid4().hex}"
     p = _pointers(spark, sf_dir)
     p.union(p.filter("seq % 10 = 3")).repartition(6).write.parquet(f"{folder}/in")
-    _sizes(p).write.parquet(f"{folder}/sizes")
+    _sizes(spark, sf_dir).write.parquet(f"{folder}/sizes")
     intake.pointer_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/sizes"), f"{folder}/out", f"{folder}/state", 2).awaitTermination()
     return _shown(sessions.latest(spark.read.parquet(f"{folder}/out")))
 

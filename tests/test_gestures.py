@@ -170,3 +170,16 @@ def test_undo_steps_are_limited_in_sessions():
     for _ in range(70):
         session.feed({**base, "kind": "undo"})
     assert len(session.editor.stamps) == 60 - CONFIG.undo_limit
+
+
+def test_logs_are_replayed_on_all_cores_without_a_call_each(spark):
+    """3,000 logs of two rows, out of order, one row repeated."""
+    from inkveil.functions import schemas
+    from inkveil.operators import edits
+
+    log = [(str(i), q, "add", None, 5.0 * q, 1.0, 10.0 + i % 7, 8.0, None, None, None, None) for i in range(3000) for q in (2, 1)]
+    images = spark.createDataFrame([(str(i), 400, 200) for i in range(3000)], "image_id string, width int, height int")
+    got = edits.replay(spark.createDataFrame(log, schemas.EDIT_EVENTS), images)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r["image_id"], r["stamp_ix"], r["x"], r["w"]) for r in got.collect()) == sorted((str(i), k, 5.0 * (k + 1), 10.0 + i % 7) for i in range(3000) for k in (0, 1))
