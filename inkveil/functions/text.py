@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,17 +17,36 @@ from .config import CONFIG
 _DROP = r"[^\p{L}\p{N}\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, for which Spark has no built-in; a vectorised pandas call."""
-    return s.str.normalize("NFKC")
+#: Strings that are composed at a time.
+PIECE = 256
+
 
+def composed(strings: pa.Array) -> pa.Array:
+    """Unicode compatibility composition, for which Spark has no built-in, of strings; of a piece each distinct one once, and none of plain ASCII.
 
-@F.pandas_udf(ArrayType(StringType()))
-def nfkc_each(s: pd.Series) -> pd.Series:
-    """``nfkc`` of every string of an array; one flat vectorised call a batch."""
-    flat = s.explode().str.normalize("NFKC")
-    return flat.groupby(level=0).agg(list).reindex(s.index).where(s.map(len) > 0, s.map(lambda _: []))
+    Beside what comes in and goes out, only a piece is held as Python strings.
+    """
+    done = []
+    for at in range(0, len(strings), PIECE):
+        part = strings.slice(at, PIECE)
+        if not pc.all(pc.string_is_ascii(part)).as_py() and part.null_count < len(part):
+            d = part.dictionary_encode()
+            part = pa.array([unicodedata.normalize("NFKC", t) for t in d.dictionary.to_pylist()], strings.type).take(d.indices)
+        done.append(part)
+    return pa.concat_arrays(done) if done else strings
+
+
+@F.arrow_udf(StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    return composed(s)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def nfkc_each(s: pa.Array) -> pa.Array:
+    """``nfkc`` of every string of an array."""
+    sizes = s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pa.ListArray.from_arrays(ends, composed(s.flatten()), mask=s.is_null() if s.null_count else None)
 
 
 def strip_marks(s: Column) -> Column:

@@ -301,7 +301,7 @@ def group_summary(spark, sf_dir):
 
 def flatten_pages(spark, sf_dir):
     """Lines of a page that was read with an offset; two symbols in turn carry the label of both, and every seventh part's second symbols stand too far left."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     ws = F.split(F.col("p_name"), " ")
     start = lambda i: F.aggregate(F.slice(ws, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1) * 10.0 + 5
     box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(53.0).alias("y0"), b.cast("double").alias("x1"), F.lit(66.0).alias("y1"))
@@ -361,7 +361,7 @@ def edit_sequences(spark, sf_dir):
         e(5, "delete", k % 4 == 0),
         e(6, "undo", k % 3 == 0),
     )
-    rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("image_id"), F.filter(log, lambda x: x.isNotNull()).alias("log")).select("image_id", F.explode("log").alias("e"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(k.cast("string").alias("image_id"), F.filter(log, lambda x: x.isNotNull()).alias("log")).select("image_id", F.explode("log").alias("e"))
     rows = rows.select("image_id", "e.seq", "e.op", F.lit(0).alias("stamp_ix"), "e.x", "e.y", "e.w", "e.h", "e.dx", "e.dy", "e.handle", F.lit(None).cast(schemas.STYLE).alias("style"))
     images = rows.select("image_id").distinct().select("image_id", F.lit(300).alias("width"), F.lit(150).alias("height"))
     return edits.replay(rows, images).select("image_id", F.col("stamp_ix").cast("long").alias("stamp_ix"), "x", "y", "w", "h", "kind")
