@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .raster import half_up, pixels
-from .templates import make_template
+from .templates import PIECE, make_template
 
 POINTS = "array<struct<x:int,y:int>>"
+_POINTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+TEMPLATE = pa.schema([("target_id", pa.string()), ("target_height", pa.int32()), ("skew", pa.float64()), ("w", pa.int32()), ("h", pa.int32()), ("samples", _POINTS), ("bg_samples", _POINTS)])
 
 
 def line(glyphs: list[tuple[np.ndarray, int]]) -> np.ndarray:
@@ -55,14 +57,15 @@ def draw_templates(targets: DataFrame, glyphs: DataFrame, variants: DataFrame) -
     drawn = ch.join(glyphs, "ch").groupBy("target_id", "target").agg(F.array_sort(F.collect_list(glyph)).alias("glyphs")).filter(F.size("glyphs") == F.length("target"))
     asked = drawn.crossJoin(F.broadcast(variants.agg(F.collect_list(F.struct("target_height", "skew")).alias("variants"))))  # one row
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                flat = line([(pixels(g["data"], g["width"], g["height"]), g["advance"]) for g in r.glyphs])
-                for v in r.variants:
-                    t = make_template(slanted(flat, v["skew"]), v["target_height"], v["skew"])
-                    out.append((r.target_id, v["target_height"], v["skew"], t["w"], t["h"], *[[{"x": x, "y": y} for x, y in t[k]] for k in ("samples", "bg_samples")]))
-            yield pd.DataFrame(out, columns=["target_id", "target_height", "skew", "w", "h", "samples", "bg_samples"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PIECE):
+                out = []
+                for r in b.slice(at, PIECE).to_pylist():
+                    flat = line([(pixels(g["data"], g["width"], g["height"]), g["advance"]) for g in r["glyphs"]])
+                    for v in r["variants"]:
+                        t = make_template(slanted(flat, v["skew"]), v["target_height"], v["skew"])
+                        out.append({"target_id": r["target_id"], "target_height": v["target_height"], "skew": v["skew"], "w": t["w"], "h": t["h"], **{k: [{"x": int(x), "y": int(y)} for x, y in t[k]] for k in ("samples", "bg_samples")}})
+                yield pa.RecordBatch.from_pylist(out, TEMPLATE)
 
-    return asked.select("target_id", "glyphs", "variants").mapInPandas(run, f"target_id string, target_height int, skew double, w int, h int, samples {POINTS}, bg_samples {POINTS}")
+    return asked.select("target_id", "glyphs", "variants").mapInArrow(run, f"target_id string, target_height int, skew double, w int, h int, samples {POINTS}, bg_samples {POINTS}")

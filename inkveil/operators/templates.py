@@ -159,19 +159,25 @@ class Plane:
         return f * CONFIG.template_weights[0] + g * CONFIG.template_weights[1], f, g
 
 
+#: Rows of points that are held as Python objects at a time.
+PIECE = 256
+
+
 def score_positions(rows: DataFrame) -> DataFrame:
     """rows: (id, width, height, data: grey bytes, x, y, samples, bg_samples) -> (id, score, fg_score, bg_score) of one position each."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                own = {k: [(p["x"], p["y"]) for p in getattr(r, k)] for k in ("samples", "bg_samples")}
-                s, x, y = Plane(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)).score(np.array([r.x]), np.array([r.y]), own)
-                out.append((r.id, float(s[0, 0]), float(x[0, 0]), float(y[0, 0])))
-            yield pd.DataFrame(out, columns=["id", "score", "fg_score", "bg_score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE):
+                b = whole.slice(at, PIECE)
+                out = []
+                for r in b.to_pylist():
+                    own = {k: [(p["x"], p["y"]) for p in r[k]] for k in ("samples", "bg_samples")}
+                    s, x, y = Plane(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])).score(np.array([r["x"]]), np.array([r["y"]]), own)
+                    out.append((r["id"], float(s[0, 0]), float(x[0, 0]), float(y[0, 0])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), *[pa.float64()] * 3))], names=["id", "score", "fg_score", "bg_score"])
 
-    return rows.mapInPandas(run, "id bigint, score double, fg_score double, bg_score double")
+    return rows.mapInArrow(run, "id bigint, score double, fg_score double, bg_score double")
 
 
 def suppress(candidates: list[dict], limit: int) -> list[dict]:
@@ -302,12 +308,13 @@ def make_templates(drawn: DataFrame) -> DataFrame:
     point = "array<struct<x:int,y:int>>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                t = make_template(pixels(r.data, r.width, r.height), r.target_height, r.skew)
-                out.append((r.target_id, r.target_height, r.skew, t["w"], t["h"], *[[{"x": x, "y": y} for x, y in t[k]] for k in ("samples", "bg_samples")]))
-            yield pd.DataFrame(out, columns=["target_id", "target_height", "skew", "w", "h", "samples", "bg_samples"])
+        for whole in frames:
+            for at in range(0, len(whole), PIECE):
+                out = []
+                for r in whole.iloc[at : at + PIECE].itertuples(index=False):
+                    t = make_template(pixels(r.data, r.width, r.height), r.target_height, r.skew)
+                    out.append((r.target_id, r.target_height, r.skew, t["w"], t["h"], *[[{"x": x, "y": y} for x, y in t[k]] for k in ("samples", "bg_samples")]))
+                yield pd.DataFrame(out, columns=["target_id", "target_height", "skew", "w", "h", "samples", "bg_samples"])
 
     return drawn.mapInPandas(run, f"target_id string, target_height int, skew double, w int, h int, samples {point}, bg_samples {point}")
 

@@ -194,7 +194,7 @@ SELECT k::VARCHAR AS image_id, row_number() OVER (PARTITION BY k ORDER BY p) - 1
 
 def template_scores(spark, sf_dir):
     """Grey values from an embedding as a plane; its upper half as text points, its lower half as background."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     grey = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("bigint"))
     data = F.unhex(F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     points = lambda a, z: F.transform(F.sequence(F.lit(a), F.lit(z)), lambda i: F.struct((i % 8).cast("int").alias("x"), F.floor(i / 8).cast("int").alias("y")))
@@ -211,7 +211,7 @@ SELECT vec_id, f AS fg_score, b AS bg_score, f * 0.72::DOUBLE + b * 0.28::DOUBLE
 
 def template_samples(spark, sf_dir):
     """Templates of targets drawn with the opacity that an embedding gives; two corners are opaque."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     last = F.size("embedding") - 1
     alpha = F.transform("embedding", lambda v, i: F.when((i == 0) | (i == last), F.lit(255).cast("bigint")).otherwise((F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("bigint")))
     data = F.unhex(F.array_join(F.transform(alpha, lambda v: F.concat(F.lit("000000"), F.lpad(F.hex(v), 2, "0"))), ""))
@@ -233,7 +233,7 @@ GLYPH_H = 7
 def drawn_templates(spark, sf_dir):
     """Templates of names, drawn from glyphs that follow from a character's code, upright and slanted by a pixel a row."""
     n = table(spark, sf_dir, "nation").select(F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("target")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("ab"), F.translate(F.conv(F.col("s_suppkey").cast("string"), 10, 26), "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz")).alias("target"))).distinct()
-    targets = n.select(F.col("target").alias("target_id"), "target")
+    targets = spread(n.select(F.col("target").alias("target_id"), "target"))
     code = F.ascii("ch")
     width = (4 + code % 3).cast("int")
     letters = spark.range(26).select(F.char(F.col("id") + 97).alias("ch"))

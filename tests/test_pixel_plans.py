@@ -29,3 +29,7 @@ def test_images_are_dealt_over_all_cores(spark):
 
 def test_page_pictures_are_dealt_over_all_cores(spark, sf_dir):
     assert pixel_queries.page_pictures(spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_embeddings_are_dealt_over_all_cores(spark, sf_dir):
+    assert pixel_queries.template_scores(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
