@@ -52,15 +52,16 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", f"taken long, blocked boolean, chosen int, hold {_HOLD}")
-        self.down = handle.getMapState("down", "pointer_id int", "x double, y double")
+        self.down = handle.getListState("down", "pointer_id int, x double, y double")
         self.stamps = handle.getListState("stamps", STAMP)
         self.undo = handle.getListState("undo", f"stamps array<{_STAMP_STRUCT}>")
-        self.waiting = handle.getMapState("waiting", "seq long", EVENT)
+        # Read and written whole: every access is a call to the JVM, and shuffled files leave most events waiting.
+        self.waiting = handle.getListState("waiting", EVENT)
 
     def _session(self, width: float, height: float) -> tuple[Session, int]:
         editor = Editor(width, height, [_plain(s) for s in self.stamps.get()])
         editor.undo_steps = [[_plain(s) for s in step[0]] for step in self.undo.get()]
-        session = Session(editor, {k[0]: (v[0], v[1]) for k, v in self.down.iterator()})
+        session = Session(editor, {d[0]: (d[1], d[2]) for d in self.down.get()})
         taken = 0
         if self.open.exists():
             taken, session.blocked, session.chosen, hold = self.open.get()
@@ -72,9 +73,7 @@ class Sessions(StatefulProcessor):
         self.open.update((taken, session.blocked, session.chosen, hold))
         _put(self.stamps, [_row(s) for s in session.editor.stamps])
         _put(self.undo, [([_row(s) for s in step],) for step in session.editor.undo_steps])
-        self.down.clear()
-        for k, at in session.down.items():
-            self.down.updateValue((k,), at)
+        _put(self.down, [(k, *at) for k, at in session.down.items()])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         width = height = None
@@ -84,17 +83,14 @@ class Sessions(StatefulProcessor):
             fresh[r["seq"]] = tuple(r[n] for n in EVENT_NAMES)
         session, taken = self._session(width, height)
         began = taken
-        early = {k[0] for k in self.waiting.keys()}
-        while taken in fresh or taken in early:
-            e = fresh.pop(taken, None)
-            if taken in early:
-                e = e or tuple(self.waiting.getValue((taken,)))
-                self.waiting.removeKey((taken,))
-            session.feed(event(dict(zip(EVENT_NAMES, e))))
+        early = {e[0]: (*e[:-1], e[-1] and tuple(e[-1])) for e in map(tuple, self.waiting.get())}  # a style comes back as an iterator
+        ready = early | fresh
+        while taken in ready:
+            session.feed(event(dict(zip(EVENT_NAMES, ready.pop(taken)))))
             taken += 1
-        for seq, e in fresh.items():
-            if seq > taken:
-                self.waiting.updateValue((seq,), e)
+        later = {seq: e for seq, e in ready.items() if seq > taken}
+        if later.keys() != early.keys():
+            _put(self.waiting, list(later.values()))
         if taken == began:
             return
         self._keep(session, taken)

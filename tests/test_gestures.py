@@ -183,3 +183,42 @@ def test_logs_are_replayed_on_all_cores_without_a_call_each(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted((r["image_id"], r["stamp_ix"], r["x"], r["w"]) for r in got.collect()) == sorted((str(i), k, 5.0 * (k + 1), 10.0 + i % 7) for i in range(3000) for k in (0, 1))
+
+
+def test_waiting_events_cost_no_call_each():
+    """A hundred events that come before their turn are kept by one call, and taken by one more."""
+    from inkveil.streaming import sessions
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            calls.append("get")
+            return self.held if not self.held or isinstance(self.held, list) else tuple(self.held)
+
+        def put(self, rows):
+            calls.append("put")
+            self.held = list(rows)
+
+        def update(self, row):
+            self.held = tuple(row)
+
+        def clear(self):
+            self.held = []
+
+    class Handle:
+        getValueState = getListState = lambda self, *a: State()
+
+    s = sessions.Sessions()
+    s.init(Handle())
+    row = lambda seq: {n: None for n in sessions.EVENT_NAMES} | {"seq": seq, "kind": "move", "width": 10, "height": 10}
+    assert list(s.handleInputRows(("i",), iter(row(q) for q in range(100, 0, -1)), None)) == []
+    assert len(calls) <= 8 and len(s.waiting.held) == 100
+    assert [r["taken"] for r in s.handleInputRows(("i",), iter([row(0)]), None)] == [101]
+    assert len(calls) <= 16 and not s.waiting.held
