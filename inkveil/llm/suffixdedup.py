@@ -16,9 +16,11 @@ of a group meet in a bounded bucket: they are cut into 16-byte tokens from the a
 of the bucket's tokens (``suffixarray``) is built, runs of suffixes that share the tokens inside every
 window are read from it, and the bytes at both window ends are compared exactly.
 
-A group of more than ``CROWD`` different contexts does not fit a bucket and is split by more content: windows
-that start within the same ``STEP`` bytes before the anchor share all but ``STEP - 1`` of their bytes, and
-a group of these, with contexts of its own, is classed and dealt like the first. Where even that is crowded
+A group of more than ``CROWD`` different contexts does not fit a bucket and is split by more content, first in two:
+windows of both sizes that begin in the same half of the places before the anchor share more than half of a short window
+(phrases that many texts have part here), and a group of these, with contexts of its own, is classed and dealt like the first.
+A half that is still crowded is split by the windows' size and start: those that start within the same ``STEP`` bytes share
+all but ``STEP - 1`` of their bytes. Where even that is crowded
 (many contexts differ in nothing but a window's edge), at most ``STEP`` windows of each context are left, one for
 each start, and a group of windows with one start is one of equal windows: they are counted by a 128-bit hash.
 
@@ -44,7 +46,7 @@ LENGTH = 400
 #: The query's second, reported size: passages of some 50 words.
 SHORT = 256
 TOKEN = 16
-#: Starts before an anchor whose windows a crowded group is split into.
+#: Starts before an anchor whose windows the half of a crowded group is split into.
 STEP = 16
 #: Most different contexts of a group in a bucket, and how many a bucket holds about.
 CROWD = 400
@@ -265,24 +267,25 @@ def _cut_out(length: int, short: int):
     return run
 
 
-def _split(length: int, short: int):
-    """Contexts of crowded groups -> the contexts of their windows that start within the same STEP bytes before the anchor."""
+def _split(length: int, short: int, width: int, levels: list[int]):
+    """Contexts of crowded groups -> the contexts, for each of ``levels``, of their windows that start within the same ``width`` bytes before the anchor."""
     from xxhash import xxh3_64_intdigest as xx
 
-    sizes = [(ONLY_SHORT, short)] + [(ONLY_LONG, length)] * (length > short)
+    # What windows of a level share is as long as the shortest of them has it; their contexts reach as far as the longest.
+    sizes = [(level, length if level == ONLY_LONG else short, short if level == ONLY_SHORT else length) for level in levels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for g, c, lead, span, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
-                for level, size in sizes:
+                for level, size, reach in sizes:
                     least = max(lead - span, lead + size - len(raw))
-                    for k in range(max(0, least) // STEP, lead // STEP + 1):
-                        near, far = max(least, STEP * k), min(lead, STEP * k + STEP - 1)
+                    for k in range(max(0, least) // width, lead // width + 1):
+                        near, far = max(least, width * k), min(lead, width * k + width - 1)
                         if near > far:
                             continue
-                        common = raw[lead - STEP * k : lead - STEP * k - STEP + 1 + size]
-                        own = raw[lead - far : lead - near + size]
+                        common = raw[lead - width * k : lead - width * k - width + 1 + size]
+                        own = raw[lead - far : lead - near + reach]
                         rows.append((g, c, lead - far, far, far - near, level, xx(common, k << 2 | level), xx(own, (far << 32 | (far - near)) << 2 | level)))
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4
@@ -322,10 +325,17 @@ def _by_level(iv: Column) -> list[Column]:
     return [F.when(F.col("level") != ONLY_LONG, iv).otherwise(none).alias("s"), F.when(F.col("level") != ONLY_SHORT, iv).otherwise(none).alias("l")]
 
 
-def _repeated(items: DataFrame, texts: DataFrame, length: int, short: int, first_round: bool) -> DataFrame:
+def _splits(length: int, short: int) -> list[tuple[int, list[int]]]:
+    """How crowded groups are split, one way after the other: starts before the anchor that stay together, and the levels."""
+    half = -(-_reach(short) // 2)
+    return [(half, [BOTH])] * (half > STEP) + [(STEP, [ONLY_SHORT] + [ONLY_LONG] * (length > short))]
+
+
+def _repeated(items: DataFrame, texts: DataFrame, length: int, short: int, splits: list[tuple[int, list[int]]]) -> DataFrame:
     """(g, c, s, l): the starts, as intervals, of each context's repeated short and long windows.
 
     items: (k1, k2, _id, lo, lead, span, level, g, c, n), the contexts of texts (k1, k2, _id, raw) and how often each stands there.
+    splits: the ways that are left to split a crowded group.
     """
     first = [F.first(k).alias(k) for k in ("k1", "k2", "_id", "lo", "lead", "span", "level")]
     classes = cut(items.groupBy("g", "c").agg(F.sum("n").alias("n"), *first))
@@ -348,13 +358,13 @@ def _repeated(items: DataFrame, texts: DataFrame, length: int, short: int, first
     if not crowded:
         return every
     many = contexts.filter("crowded")
-    if first_round:
+    if splits:
         # Rows repeated with their ids give a context twice.
-        parts = many.select("g", "c", "lead", "span", "raw").mapInArrow(_split(length, short), "k1 bigint, k2 bigint, lo int, lead int, span int, level int, g bigint, c bigint").distinct()
+        parts = many.select("g", "c", "lead", "span", "raw").mapInArrow(_split(length, short, *splits[0]), "k1 bigint, k2 bigint, lo int, lead int, span int, level int, g bigint, c bigint").distinct()
         shared = cut(parts.groupBy("g").count().filter("count > 1").select("g"))
         parts = cut(parts.join(shared, "g", "left_semi").withColumns({"_id": F.lit(None).cast("bigint"), "n": F.lit(1).cast("bigint")}))
         whole = many.select(F.col("g").alias("k1"), F.col("c").alias("k2"), F.lit(None).cast("bigint").alias("_id"), "raw")
-        again = parts.join(_repeated(parts, whole, length, short, False), ["g", "c"])
+        again = parts.join(_repeated(parts, whole, length, short, splits[1:]), ["g", "c"])
         moved = [F.transform(k, lambda x: x + F.col("lo")).alias(k) for k in ("s", "l")]
         return every.union(again.select(F.col("k1").alias("g"), F.col("k2").alias("c"), *moved))
     windows = many.select("g", "c", "span", "level", "raw").mapInArrow(_hashed(length, short), "g bigint, c bigint, level int, s int, h1 bigint, h2 bigint")
@@ -380,7 +390,7 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     # it, the sum would have to stand on the join's partitions, and Spark couldn't split a group of many copies.
     places = each.join(shared, "g", "left_semi").groupBy("c", "k1", "k2", "lo", "lead", "span").agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min("_id").alias("_id"))
     places = cut(places.withColumn("level", F.lit(BOTH)))
-    every = cut(_repeated(places, long_enough, length, short, True))
+    every = cut(_repeated(places, long_enough, length, short, _splits(length, short)))
     return cut(places.join(every, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "s", "l")).alias("marks")))
 
 

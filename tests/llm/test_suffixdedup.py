@@ -80,6 +80,39 @@ def test_crowded_groups_are_split_and_counted(spark, monkeypatch):
     assert rounds
 
 
+def test_crowded_phrases_are_parted_by_two_rows_a_context(spark, monkeypatch):
+    """Texts that share a phrase too short for any window, and some a passage: what a crowded group's contexts are split into."""
+    monkeypatch.setattr(suffixdedup, "CROWD", 4)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = text(130), text(450)
+    rows = [(i, text(300 + rng.randrange(60)) + (passage if i % 20 == 0 else phrase) + text(500)) for i in range(60)]
+    made = []
+    own = suffixdedup._split
+
+    def counted(*a):
+        contexts, parts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        made.append((contexts, parts))
+        run = own(*a)
+
+        def watched(batches):
+            def seen():
+                for b in batches:
+                    contexts.add(b.num_rows)
+                    yield b
+
+            for b in run(seen()):
+                parts.add(b.num_rows)
+                yield b
+
+        return watched
+
+    monkeypatch.setattr(suffixdedup, "_split", counted)
+    assert result(spark, rows, 400, 256) == brute(rows, 400, 256)
+    assert made and made[0][0].value > 0
+    assert made[0][1].value <= 2 * made[0][0].value
+
+
 def test_long_text_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "STRETCH", 700)
     rng = random.Random(9)
