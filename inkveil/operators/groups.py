@@ -21,7 +21,7 @@ def group_candidates(near: DataFrame) -> DataFrame:
     ``near_limit`` candidates a pass, so its array is bounded. group_ix counts by best similarity, then age.
     """
     near = near.filter(F.col("similarity") < CONFIG.identical)
-    member = F.struct("pass_ix", "rank", "pass", "candidate", "similarity", "exact_chars", "line_text", "symbols", "units", "start_index", "scale", "box", "target")
+    member = F.struct("pass_ix", "rank", "pass", "candidate", "similarity", "exact_chars", "line_text", "scale", "box", "around", "target")
     packed = near.groupBy(*KEY).agg(F.array_sort(F.collect_list(member)).alias("items"))
     rows = packed.select(*KEY, "items", F.posexplode(cluster(F.col("items"))).alias("_age", "g"))
     rows = sealed(rows.select(*KEY, "_age", "g", "items"), {"box": F.col("g.box"), "members": F.transform("g.ixs", lambda i: F.get("items", i))}).drop("g", "items")

@@ -31,10 +31,12 @@ def normal_targets(targets: DataFrame) -> DataFrame:
 
 
 def box_of(units: Column) -> Column:
-    side = lambda k, f: f(F.transform(units, lambda u: u["bbox"][k]))
+    side = lambda k, f: f(units["bbox"][k])
     return F.struct(side("x0", F.array_min).alias("x0"), side("y0", F.array_min).alias("y0"), side("x1", F.array_max).alias("x1"), side("y1", F.array_max).alias("y1"))
 
 
+#: Characters on either side of a near window that another reading of it sees.
+CONTEXT = 2
 #: Characters of a run by which lines and many targets meet; shorter targets meet whole.
 GRAM = 3
 
@@ -92,18 +94,27 @@ def near_pairs(lines: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def near_candidates(lines: DataFrame, targets: DataFrame, limit: int = CONFIG.near_limit) -> DataFrame:
-    """Windows of a line that resemble a target: the best of each place, ``limit`` of a page pass and target."""
-    rows = near_pairs(lines, targets).withColumn("_w", F.explode(near_windows(F.col("target"), F.col("text"))))
+    """Windows of a line that resemble a target: the best of each place, ``limit`` of a page pass and target.
+
+    Of the line's characters only two boxes go on: the window's (``box``) and that with ``CONTEXT`` characters on either side (``around``).
+    """
+    # A line's characters go along as the sides of their boxes only.
+    sides = ("x0", "y0", "x1", "y1")
+    narrow = lines.select(*LINE, "text", "scale", F.size("units").alias("_size"), *[F.col("units")["bbox"][k].alias(f"_{k}") for k in sides])
+    rows = near_pairs(narrow, targets).withColumn("_w", F.explode(near_windows(F.col("target"), F.col("text"))))
     rows = rows.withColumns({"start_index": F.col("_w.start"), "len": F.col("_w.len"), "exact_chars": F.col("_w.shared")})
     most = F.greatest("len", F.length("target"))
     rows = rows.withColumns({"edit_similarity": 1 - F.col("_w.distance") / most, "sequence_similarity": F.col("_w.common") / most}).drop("_w")
-    rows = rows.withColumns({"similarity": F.greatest("edit_similarity", "sequence_similarity"), "candidate": F.substring(F.col("text"), F.col("start_index") + 1, F.col("len")), "symbols": F.slice("units", F.col("start_index") + 1, F.col("len"))})
+    rows = rows.withColumns({"similarity": F.greatest("edit_similarity", "sequence_similarity"), "candidate": F.substring(F.col("text"), F.col("start_index") + 1, F.col("len"))})
     order = [F.desc("similarity"), F.desc("exact_chars"), F.abs(F.col("len") - F.length("target")), "line_ix", "start_index", "len"]
     # One of each place: the boxes are rounded in the page's own scale.
-    edge = lambda s, k: half_up(F.element_at("symbols", s)["bbox"][k] * F.col("scale"))
+    start, end = F.col("start_index"), F.least(F.col("_size"), F.col("start_index") + F.col("len"))
+    edge = lambda i, k: half_up(F.get(f"_{k}", i) * F.col("scale"))
+    first, last = F.greatest(F.lit(0), start - CONTEXT), F.least(F.col("_size"), end + CONTEXT)
+    outer = lambda a, b: F.struct(*[(F.array_min if k[1] == "0" else F.array_max)(F.slice(f"_{k}", a + 1, b - a)).alias(k) for k in sides])
+    rows = rows.withColumns({"_l": edge(start, "x0"), "_r": edge(end - 1, "x1"), "box": outer(start, end), "around": outer(first, last)})
     keys = ["image_id", "pass_ix", "target_id"]
-    rows = rows.repartition(*keys)  # once for both windows: what a page holds of a target is bounded
-    rows = rows.withColumns({"_l": edge(1, "x0"), "_r": edge(-1, "x1")})
+    rows = rows.drop("_size", *[f"_{k}" for k in sides]).repartition(*keys)  # once for both windows: what a page holds of a target is bounded
     rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "text", "_l", "_r").orderBy(*order))).filter("_rn = 1")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= limit)
-    return rows.select(*LINE, "target_id", "target", "rank", "candidate", "similarity", "edit_similarity", "sequence_similarity", "exact_chars", F.col("text").alias("line_text"), "units", "symbols", "start_index", "scale", box_of(F.col("symbols")).alias("box"))
+    return rows.select(*LINE, "target_id", "target", "rank", "candidate", "similarity", "edit_similarity", "sequence_similarity", "exact_chars", F.col("text").alias("line_text"), "start_index", "scale", "box", "around")

@@ -13,7 +13,6 @@ from ..functions.numbers import analysis_scale, half_up, ocr_scale, scaled_size
 from ..functions.plan import cut, sealed
 from ..functions.text import normalize
 from .groups import KEY, representative
-from .match import box_of
 
 #: The readings tried in turn, as (source of the crop, page segmentation mode, only for weak candidates).
 LADDER = (("source", 7, False), ("ocr", 7, False), ("source", 8, True), ("bin180", 7, False), ("bin220", 7, False), ("invert", 7, False))
@@ -27,15 +26,12 @@ def crop_boxes(best: Column, width: Column, height: Column) -> Column:
     image). Padding is measured on the page. Null where nothing of the window is inside.
     """
     scale = best["scale"]
-    first = F.greatest(F.lit(0), best["start_index"] - 2)
-    last = F.least(F.size(best["units"]), best["start_index"] + F.size(best["symbols"]) + 2)
     analysed = analysis_scale(width, height)
     page = [scaled_size(v, analysed) for v in (width, height)]
     enlarged = ocr_scale(*page)
     # Boxes were divided by the scale: times it they are the page's again, up to the last digits.
     on_page = lambda v: F.round(v * scale, 6)
-    around, own = (lambda b: {k: on_page(b[k]) for k in ("x0", "y0", "x1", "y1")}), box_of(best["symbols"])
-    outer, inner = around(box_of(F.slice(best["units"], first + 1, last - first))), around(own)
+    outer, inner = ({k: on_page(best[box][k]) for k in ("x0", "y0", "x1", "y1")} for box in ("around", "box"))
     pad = {a: F.greatest(F.lit(30.0), half_up((inner[a + "1"] - inner[a + "0"]) * part)) for a, part in (("x", 0.65), ("y", 0.55))}
 
     def window(over: Column, most: list[Column]) -> Column:

@@ -3,11 +3,13 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from inkveil.functions import automaton, bulk, filterindex, text
-from inkveil.operators import match
+from inkveil.operators import groups, match
 
 
 def distance(a, b):
@@ -151,3 +153,14 @@ def test_no_targets_and_null_texts(spark):
     got = [tuple(r.p) for r in null.select(bulk.pair(F.col("a"), F.col("b")).alias("p")).collect()]
     assert got == [(1, 0, 0), (1, 0, 0)]
     assert null.select(text.occurrences(F.lit("abab"), F.lit("ab")).alias("o")).first().o == [0, 2]
+
+
+def test_near_candidates_and_groups_carry_no_characters(spark):
+    """A line's characters would go along with each of its windows, through two sorts and into every group."""
+    near = match.near_candidates(lines_of(spark, ["xxabcdxx", "abxd"]), spark.createDataFrame([("t", "abcd")], "target_id string, target string"))
+    members = groups.group_candidates(near).schema["members"].dataType.elementType
+    assert not [f.name for s in (near.schema, members) for f in s if isinstance(f.dataType, ArrayType)]
+    best = near.filter("similarity = 1").first()
+    assert (tuple(best.box), tuple(best.around)) == ((20.0, 0.0, 59.0, 10.0), (0.0, 0.0, 79.0, 10.0))
+    other = near.filter("line_ix = 1 AND candidate = 'abxd'").first()
+    assert tuple(other.box) == tuple(other.around) == (0.0, 0.0, 39.0, 10.0)
