@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -24,6 +25,8 @@ WORD = 64
 ONE, TOP = np.uint64(1), np.uint64(1 << 63)
 #: Rows that go forward together.
 ROWS = 1 << 15
+#: Characters of a batch's lines that are searched at a time, so that memory follows neither a batch nor a table.
+CHARACTERS = 1 << 15
 
 
 def _masks(targets: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -171,6 +174,17 @@ PAIR = StructType([StructField(n, IntegerType()) for n in ("distance", "common",
 WINDOWS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "len", "distance", "common", "shared")]))
 
 
+def pieces(texts: pa.Array, characters: int | None = None) -> list[tuple[int, int]]:
+    """(first, behind the last) of the rows that are worked on at a time: ``CHARACTERS`` in all, or one text that is longer."""
+    ends = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (characters or CHARACTERS), "right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
 def _texts(a: pa.Array) -> list[str]:
     return ["" if t is None else t for t in a.to_pylist()]
 
@@ -188,9 +202,12 @@ def pair(target: Column, candidate: Column) -> Column:
 
 @F.arrow_udf(WINDOWS)
 def _windows(target: pa.Array, line: pa.Array) -> pa.Array:
-    owner, *values = windows(_texts(target), _texts(line))[:6]
-    rows = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in values], names=["start", "len", "distance", "common", "shared"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(line) + 1)), pa.int32()), rows)
+    done = [pa.array([], pa.list_(pa.struct([(n, pa.int32()) for n in WINDOWS.elementType.names])))]
+    for at, to in pieces(line):
+        owner, *values = windows(_texts(target.slice(at, to - at)), _texts(line.slice(at, to - at)))[:6]
+        rows = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in values], names=WINDOWS.elementType.names)
+        done.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(to - at + 1)), pa.int32()), rows))
+    return pa.concat_arrays(done)
 
 
 def near_windows(target: Column, line: Column) -> Column:

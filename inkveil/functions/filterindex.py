@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .automaton import POINTS, code_points
+from .bulk import pieces
 
 GAP = 4
 SHORT = 2
@@ -76,8 +77,11 @@ def candidates(text: Column, targets: list[str]) -> Column:
     index = PairIndex(targets)
 
     def run(texts: pa.Array) -> pa.Array:
-        owner, target = index.candidates(["" if t is None else t for t in texts.to_pylist()])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32()), pa.array(target, pa.int32()))
+        done = [pa.array([], pa.list_(pa.int32()))]
+        for at, to in pieces(texts):
+            owner, target = index.candidates(["" if t is None else t for t in texts.slice(at, to - at).to_pylist()])
+            done.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(to - at + 1)), pa.int32()), pa.array(target, pa.int32())))
+        return pa.concat_arrays(done)
 
     return F.arrow_udf(run, "array<int>")(text)
 

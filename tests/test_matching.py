@@ -164,3 +164,9 @@ def test_near_candidates_and_groups_carry_no_characters(spark):
     assert (tuple(best.box), tuple(best.around)) == ((20.0, 0.0, 59.0, 10.0), (0.0, 0.0, 79.0, 10.0))
     other = near.filter("line_ix = 1 AND candidate = 'abxd'").first()
     assert tuple(other.box) == tuple(other.around) == (0.0, 0.0, 39.0, 10.0)
+
+
+def test_lines_are_searched_in_pieces():
+    lines = pa.array(["abc", None, "abcd" * 5, "", "xabc"])
+    assert bulk.pieces(lines, 10) == [(0, 2), (2, 3), (3, 5)]
+    assert bulk.pieces(lines) == [(0, 5)] and bulk.pieces(lines.slice(5)) == []
