@@ -25,10 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the cluster's shared checkpoint folder and cuts its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` to the cluster's shared checkpoint folder and cuts its lineage there; the shuffle files that it took go."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, so that none reads these files again
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
