@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .config import CONFIG
+from .plan import let
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -77,9 +78,13 @@ def cluster(items: Column, box_of=lambda x: x["box"]) -> Column:
     none = F.array().cast("array<struct<box:struct<x0:double,y0:double,x1:double,y1:double>,ixs:array<int>>>")
 
     def step(groups: Column, i: Column) -> Column:
-        box = corner(box_of(F.get(items, i)))
-        at = F.array_position(F.transform(groups, lambda g: near_group(g["box"], box)), F.lit(True))
-        joined = F.transform(groups, lambda g, k: F.when(k == at - 1, F.struct(envelope(g["box"], box).alias("box"), F.concat(g["ixs"], F.array(i)).alias("ixs"))).otherwise(g))
-        return F.when(at > 0, joined).otherwise(F.concat(groups, F.array(F.struct(box.alias("box"), F.array(i).alias("ixs")))))
+        def joined(box: Column) -> Column:
+            def into(at: Column) -> Column:
+                grown = F.transform(groups, lambda g, k: F.when(k == at - 1, F.struct(envelope(g["box"], box).alias("box"), F.concat(g["ixs"], F.array(i)).alias("ixs"))).otherwise(g))
+                return F.when(at > 0, grown).otherwise(F.concat(groups, F.array(F.struct(box.alias("box"), F.array(i).alias("ixs")))))
+
+            return let(F.array_position(F.transform(groups, lambda g: near_group(g["box"], box)), F.lit(True)), into)
+
+        return let(corner(box_of(F.get(items, i))), joined)
 
     return F.when(F.size(items) > 0, F.aggregate(F.sequence(F.lit(0), F.size(items) - 1), none, step)).otherwise(none)

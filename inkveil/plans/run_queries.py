@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import schemas
-from ..functions.plan import spread
+from ..functions.plan import let, spread
 from ..operators import rescue
 from ..sources import ocr
 from . import pipeline
@@ -31,16 +31,19 @@ def _parts(spark, sf_dir):
 
 def spelled(text: Column, y: int, dx: int) -> Column:
     """A read line: words of ten-pixel characters, 12 high; every seventh part's symbols are unusable."""
-    ws = F.split(text, " ")
-    start = lambda i: F.aggregate(F.slice(ws, F.lit(1), i), F.lit(dx), lambda a, w: a + (F.length(w) + 1) * 10)
-    box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(float(y)).alias("y0"), b.cast("double").alias("x1"), F.lit(y + 12.0).alias("y1"))
     wide = F.when(F.col("p_partkey") % 7 == 0, F.lit(0)).otherwise(F.lit(9))
+    box = lambda a, b: F.struct(a.cast("double").alias("x0"), F.lit(float(y)).alias("y0"), b.cast("double").alias("x1"), F.lit(y + 12.0).alias("y1"))
+
+    def words(ws):
+        start = lambda i: F.aggregate(F.slice(ws, F.lit(1), i), F.lit(dx), lambda a, w: a + (F.length(w) + 1) * 10)
+
+        def word(w, at):
+            symbols = F.transform(F.split(w, ""), lambda c, j: F.struct(c.alias("text"), box(at + j * 10, at + j * 10 + wide).alias("bbox")))
+            return F.struct(w.alias("text"), box(at, at + F.length(w) * 10 - 1).alias("bbox"), symbols.alias("symbols"))
 
-    def word(w, i):
-        symbols = F.transform(F.split(w, ""), lambda c, j: F.struct(c.alias("text"), box(start(i) + j * 10, start(i) + j * 10 + wide).alias("bbox")))
-        return F.struct(w.alias("text"), box(start(i), start(i) + F.length(w) * 10 - 1).alias("bbox"), symbols.alias("symbols"))
+        return F.transform(F.filter(ws, lambda w: w != ""), lambda w, i: let(start(i), lambda at: word(w, at)))
 
-    return F.struct(F.transform(F.filter(ws, lambda w: w != ""), word).alias("words"))
+    return F.struct(let(F.split(text, " "), words).alias("words"))
 
 
 def _pages(parts):
