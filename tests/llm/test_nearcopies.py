@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -81,3 +83,51 @@ def test_nulls_empty_short_repeats_and_columns(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == brute_kept(rows)
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spread", [20, 1])
+def test_candidates_are_all_fingerprints_in_reach(spark, monkeypatch, spread):
+    """Fingerprints alone decide which nodes meet, in whatever tiles: families at set distances, of sizes that allow 4/5 or don't."""
+    monkeypatch.setattr(nearcopies, "SPREAD", spread)
+    rng = np.random.default_rng(3)
+    rows, prints = [], []
+    for g in range(60):
+        base, size = rng.integers(0, 2, 256, np.uint8), int(rng.integers(1, 400))
+        for flips, n in ((0, size), (int(rng.integers(1, 66)), max(1, size * 9 // 10)), (100, size), (3, 2 * size)):
+            bits = base.copy()
+            # Spread evenly over the words, so that each word is in reach if all are.
+            bits[np.arange(flips) * 64 % 256 + np.arange(flips) // 4] ^= 1
+            prints.append(np.packbits(bits).view(np.uint64))
+            rows.append((len(rows) + 1, n, *prints[-1].view(np.int64).tolist()))
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= nearcopies.RADIUS and 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1]):
+                p, q = sorted((find(x[0]), find(y[0])))
+                parent[q] = p
+    want = {k: find(k) for k in parent}
+    docs = spark.createDataFrame(rows, "s bigint, n int, " + ", ".join(f"{f} bigint" for f in nearcopies.PRINTS))
+    got = {r.node: r.root for r in nearcopies.groups_of_prints(docs).collect()}
+    assert got == {k: v for k, v in want.items() if sum(v == x for x in want.values()) > 1}
+    assert 60 < len(got) < len(rows)
+
+
+def test_fingerprints_follow_likeness_and_dense_tiles_give_a_forest():
+    rng = np.random.default_rng(4)
+    far = []
+    for _ in range(50):
+        h = rng.integers(0, 2**64, 100, np.uint64)
+        far.append(int(np.bitwise_count(nearcopies.fingerprint(h[:90]) ^ nearcopies.fingerprint(h[10:])).sum()))
+    assert 33 < np.mean(far) < 46 and max(far) <= nearcopies.RADIUS
+    n = 3000
+    columns = {"t": np.zeros(n, np.int32), "u": np.zeros(n, np.int32), "side": np.zeros(n, np.int32), "s": np.arange(n), "n": np.full(n, 9, np.int32)}
+    table = pa.table(columns | {f: np.full(n, 7) for f in nearcopies.PRINTS})
+    out = nearcopies._near_prints(table)
+    assert out.num_rows == n - 1
+    assert len(set(out.column("a").to_pylist()) | set(out.column("b").to_pylist())) == n
