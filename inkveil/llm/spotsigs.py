@@ -10,12 +10,14 @@ Sets are compared by Jaccard likeness. They are partitioned by length, a class s
 ``threshold``: sets more than one class apart, or whose lengths alone rule the threshold out, are pruned
 before any element is read (``alike``); ``likeness`` prunes only what is certainly 0 or 1 and is exact.
 
-``similar_documents`` joins a table with itself. Equal sets are one node. A set's signatures are ordered from the
-rarest on; two sets alike by ``threshold`` share one among the first ``n - ceil(threshold * n) + 1``. Groups are the
+``similar_documents`` joins a table with itself. Equal sets are one node. A set's signatures are ordered by how many sets
+hold them, the rarest first; two sets alike by ``threshold`` share one among the first ``n - ceil(threshold * n) + 1``. Groups are the
 sets of a length class, with those of the class below, that have such a signature in common; within a group, sizes
 and the place of the shared signature bound the likeness before sets are compared exactly. Groups of over ``LARGE``
 sets first compare all with three of them; only sets that this leaves in different components meet, in pairs of tiles
 of ``TILE`` sets spread over tasks, and one link for each two components is kept, so a dense group never emits all its pairs.
+There sets meet as bitmaps of ``64 * MAPS`` bits first: a bit is the parity of the signatures that fall on it, so two bitmaps differ in no
+more bits than sets in signatures, and more than the threshold allows rules a pair out without its signatures.
 
 Null or empty text: the empty set, written as the empty string; two empty sets are alike by 1, an empty and
 another by 0. Ids are of any type that can be ordered. Null ids come first in the order of documents; rows that share
@@ -40,9 +42,9 @@ SAMPLE = 8
 THRESHOLD = 0.8
 #: Most sets of a group that are compared pair by pair, and sets of a tile in larger ones.
 LARGE = 32
-#: Numbers of the table by which the join orders signatures.
-LOADS = 1 << 16
-TILE = 512
+TILE = 2048
+#: Longs of a set's bitmap in such a group.
+MAPS = 8
 #: Ranges of ids, cut at quantiles, and rows of a block within a range, in which each document's next is found.
 RANGES = 1024
 ROWS_OF_BLOCK = 1000
@@ -69,7 +71,7 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
         return F.concat(common, F.coalesce(own, F.array().cast("array<bigint>")))
 
     all_ = F.when(F.size(w) > 0, F.flatten(F.transform(F.sequence(F.lit(0), n), spot))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.array_sort(F.array_distinct(all_))).drop(w, c, p, k)
+    return df.withColumn(out, F.sort_array(F.array_distinct(all_))).drop(w, c, p, k)
 
 
 def length_class(sigs: Column, threshold: float = THRESHOLD) -> Column:
@@ -174,25 +176,20 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _loads(sets: DataFrame) -> DataFrame:
-    """One row, one array of ``LOADS`` numbers: how many signatures of all sets fall on each remainder."""
-    n = sets.select(F.explode("sigs").alias("sig")).groupBy(F.pmod("sig", F.lit(LOADS)).alias("r")).agg(F.count("*").alias("n"))
-    every = sets.sparkSession.range(LOADS).join(n, F.col("id") == F.col("r"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-    return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "n"))), lambda x: x["n"]).alias("_loads")))
-
-
 def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(sig, cls, node, n, at, home) of sets (node, sigs): the sets that share a rare enough signature, by length class.
 
     ``at``: the signature's place in the set, from the rarest on. ``home``: whether the set is of the class, else of the one below.
-    Any order of signatures serves that is the same for all sets. This one is by the load of a signature's remainder, a table of fixed size,
-    and then by the signature, so that no signature beyond the first ones of a set is ever shuffled.
+    Signatures are shuffled once, to be counted over all sets. Those of one set only come first in its order and link nothing, so they go at
+    once: a set of which they are a fifth has no first ones left.
     """
+    each = sets.select("node", F.explode("sigs").alias("sig")).withColumn("f", F.count("*").over(Window.partitionBy("sig"))).filter("f > 1")
+    each = cut(each.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("common")))
     n = F.size("sigs")
-    load = F.transform("sigs", lambda x: F.struct(F.get(F.col("_loads"), F.pmod(x, F.lit(LOADS)).cast("int")).alias("load"), x.alias("sig")))
-    first = F.slice(F.array_sort(load), F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
-    each = sets.join(F.broadcast(_loads(sets)), F.lit(True)).select("node", n.alias("n"), length_class(F.col("sigs"), threshold).alias("cls"), F.posexplode(first).alias("at", "x"))
-    each = cut(each.select(F.col("x.sig").alias("sig"), "cls", "node", "n", (F.col("at") + 1).alias("at")))
+    alone = n - F.size("common")
+    first = F.slice("common", F.lit(1), F.greatest(F.lit(0), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int") - alone))
+    each = each.join(sets, "node").select("node", n.alias("n"), length_class(F.col("sigs"), threshold).alias("cls"), alone.alias("alone"), F.posexplode(first).alias("at", "x"))
+    each = cut(each.select(F.col("x.sig").alias("sig"), "cls", "node", "n", (F.col("alone") + F.col("at") + 1).alias("at")))
     shared = cut(each.groupBy("sig").agg(F.count("*").alias("f")).filter("f > 1").select("sig"))
     both = F.array(F.struct(F.col("cls"), F.lit(True).alias("home")), F.struct((F.col("cls") + 1).alias("cls"), F.lit(False).alias("home")))
     return each.join(shared, "sig", "left_semi").select("sig", "node", "n", "at", F.explode(both).alias("x")).select("sig", "x.cls", "node", "n", "at", "x.home")
@@ -204,19 +201,36 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.distinct().join(x, "a").join(y, "b").filter(alike(F.col("_x"), F.col("_y"), threshold)).select("a", "b")
 
 
+def _may_be_alike(n: Column, at: Column, m: Column, bt: Column, threshold: float) -> Column:
+    """Whether sets of n and m signatures can be alike if the first that both have is at these places."""
+    most = 1 + F.least(n - at, m - bt)
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most >= threshold / (1 + threshold) * (n + m) - 1e-9)
+
+
+def bitmap(sigs: str) -> list[Column]:
+    """The longs m0, m1, ... of the bitmap of the set in column ``sigs``."""
+    bit = "shiftleft(1L, int(pmod(shiftright(x, 8), 64)))"
+    return [F.expr(f"aggregate({sigs}, 0L, (m, x) -> m ^ if(pmod(x, {MAPS}) = {k}, {bit}, 0L))").alias(f"m{k}") for k in range(MAPS)]
+
+
 def _crowded(members: DataFrame, sets: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
-    """Links between the components ``linked`` (node, root) of the members (sig, cls, node, n, home) of large groups."""
+    """Links between the components ``linked`` (node, root) of the members (sig, cls, node, n, at, home) of large groups."""
     named = members.join(linked.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
     open_ = named.groupBy("sig", "cls").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).filter("low < high")
-    named = named.join(open_.select("sig", "cls", "tiles"), ["sig", "cls"]).join(sets.select("node", "sigs"), "node")
-    named = named.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    own = ["sig", "cls", "node", "n", "home", "root", "sigs", "tile"]
+    named = cut(named.join(open_.select("sig", "cls", "tiles"), ["sig", "cls"]))
+    mapped = cut(sets.join(named.select("node").distinct(), "node", "left_semi").select("node", "sigs", *bitmap("sigs")))
+    named = named.join(mapped, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    maps = [f"m{k}" for k in range(MAPS)]
+    own = ["sig", "cls", "node", "n", "at", "home", "root", "sigs", "tile", *maps]
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     left = named.select(*own, F.explode(F.filter(every, lambda o: o >= F.col("tile"))).alias("other"))
     right = named.select(*own, F.explode(F.filter(every, lambda o: o <= F.col("tile"))).alias("other"))
     right = right.select(*[F.col(c).alias(f"_{c}") for c in own + ["other"]])
-    met = left.join(right, (F.col("sig") == F.col("_sig")) & (F.col("cls") == F.col("_cls")) & (F.col("tile") == F.col("_other")) & (F.col("other") == F.col("_tile")) & (F.col("root") != F.col("_root")) & (F.col("home") | F.col("_home")))
-    met = met.filter(alike(F.col("sigs"), F.col("_sigs"), threshold))
+    each = (F.col("root") != F.col("_root")) & (F.col("home") | F.col("_home")) & ((F.col("tile") != F.col("_tile")) | (F.col("node") < F.col("_node")))
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in maps), F.lit(0))
+    each &= _may_be_alike(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), threshold) & (apart <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("_n")) + 1e-9)
+    # Last in the join's own condition: a filter after the join would be put before what rules pairs out cheaply.
+    met = left.join(right, (F.col("sig") == F.col("_sig")) & (F.col("cls") == F.col("_cls")) & (F.col("tile") == F.col("_other")) & (F.col("other") == F.col("_tile")) & each & alike(F.col("sigs"), F.col("_sigs"), threshold))
     return met.groupBy(F.least("root", "_root").alias("r"), F.greatest("root", "_root").alias("q")).agg(F.min(F.struct(F.col("node").alias("a"), F.col("_node").alias("b"))).alias("x")).select("x.a", "x.b")
 
 
@@ -225,13 +239,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = with_signatures(rows, "_text", "sigs", chain).select("_id", F.unhex(F.md5(render(F.col("sigs")).cast("binary"))).alias("node"), "sigs")
     rows = cut(rows)
-    sets = cut(rows.filter(F.size("sigs") > 0).groupBy("node").agg(F.first("sigs").alias("sigs")))
+    sets = rows.filter(F.size("sigs") > 0).groupBy(F.col("node").alias("key")).agg(F.first("sigs").alias("sigs"))
+    # Nodes are numbered, so that a signature is shuffled with 8 bytes.
+    sets = cut(sets.select("key", F.monotonically_increasing_id().alias("node"), "sigs"))
+    keys, sets = sets.select("key", F.col("node").alias("_n")), sets.select("node", "sigs")
     members = cut(_candidates(sets, threshold))
     groups = cut(members.groupBy("sig", "cls").agg(F.count("*").alias("size"), F.max("home").alias("any"), F.min("node").alias("c1"), F.max("node").alias("c2"), F.min_by("node", F.xxhash64("node")).alias("c3")).filter("size > 1 AND any"))
     few = members.join(groups.filter(F.col("size") <= LARGE).select("sig", "cls"), ["sig", "cls"], "left_semi")
     other = few.select("sig", "cls", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("home").alias("bh"))
-    most = 1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))  # shared, if this is the first signature that both have
-    bound = (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (most >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
+    bound = _may_be_alike(F.col("n"), F.col("at"), F.col("m"), F.col("bt"), threshold)
     pairs = few.withColumnRenamed("node", "a").join(other, ["sig", "cls"]).filter((F.col("a") < F.col("b")) & (F.col("home") | F.col("bh")) & bound).select("a", "b")
     large = groups.filter(F.col("size") > LARGE)
     if large.isEmpty():
@@ -243,6 +259,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         links = cut(_linked(pairs.union(stars), sets, threshold))
         links = cut(links.union(_crowded(crowd, sets, components(links), threshold)))
     roots = components(links).withColumnRenamed("node", "_node")
-    named = rows.select("_id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("_id", F.coalesce("root", "node").alias("root"))
+    # Sets without a link are classes of their own, and so is the empty set.
+    keys = keys.join(roots, F.col("_n") == F.col("_node"), "left").select("key", F.coalesce("root", "_n").alias("root"))
+    named = rows.select("_id", "node").join(keys, F.col("node") == F.col("key"), "left").select("_id", F.coalesce("root", F.lit(-1)).alias("root"))
     classes = cut(named.groupBy("root").agg(F.min("_id").alias("class_id"), F.count("*").alias("n_class")).withColumnRenamed("root", "_root"))
     return named.join(classes, F.col("root") == F.col("_root")).select(F.col("_id").alias(id_col), "class_id", "n_class")

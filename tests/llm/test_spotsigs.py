@@ -129,3 +129,26 @@ def test_ids_of_other_types(spark):
     want = [(r[0], *r[1:]) for r in expected([(number.get(r[0]), r[1]) for r in own])]
     got = [(number.get(r.doc_id), *tuple(r)[1:7]) for r in spotsigs.compare_with_edited(docs, ranges=3, rows_of_block=2).collect()]
     assert sorted(got, key=str) == want
+
+
+def test_signatures_of_one_set_are_never_dealt(spark):
+    """Only signatures that sets share, ordered by their own counts, make groups; a set with a fifth of its own has none."""
+    common = list(range(1, 11))
+    sets = [(0, common), (1, common[:9]), (2, common[:8] + [100, 101, 102]), (3, list(range(200, 220)))]
+    got = spotsigs._candidates(spark.createDataFrame(sets, "node bigint, sigs array<bigint>"), 0.8).filter("home").collect()
+    # 10 is of set 0 alone and comes first there; 9 is the rarest that is shared.
+    assert sorted((r.node, r.sig, r.n, r["at"]) for r in got) == [(0, 1, 10, 3), (0, 9, 10, 2), (1, 1, 9, 2), (1, 9, 9, 1)]
+
+
+def test_bitmaps_rule_out_no_alike_pair(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(100):
+        both = [rng.randrange(-(2**63), 2**63) for _ in range(rng.randrange(1, 200))]
+        rest = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.randrange(0, 40))] for _ in "ab"]
+        rows.append((both + rest[0], both + rest[1], len(rest[0]) + len(rest[1])))
+    pairs = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, apart int")
+    got = pairs.select("apart", *(c.alias(f"x{k}") for k, c in enumerate(spotsigs.bitmap("a"))), *(c.alias(f"y{k}") for k, c in enumerate(spotsigs.bitmap("b")))).collect()
+    far = [(sum(((r[f"x{k}"] ^ r[f"y{k}"]) & (2**64 - 1)).bit_count() for k in range(spotsigs.MAPS)), r.apart) for r in got]
+    assert all(x <= y and (y - x) % 2 == 0 for x, y in far)
+    assert sum(x for x, _ in far) > 0.9 * sum(y for _, y in far)
