@@ -66,6 +66,9 @@ CORNERS = (("nw", 0, 0), ("ne", 1, 0), ("sw", 0, 1), ("se", 1, 1))
 
 def handle_at(x: float, y: float, stamp: dict, radius: float) -> tuple[str, float] | None:
     """The nearest corner within the radius, the first of equals."""
+    dx, dy = x - stamp["x"], y - stamp["y"]
+    if (abs(dx) > radius and abs(dx - stamp["w"]) > radius) or (abs(dy) > radius and abs(dy - stamp["h"]) > radius):
+        return None  # on one axis alone every corner is too far
     name, least = None, radius
     for k, i, j in CORNERS:
         d = hypot(x - stamp["x"] - i * stamp["w"], y - stamp["y"] - j * stamp["h"])
